@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litmusq.llm import bpe, cross_split, near_duplicates
+from litmusq.llm import bpe, cross_split, near_duplicates, truncation
 from litmusq.sources.tables import table
 
 
@@ -27,6 +27,14 @@ def p2_links(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicate_links(table(spark, folder, "adversarial_pairs"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.cut_values(table(spark, folder, "stage_results"))
+
+
+def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.cut_rates(table(spark, folder, "stage_results"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents", "doc_id", "text"))
 
@@ -36,6 +44,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_by_split_source": p1_by_split_source,
     "p2_found": p2_found,
     "p2_links": p2_links,
+    "p4_found": p4_found,
+    "p4_rates": p4_rates,
     "p7_ids": p7_ids,
 }
 SQL: dict[str, str] = {}
