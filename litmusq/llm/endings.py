@@ -57,7 +57,7 @@ def last_sentence(text: str) -> str:
 
 def tail_of(text: str) -> tuple[list[str], str | None]:
     """(runs at the end, last word as written) of a text that stops without a terminator."""
-    sentence = last_sentence(text)
+    sentence = last_sentence(text.lower() if text.isupper() else text)
     tokens = _TOKEN.findall(sentence)
     if not tokens:
         return [], None
@@ -79,6 +79,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, value_ends in zip(batch.column("text").to_pylist(), whole):
             if not text:
                 continue
+            if text.isupper():
+                text = text.lower()
             at = 0
             cuts = [(m.start(), m.end(), m.group()) for m in _STOP.finditer(text)]
             for begin, end, stop in [*cuts, (len(text), len(text), "$")]:

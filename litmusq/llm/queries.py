@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litmusq.llm import bpe, cross_split, near_duplicates, truncation
+from litmusq.llm import bpe, cross_split, near_duplicates, pair_defects, truncation
 from litmusq.sources.tables import table
 
 
@@ -35,6 +35,14 @@ def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.cut_rates(table(spark, folder, "stage_results"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pair_defects.found_defects(table(spark, folder, "adversarial_pairs"))
+
+
+def p6_triggered(spark: SparkSession, folder: str) -> DataFrame:
+    return pair_defects.defect_report(table(spark, folder, "adversarial_pairs"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents", "doc_id", "text"))
 
@@ -46,6 +54,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_links": p2_links,
     "p4_found": p4_found,
     "p4_rates": p4_rates,
+    "p6_found": p6_found,
+    "p6_triggered": p6_triggered,
     "p7_ids": p7_ids,
 }
 SQL: dict[str, str] = {}
