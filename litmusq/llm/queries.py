@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litmusq.llm import bpe, cross_split, near_duplicates, pair_defects, truncation
+from litmusq.llm import bpe, cross_split, near_duplicates, pair_defects, sentences, truncation
 from litmusq.sources.tables import table
 
 
@@ -47,6 +47,10 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.sentences(table(spark, folder, "documents", "doc_id", "text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_by_split_source": p1_by_split_source,
@@ -57,5 +61,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_triggered": p6_triggered,
     "p7_ids": p7_ids,
+    "p9_found": p9_found,
 }
 SQL: dict[str, str] = {}
