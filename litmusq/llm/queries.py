@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litmusq.llm import bpe, cross_split, near_duplicates, pair_defects, sentences, truncation
+from litmusq.llm import bpe, cross_split, leakage, near_duplicates, pair_defects, sentences, truncation
 from litmusq.sources.tables import table
 
 
@@ -47,6 +47,14 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items", "item_id", "text"))
+
+
+def p8_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaked_items(p8_found(spark, folder), table(spark, folder, "eval_items", "item_id", "split", "suite"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentences(table(spark, folder, "documents", "doc_id", "text", "lang"))
 
@@ -61,6 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_triggered": p6_triggered,
     "p7_ids": p7_ids,
+    "p8_found": p8_found,
+    "p8_leaked_items": p8_leaked_items,
     "p9_found": p9_found,
 }
 SQL: dict[str, str] = {}
