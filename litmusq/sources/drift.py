@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from litmusq.plans.lineage import materialise
+
 #: The target table: column path and type.
 TARGET: dict[str, str] = {
     **dict.fromkeys(("scorer_id", "hypothesis", "lineage", "pareto_ineligible_reason", "validation_reason", "robustness_warning", "survived_because"), "string"),
@@ -198,5 +200,5 @@ def replay(table: DataFrame, leaves: DataFrame, found: DataFrame, target: dict[s
 
 def consistent_table(records: DataFrame) -> DataFrame:
     """One row per record in the target schema, drift replayed, the rest in ``rescued``."""
-    leaves = opened(records)
+    leaves = materialise(opened(records), "leaves")
     return replay(ingest(leaves), leaves, changes(leaves))
