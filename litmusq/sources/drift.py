@@ -135,7 +135,7 @@ def changes(leaves: DataFrame) -> DataFrame:
     come = both.where(F.col("old_kinds").isNull()).select("stream", "file_seq", F.col("field").alias("new_field"))
 
     cells = leaves.select("stream", "file_seq", "record_no", F.explode("leaves").alias("x")).select("stream", "file_seq", "record_no", "x.*")
-    scorer = leaves.select("stream", "file_seq", "record_no", F.expr("filter(leaves, x -> x.path = 'scorer_id')[0].value").alias("scorer")).where("scorer IS NOT NULL")
+    scorer = leaves.select("stream", "file_seq", "record_no", F.expr("get(filter(leaves, x -> x.path = 'scorer_id'), 0).value").alias("scorer")).where("scorer IS NOT NULL")
     cells = cells.where(~F.col("kind").isin("null", "corrupt")).join(scorer, list(RECORD))
     old = cells.join(steps.select("stream", F.col("previous").alias("file_seq"), F.col("file_seq").alias("at")), ["stream", "file_seq"])
     old = old.join(gone.select("stream", F.col("file_seq").alias("at"), F.col("field").alias("path")), ["stream", "at", "path"])

@@ -22,10 +22,11 @@ DELAY = "30 days"
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table folder or file as a stream; new files are picked up."""
+    """A table folder or file as a stream; new files are picked up.  Times without a zone are taken as the session's."""
     path = f"{folder}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(path + ("" if Path(path).is_dir() else "*"))
+    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(path + ("" if Path(path).is_dir() else "*"))
+    return df.withColumns({c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"})
 
 
 def deduplicated(events: DataFrame, key: str, time: str, delay: str = DELAY) -> DataFrame:
