@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes the rolling hash looks at, and the mean number of bytes of a chunk.
-WINDOW, MEAN_CHUNK = 6, 20
+WINDOW, MEAN_CHUNK = 6, 16
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _ROLL = np.uint64(0x100000001B3)

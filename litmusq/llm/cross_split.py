@@ -8,8 +8,11 @@
    records whose shared chunks weigh at least that part of the longer record
    share a kept chunk (prefix filtering), so no pair is lost by it and digests
    everybody has are never joined on.
-4. Kept digests are joined across the sides; the lengths of all shared chunks add
-   up to the overlap fraction of the pair; pairs below ``overlap`` go.
+4. Kept digests are joined across the sides.  The join carries a bitmap and the
+   number of each field's words: two sets of words differ in at least as many
+   words as their bitmaps in bits, so what can't be alike goes before it is a
+   row.  The lengths of all shared chunks add up to the overlap fraction of the
+   pair; pairs below ``overlap`` go.
 5. An exact check of the word sets follows.
 
 Nulls: a null key drops the row; a null, empty or wordless field has likeness 0
@@ -34,7 +37,7 @@ from litmusq.sources.tables import latest
 FIELDS = ("anchor", "positive", "negative")
 EVALUATION = ("test", "heldout", "adversarial")
 #: Part of the longer record that shared chunks must cover for a pair to be a candidate.
-OVERLAP = 0.3
+OVERLAP = 0.2
 _LENGTH_BITS = 12
 
 
@@ -67,17 +70,34 @@ def _weight(chunks: Column) -> Column:
     return F.aggregate(chunks, F.lit(0).cast("bigint"), lambda s, c: s + _length(c))
 
 
-def chunk_overlaps(classes: DataFrame, overlap: float = OVERLAP) -> DataFrame:
+def bitmap(hashes: Column) -> Column:
+    """64 bits of a set of hashes; sets that differ in n elements differ in at most n bits."""
+    return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda s, h: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int"))))
+
+
+def _may_be_alike(a: str, b: str, threshold: float) -> Column:
+    """A necessary condition of a likeness of at least ``threshold`` in every field."""
+    ok = F.lit(True)
+    for f in FIELDS:
+        n = F.col(f"{a}.{f}_n") + F.col(f"{b}.{f}_n")
+        differing = F.bit_count(F.col(f"{a}.{f}_bits").bitwiseXOR(F.col(f"{b}.{f}_bits")))
+        ok = ok & (differing <= n * ((1 - threshold) / (1 + threshold)) + 1e-9) & (F.least(f"{a}.{f}_n", f"{b}.{f}_n") >= F.greatest(f"{a}.{f}_n", f"{b}.{f}_n") * threshold - 1e-9)
+    return ok
+
+
+def chunk_overlaps(classes: DataFrame, threshold: float, overlap: float = OVERLAP) -> DataFrame:
     """Pairs of a training class and an evaluation class with their overlap fraction.
 
     ``classes`` has rid, content, trains and evals (both booleans; a class may
-    be on both sides, then it also pairs with itself elsewhere).  Gives
-    (rid_train, rid_eval, overlap) for every pair of different classes whose
-    shared chunks weigh at least ``overlap`` of the longer one.
+    be on both sides, then it also pairs with others) and, per field, the number
+    of words and their bitmap.  Gives (rid_train, rid_eval, overlap) for every
+    pair of different classes that may be alike and whose shared chunks weigh at
+    least ``overlap`` of the longer one.
     """
+    guards = [f"{f}_{x}" for f in FIELDS for x in ("n", "bits")]
     cut = classes.select("rid", "content").mapInArrow(_cut, "rid bigint, chunks array<bigint>")
     cut = cut.select("rid", F.array_distinct("chunks").alias("chunks"))
-    packed = materialise(cut.join(classes.select("rid", "trains", "evals"), "rid").withColumn("weight", _weight(F.col("chunks"))), "chunks")
+    packed = materialise(cut.join(classes.select("rid", "trains", "evals", *guards), "rid").withColumn("weight", _weight(F.col("chunks"))), "chunks")
     rows = packed.select("rid", "trains", "evals", "weight", F.explode("chunks").alias("chunk"))
     shared = (
         rows.groupBy("chunk")
@@ -90,9 +110,10 @@ def chunk_overlaps(classes: DataFrame, overlap: float = OVERLAP) -> DataFrame:
         .withColumn("before", F.coalesce(F.sum(_length(F.col("chunk"))).over(order), F.lit(0)))
         .where((F.col("before") <= (1 - overlap) * F.col("weight")) & (F.col("cost") > 0))
     )
-    left = kept.where("trains").select(F.col("rid").alias("rid_train"), "chunk")
-    right = kept.where("evals").select(F.col("rid").alias("rid_eval"), "chunk")
-    candidates = left.join(right, "chunk").where("rid_train <> rid_eval").select("rid_train", "rid_eval").distinct()
+    kept = kept.select("rid", "trains", "evals", "chunk").join(packed.select("rid", *guards), "rid")
+    left, right = kept.where("trains").alias("a"), kept.where("evals").alias("b")
+    meet = (F.col("a.chunk") == F.col("b.chunk")) & (F.col("a.rid") != F.col("b.rid")) & _may_be_alike("a", "b", threshold)
+    candidates = left.join(right, meet).select(F.col("a.rid").alias("rid_train"), F.col("b.rid").alias("rid_eval")).distinct()
     side = packed.select("rid", "chunks", "weight")
     both = candidates.join(side.toDF("rid_train", "chunks_train", "weight_train"), "rid_train").join(side.toDF("rid_eval", "chunks_eval", "weight_eval"), "rid_eval")
     part = _weight(F.array_intersect("chunks_train", "chunks_eval")) / F.greatest("weight_train", "weight_eval")
@@ -109,9 +130,11 @@ def cross_split_overlaps(pairs: DataFrame, threshold: float = 0.7, overlap: floa
     members = materialise(records.withColumn("trains", F.col("split") == "train"), "records")
     grouped = members.groupBy(*FIELDS).agg(F.max("trains").alias("trains"), F.max(~F.col("trains")).alias("evals"))
     content = F.concat_ws(" | ", *FIELDS)
-    classes = materialise(grouped.select(F.monotonically_increasing_id().alias("rid"), *FIELDS, "trains", "evals", content.alias("content")), "classes")
-    found = chunk_overlaps(classes, overlap)
-    words = classes.select("rid", *[word_hashes(F.col(f)).alias(f) for f in FIELDS])
+    worded = grouped.withColumns({f"{f}_words": word_hashes(F.col(f)) for f in FIELDS} | {"content": content})
+    guards = {f"{f}_n": F.size(f"{f}_words") for f in FIELDS} | {f"{f}_bits": bitmap(F.col(f"{f}_words")) for f in FIELDS}
+    classes = materialise(worded.withColumns(guards).withColumn("rid", F.monotonically_increasing_id()), "classes")
+    found = chunk_overlaps(classes, threshold, overlap)
+    words = classes.select("rid", *[F.col(f"{f}_words").alias(f) for f in FIELDS])
     a = words.toDF("rid_train", *[f"{f}_train" for f in FIELDS])
     b = words.toDF("rid_eval", *[f"{f}_eval" for f in FIELDS])
     near = found.join(a, "rid_train").join(b, "rid_eval")

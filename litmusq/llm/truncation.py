@@ -26,7 +26,7 @@ from litmusq.plans.lineage import materialise
 from litmusq.sources.tables import latest
 
 FIELDS = ("raw_response", "parse_error")
-#: Values of exactly a source's greatest length from which that length is a limit, and how many times the usual count of the lengths below.
+#: Different values of exactly a source's greatest length from which that length is a limit, and how many times the usual count of the lengths below.
 LIMIT_COUNT, LIMIT_TIMES = 5, 3
 
 _TRAILER = regex.compile(r"(?:\n\s*(?:\[[^\[\]\n]{0,60}\]|\([^()\n]{0,40}\)|-{2,}[^\n]{0,40}))+\s*$")
@@ -108,8 +108,9 @@ def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _limits(values: DataFrame, measure: str) -> DataFrame:
-    """(source, field, limit): the greatest length of a source, where far more values have it than the lengths below."""
-    counts = values.groupBy("source", "field", F.col(measure).alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    """(source, field, limit): the greatest length of a source, where far more different values have it than the lengths below."""
+    different = values.select("source", "field", F.col(measure).alias("size"), F.xxhash64("text").alias("text")).distinct()
+    counts = different.groupBy("source", "field", "size").agg(F.count(F.lit(1)).alias("n"))
     per = Window.partitionBy("source", "field")  # a row per length that occurs
     near = counts.withColumn("top", F.max("size").over(per)).where(F.col("size") >= F.col("top") * 0.8 - 10)
     spike = near.groupBy("source", "field", "top").agg(
