@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from litmusq.llm import bpe, cross_split, leakage, near_duplicates, pair_defects, sentences, truncation
+from litmusq.llm.oracle import SQL  # noqa: F401
 from litmusq.sources.tables import table
 
 
@@ -73,4 +74,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_leaked_items": p8_leaked_items,
     "p9_found": p9_found,
 }
-SQL: dict[str, str] = {}
+
