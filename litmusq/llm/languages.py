@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from functools import lru_cache
 
 import regex
 
@@ -25,21 +26,30 @@ _WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
 _QUOTED = regex.compile(r"\"[^\"]{1,400}\"|“[^”]{1,400}”|„[^“”]{1,400}[“”]|«[^»]{1,400}»")
 
 
+_OTHER = regex.compile(r"[^\p{Latin}\p{Common}\p{Inherited}]")
+_BY_WORD: dict[str, list[str]] = {}
+for _lang, _words in FUNCTION_WORDS.items():
+    for _w in _words:
+        _BY_WORD.setdefault(_w, []).append(_lang)
+
+
 def scores(text: str) -> Counter[str]:
     """Function words of each Latin-script language; letters over four, of each other script."""
     found: Counter[str] = Counter()
     for w in _WORD.findall(text.lower()):
-        for part in {w, *regex.split("['’]", w)}:
-            for lang, words in FUNCTION_WORDS.items():
-                if part in words:
-                    found[lang] += 1
-    for lang, script in _SCRIPTS.items():
-        n = len(script.findall(text))
-        if n:
-            found[lang] += n // 4 + 1
+        parts = {w, *w.replace("’", "'").split("'")} if "'" in w or "’" in w else (w,)
+        for part in parts:
+            for lang in _BY_WORD.get(part, ()):
+                found[lang] += 1
+    if _OTHER.search(text):
+        for lang, script in _SCRIPTS.items():
+            n = len(script.findall(text))
+            if n:
+                found[lang] += n // 4 + 1
     return found
 
 
+@lru_cache(maxsize=50_000)
 def language(text: str) -> str | None:
     """The language with most evidence, None without any."""
     got = scores(text)
