@@ -12,35 +12,35 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from litmusq.functions import lexicons as L
-from litmusq.functions.probes import low
+from litmusq.functions.probes import Text, low, plain
 
 VIOLATION = "array<struct<violation_type:string,evidence:string,severity:string>>"
 
 
-def _text(c: Column) -> Column:
-    return F.coalesce(c, F.lit(""))
+def _text(c: Text) -> Column:
+    return F.coalesce(plain(c), F.lit(""))
 
 
-def numbers(text: Column) -> Column:
+def numbers(text: Text) -> Column:
     return F.array_distinct(F.regexp_extract_all(_text(text), F.lit(L.NUMBER), F.lit(0)))
 
 
-def invented_numbers(text: Column, anchor: Column) -> Column:
+def invented_numbers(text: Text, anchor: Text) -> Column:
     return F.array_except(numbers(text), numbers(anchor))
 
 
-def _unsupported(text: Column, anchor: Column, words: list[str]) -> Column:
+def _unsupported(text: Text, anchor: Text, words: list[str]) -> Column:
     lit = F.array(*[F.lit(w) for w in words])
     t, a = low(text), low(anchor)
     return F.filter(lit, lambda w: F.contains(t, w) & ~F.contains(a, w))
 
 
-def _matches(text: Column, anchor: Column, patterns: list[str]) -> Column:
+def _matches(text: Text, anchor: Text, patterns: list[str]) -> Column:
     none = F.array().cast("array<string>")
     return F.flatten(F.array(*[F.when(low(anchor).rlike(p), none).otherwise(F.regexp_extract_all(low(text), F.lit(p), F.lit(0))) for p in patterns]))
 
 
-def _companies(text: Column, anchor: Column) -> Column:
+def _companies(text: Text, anchor: Text) -> Column:
     a = low(anchor)
     return F.filter(F.regexp_extract_all(_text(text), F.lit(L.COMPANY_NAME), F.lit(0)), lambda m: ~F.contains(a, F.lower(m)))
 
@@ -56,7 +56,7 @@ def _listed(items: Column, kind: str, evidence) -> Column:
     return F.transform(items, lambda x: F.struct(F.lit(kind).alias("violation_type"), evidence(x).alias("evidence"), F.lit("hard").alias("severity")))
 
 
-def violations(text: Column, anchor: Column) -> Column:
+def violations(text: Text, anchor: Text) -> Column:
     """All violations with evidence, in the order of the detectors."""
     t, lo = _text(text), low(text)
     return F.concat(
@@ -69,7 +69,7 @@ def violations(text: Column, anchor: Column) -> Column:
     )
 
 
-def hard(text: Column, anchor: Column) -> Column:
+def hard(text: Text, anchor: Text) -> Column:
     """Is any claim unsupported?  Stops at the first detector that says so."""
     found = F.size(invented_numbers(text, anchor)) > 0
     for words in (L.NUMERIC_WORDS, L.AWARDS, L.GUARANTEES):

@@ -8,7 +8,9 @@ on a null text, which scorers turn into an error.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litmusq.functions import lexicons as L
@@ -19,8 +21,33 @@ def clamp(x: Column) -> Column:
     return F.when(x.isNull() | F.isnan(x), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
-def low(text: Column) -> Column:
-    return F.lower(F.coalesce(text, F.lit("")))
+@dataclass(frozen=True)
+class Prepared:
+    """A text with what the probes share of it already computed in columns."""
+
+    text: Column
+    low: Column
+    toks: Column
+    content: Column
+
+
+Text = Column | Prepared
+
+
+def prepared(df: DataFrame, text: str, prefix: str) -> tuple[DataFrame, Prepared]:
+    """Adds the shared columns of a text under a prefix, once for all probes."""
+    t = F.col(text)
+    df = df.withColumn(f"{prefix}low", low(t)).withColumn(f"{prefix}toks", F.regexp_extract_all(F.col(f"{prefix}low"), F.lit("[a-zA-Z]{3,}"), F.lit(0)))
+    df = df.withColumn(f"{prefix}content", F.array_except(F.array_distinct(f"{prefix}toks"), _words(L.STOP_WORDS)))
+    return df, Prepared(t, F.col(f"{prefix}low"), F.col(f"{prefix}toks"), F.col(f"{prefix}content"))
+
+
+def plain(text: Text) -> Column:
+    return text.text if isinstance(text, Prepared) else text
+
+
+def low(text: Text) -> Column:
+    return text.low if isinstance(text, Prepared) else F.lower(F.coalesce(text, F.lit("")))
 
 
 def _escaped(words: list[str]) -> str:
@@ -40,14 +67,14 @@ def count_present(lowered: Column, markers: list[str]) -> Column:
     return total
 
 
-def tokens(text: Column) -> Column:
+def tokens(text: Text) -> Column:
     """Runs of three ASCII letters or more, lower case, in order."""
-    return F.regexp_extract_all(low(text), F.lit("[a-zA-Z]{3,}"), F.lit(0))
+    return text.toks if isinstance(text, Prepared) else F.regexp_extract_all(low(text), F.lit("[a-zA-Z]{3,}"), F.lit(0))
 
 
-def content_tokens(text: Column) -> Column:
+def content_tokens(text: Text) -> Column:
     """Different tokens without stop words."""
-    return F.array_except(F.array_distinct(tokens(text)), _words(L.STOP_WORDS))
+    return text.content if isinstance(text, Prepared) else F.array_except(F.array_distinct(tokens(text)), _words(L.STOP_WORDS))
 
 
 def _words(words: list[str]) -> Column:
@@ -59,16 +86,16 @@ def _hits(toks: Column, words: list[str]) -> Column:
     return F.size(F.filter(toks, lambda t: t.isin(words)))
 
 
-def capitalised(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(L.CAPITALISED), F.lit(0)))
+def capitalised(text: Text) -> Column:
+    return F.size(F.regexp_extract_all(F.coalesce(plain(text), F.lit("")), F.lit(L.CAPITALISED), F.lit(0)))
 
 
-def word_count(text: Column) -> Column:
+def word_count(text: Text) -> Column:
     """Words between white space of any kind, at least 1."""
-    return F.greatest(F.lit(1), F.size(F.regexp_extract_all(text, F.lit(r"[^\s ]+"), F.lit(0))))
+    return F.greatest(F.lit(1), F.size(F.regexp_extract_all(plain(text), F.lit(r"[^\s ]+"), F.lit(0))))
 
 
-def source_continuity(text: Column, anchor: Column) -> Column:
+def source_continuity(text: Text, anchor: Text) -> Column:
     a, t = content_tokens(anchor), content_tokens(text)
 
     def part(words: list[str]) -> Column:
@@ -79,7 +106,7 @@ def source_continuity(text: Column, anchor: Column) -> Column:
     return F.when(F.size(a) == 0, F.lit(0.5)).otherwise(clamp(0.5 * whole + 0.25 * part(L.ACTION_WORDS) + 0.25 * part(L.DOMAIN_NOUNS)))
 
 
-def argument_progression(text: Column) -> Column:
+def argument_progression(text: Text) -> Column:
     x = low(text)
     p, m, r = has_any(x, L.PROBLEM_MARKERS), has_any(x, L.MECHANISM_MARKERS), has_any(x, L.RESULT_MARKERS)
     return F.when(p & m & r, 1.0).when(m & r, 0.7).when(p & r, 0.5).when(m, 0.4).otherwise(0.0)
@@ -91,7 +118,7 @@ def _windows(lowered: Column, marker: str, after: bool, width: int) -> Column:
     return F.regexp_extract_all(lowered, F.lit(pattern), F.lit(1))
 
 
-def real_mechanism_quality(text: Column) -> Column:
+def real_mechanism_quality(text: Text) -> Column:
     x = low(text)
     score = F.lit(0.0)
     for marker in L.WINDOW_MARKERS:
@@ -103,17 +130,17 @@ def real_mechanism_quality(text: Column) -> Column:
     return clamp(score)
 
 
-def abstract_jargon_density(text: Column) -> Column:
+def abstract_jargon_density(text: Text) -> Column:
     toks = tokens(text)
     return clamp(_hits(toks, L.JARGON) / F.greatest(F.lit(1.0), F.size(toks) / 10))
 
 
-def specificity_without_invention(text: Column, hard: Column) -> Column:
+def specificity_without_invention(text: Text, hard: Column) -> Column:
     toks = tokens(text)
     return F.when(hard, 0.0).otherwise(clamp(capitalised(text) * 0.08 + _hits(toks, L.SPECIFIC_VERBS) * 0.15 - _hits(toks, L.JARGON) * 0.06))
 
 
-def mechanism_result_alignment(text: Column) -> Column:
+def mechanism_result_alignment(text: Text) -> Column:
     x = low(text)
 
     def side(markers: list[str], first: list[str], second: list[str], gain: float, jargon_cost: float, missing: float) -> Column:
@@ -134,26 +161,26 @@ def mechanism_result_alignment(text: Column) -> Column:
     return clamp(mechanism + result)
 
 
-def causal_density(text: Column) -> Column:
-    sentences = F.greatest(F.lit(1), F.size(F.split(F.regexp_replace(text, r"^[\s ]+|[\s ]+$", ""), "[.!?]", -1)))
-    return F.when(text.isNotNull(), clamp(count_present(low(text), L.CAUSAL_MARKERS) / F.greatest(F.lit(1.0), sentences * 1.5)))
+def causal_density(text: Text) -> Column:
+    sentences = F.greatest(F.lit(1), F.size(F.split(F.regexp_replace(plain(text), r"^[\s ]+|[\s ]+$", ""), "[.!?]", -1)))
+    return F.when(plain(text).isNotNull(), clamp(count_present(low(text), L.CAUSAL_MARKERS) / F.greatest(F.lit(1.0), sentences * 1.5)))
 
 
-def specificity(text: Column) -> Column:
+def specificity(text: Text) -> Column:
     toks = tokens(text)
     return clamp(capitalised(text) * 0.08 + _hits(toks, L.GENERAL_VERBS) * 0.15 - _hits(toks, L.ABSTRACT_WORDS) * 0.05)
 
 
-def audience_relevance(text: Column) -> Column:
+def audience_relevance(text: Text) -> Column:
     second = F.size(F.regexp_extract_all(low(text), F.lit(r"\b(?:you|your)\b"), F.lit(0)))
-    return F.when(text.isNotNull(), clamp(count_present(low(text), L.BEFORE_STATE) * 0.3 + second / F.greatest(F.lit(1.0), word_count(text) / 8) * 0.5))
+    return F.when(plain(text).isNotNull(), clamp(count_present(low(text), L.BEFORE_STATE) * 0.3 + second / F.greatest(F.lit(1.0), word_count(text) / 8) * 0.5))
 
 
-def persuasion_risk(text: Column) -> Column:
-    return F.when(text.isNotNull(), clamp(count_present(low(text), L.HYPE_FLAGS) / F.greatest(F.lit(1.0), word_count(text) / 15)))
+def persuasion_risk(text: Text) -> Column:
+    return F.when(plain(text).isNotNull(), clamp(count_present(low(text), L.HYPE_FLAGS) / F.greatest(F.lit(1.0), word_count(text) / 15)))
 
 
-def epistemic_calibration(text: Column) -> Column:
+def epistemic_calibration(text: Text) -> Column:
     hedges, best = count_present(low(text), L.HEDGES), count_present(low(text), L.SUPERLATIVES)
     density = best / F.greatest(F.lit(1.0), word_count(text) / 20)
-    return F.when(text.isNotNull(), F.when(density > 0.4, clamp(0.1 - density * 0.1)).otherwise(clamp(0.5 + hedges * 0.1 - best * 0.1)))
+    return F.when(plain(text).isNotNull(), F.when(density > 0.4, clamp(0.1 - density * 0.1)).otherwise(clamp(0.5 + hedges * 0.1 - best * 0.1)))

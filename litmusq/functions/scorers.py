@@ -101,7 +101,10 @@ NEED_TEXT = frozenset("S_r0_001 S_r0_002 S_r0_003 S_r0_004 S_r0_005 S_r0_006 S_r
 
 def with_probes(df: DataFrame, text: str, anchor: str, prefix: str = "") -> DataFrame:
     """Adds ``hard`` and the probes of a text column, each under ``prefix``."""
-    t, a = F.col(text), F.col(anchor)
+    if "a_low" not in df.columns:
+        df, _ = probes.prepared(df, anchor, "a_")
+    a = probes.Prepared(F.col(anchor), F.col("a_low"), F.col("a_toks"), F.col("a_content"))
+    df, t = probes.prepared(df, text, prefix)
     df = df.withColumn(f"{prefix}hard", policy.hard(t, a))
     h = F.col(f"{prefix}hard")
     made = {
