@@ -122,3 +122,17 @@ def test_empty_tables(spark):
     assert E.summaries(e).count() == 0
     assert E.frontier(E.eligibility(E.summaries(e))).count() == 0
     assert E.repair_deltas(e).count() == 0
+
+
+def test_trusted_code(spark):
+    from litmusq.functions import usercode
+
+    rows = [("a", "def scorer(text, anchor, params):\n    return len(text) / 10", t) for t in ("abc", "abcdef", "a" * 30)]
+    rows += [("b", "def scorer(text, anchor, params):\n    return 1 / 0", "x"), ("c", "not python", "x"), ("d", "import os\ndef scorer(t, a, p): return 0.5", "x"), ("e", None, None)]
+    df = spark.createDataFrame(rows, "sid string, code string, text string").withColumn("anchor", F.lit("an anchor"))
+    got = usercode.run(df).collect()
+    assert [(r.value, r.out_of_range) for r in got if r.sid == "a"] == [(0.3, False), (0.6, False), (1.0, True)]
+    assert all(r.value == 0.5 and not r.ok and r.error for r in got if r.sid in "bce")
+    smoke = {r.sid: (r.runs, r.numeric, r.nonconstant) for r in usercode.smoke(usercode.run(df), "sid").collect()}
+    assert smoke["a"] == (True, True, True) and smoke["b"] == (False, False, False)
+    assert {r.sid for r in df.where(usercode.unsafe(F.col("code"))).collect()} == {"d"}
