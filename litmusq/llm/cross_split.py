@@ -39,6 +39,8 @@ EVALUATION = ("test", "heldout", "adversarial")
 #: Part of the longer record that shared chunks must cover for a pair to be a candidate.
 OVERLAP = 0.2
 _LENGTH_BITS = 12
+#: Bytes of text cut at once; the arrays of the work take about a hundred times that.
+PIECE = 1 << 20
 
 
 def split_name(split: Column) -> Column:
@@ -53,13 +55,17 @@ def pair_records(pairs: DataFrame) -> DataFrame:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    low = (1 << _LENGTH_BITS) - 1
     for batch in batches:
         texts = [t.encode() for t in batch.column("content").to_pylist()]
-        owner, digest, length = chunk_batch(texts)
-        low = (1 << _LENGTH_BITS) - 1
-        coded = (digest & ~np.int64(low)) | np.minimum(length, low)
-        offsets = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(coded))], ["rid", "chunks"])
+        ends = np.cumsum([len(t) for t in texts]) // PIECE
+        bounds = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)] if texts else [0, 0]
+        for i, j in zip(bounds, bounds[1:]):
+            part = texts[i:j]
+            owner, digest, length = chunk_batch(part)
+            coded = (digest & ~np.int64(low)) | np.minimum(length, low)
+            offsets = np.searchsorted(owner, np.arange(len(part) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("rid").slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets), pa.array(coded))], ["rid", "chunks"])
 
 
 def _length(chunk: Column) -> Column:

@@ -32,6 +32,8 @@ LIMIT_COUNT, LIMIT_TIMES = 5, 3
 _TRAILER = regex.compile(r"(?:\n\s*(?:\[[^\[\]\n]{0,60}\]|\([^()\n]{0,40}\)|-{2,}[^\n]{0,40}))+\s*$")
 _BRACKET_MARK = regex.compile(r"\s*\[(?:cut|truncated|snip|\.\.\.|…)[^\[\]]{0,20}\]\s*$", regex.I)
 _MARK = regex.compile(r"(?:…|\.{3,}|\N{REPLACEMENT CHARACTER}|\\u?[0-9a-fA-F]{0,3}|[\-–—~|^]|\s|[​﻿]|\p{So}|\p{Cn}|\p{Co})+$")
+#: Characters at the end of a text in which marks are looked for at once.
+_TAIL = 400
 _JSON = regex.compile(r"[\[{](?=\s*(?:[\"'{\[\]}]|//|\w+\s*:|$))")
 
 
@@ -53,11 +55,26 @@ def _json_end(text: str, start: int) -> int:
     return -1
 
 
+def _tail_sub(pattern: regex.Pattern, text: str) -> str:
+    """Takes a match at the end off.  Only the tail is searched, again and again while all of it goes, so long runs of space cost nothing."""
+    while text:
+        tail = text[-_TAIL:]
+        short = pattern.sub("", tail)
+        text = text[: len(text) - len(tail)] + short
+        if short or len(short) == len(tail):
+            break
+    return text
+
+
+def untrailed(text: str) -> str:
+    """The text without trailer lines behind it."""
+    return _tail_sub(_TRAILER, text.rstrip())
+
+
 def bare(text: str) -> tuple[str, bool]:
     """The text without marks and trailers behind it, and if dots or a broken character stood there."""
-    kept = _TRAILER.sub("", text.rstrip())
-    kept = _BRACKET_MARK.sub("", kept)
-    short = _MARK.sub("", kept)
+    kept = _tail_sub(_BRACKET_MARK, untrailed(text))
+    short = _tail_sub(_MARK, kept)
     return short, short != kept.rstrip()
 
 
@@ -65,7 +82,7 @@ def look(text: str | None) -> tuple[str, list[str], str | None]:
     """('whole' | 'cut' | 'ask', runs at the end, last word)."""
     if not text or not regex.search(r"\w", text):
         return "whole", [], None
-    plain = _TRAILER.sub("", text.rstrip())
+    plain = untrailed(text)
     start = _JSON.search(plain)
     begin = plain
     if start:

@@ -186,3 +186,18 @@ def test_cut_values_by_length_and_words(spark):
     rates = truncation.cut_rates(spark.createDataFrame(rows, stored)).collect()
     assert {r.source for r in rates} == {"good", "short", None} and all(0 <= r.share <= 1 for r in rates)
     assert truncation.cut_values(spark.createDataFrame([], stored)).count() == 0
+
+
+def test_marks_behind_long_runs():
+    assert truncation.bare("It ends." + " " * 200_000 + "…" + "\n" * 100_000)[0] == "It ends."
+    assert truncation.look("word " * 100_000 + "\n" * 100_000 + "Last.")[0] == "whole"
+    assert pair_defects.look("x" * 500_000, "An anchor.")[0] == []
+
+
+def test_many_long_records_are_cut_in_pieces(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(f"T{i:02}", "a b c", text(rng, 400), text(rng, 300), "train", "s", i, T, "", "") for i in range(12)]
+    rows += [("E" + r[0], r[1], edited(rng, r[2], 0.02), edited(rng, r[3], 0.02), "test", "s", 100 + i, T, "", "") for i, r in enumerate(rows)]
+    monkeypatch.setattr(cross_split, "PIECE", 5_000)
+    got = {tuple(r) for r in cross_split.found_pairs(cross_split.cross_split_overlaps(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert got == {(f"ET{i:02}", f"T{i:02}") for i in range(12)}
