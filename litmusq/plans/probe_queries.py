@@ -56,7 +56,7 @@ def _probe(formula: Callable[[Column, Column], Column]) -> Callable[[SparkSessio
 
 def policy_violations(spark: SparkSession, folder: str) -> DataFrame:
     found = texts(spark, folder).select("pair_id", "field", F.explode(policy.violations(F.col("text"), F.col("anchor"))).alias("v"))
-    return found.groupBy("pair_id", "field", F.col("v.violation_type").alias("violation_type")).agg(F.count(F.lit(1)).alias("n"), F.max("v.evidence").alias("last_evidence"))
+    return found.groupBy("pair_id", "field", F.col("v.violation_type").alias("violation_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def policy_hard_rate(spark: SparkSession, folder: str) -> DataFrame:
@@ -197,6 +197,8 @@ SQL["pair_policy_filter"] = f"""WITH {TEXTS_SQL}, h AS (SELECT pair_id, pair_typ
 SELECT pair_type, count(*) FILTER (field = 'positive' AND NOT hard) AS valid, count(*) FILTER (field = 'positive' AND hard) AS dropped,
        count(*) FILTER (field = 'negative' AND hard) AS negatives_noted FROM h GROUP BY pair_type"""
 
+_KINDS = {"invented_numeric_digit": "len(new_numbers)", "invented_time_or_quantity_claim": _new_matches(L.TIME_QUANTITY), "invented_customer_or_company_claim": f"{_new_matches(L.CUSTOMER_CLAIMS)} + {_COMPANY}"} | {k: _new_words(w) for k, w in _WORD_RULES}
+SQL["policy_violations"] = f"WITH {TEXTS_SQL}, k AS (" + " UNION ALL ".join(f"SELECT pair_id, field, '{k}' AS violation_type, ({x})::BIGINT AS n FROM c" for k, x in _KINDS.items()) + ") SELECT * FROM k WHERE n > 0"
 _C = {
     "S_r0_001": "CASE WHEN jar > 0.3 THEN 0 ELSE CL((0.5*prog + 0.3*mech + 0.2*greatest(0, rmq)) * (0.5 + 0.5*cont)) END",
     "S_r0_002": "CL(greatest(0, 0.4*rel + 0.6*least(mech*(1+0.25*rel), 1.25*mech)) * (0.6 + 0.4*cont) - 0.5*greatest(0, jar - 0.1))",
