@@ -10,8 +10,8 @@ them, so bands below it are dropped and no case is lost.  What is left is
 verified by a banded local alignment of the words: the aligned part must hold
 half of the item's words and agree in all but the changed ones.
 
-The items are the stated query set.  They go to the workers in blocks of at most
-``BLOCK`` items; the corpus is read once per block.  Null and blank texts and
+The items are the stated query set.  They go to the workers in blocks of about
+``BLOCK`` items or ``BLOCK_CHARS`` characters; the corpus is read once per block.  Null and blank texts and
 items without a word give no row; an item shorter than a q-gram must occur whole.
 Very long documents are looked at in overlapping windows, whole.
 """
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from litmusq.llm.chunking import mix64
 
-#: Letters of a q-gram; width of half a band in letters; items of a block.
-Q, HALF_BAND, BLOCK = 10, 32, 2000
+#: Letters of a q-gram; width of half a band in letters; items and characters of a block.
+Q, HALF_BAND, BLOCK, BLOCK_CHARS = 10, 32, 2000, 2_000_000
 #: Part of an item's words that is a case; part of the words that may be changed; the same with slack, for the filter.
 PART, CHANGED, SLACK_PART, SLACK_CHANGED = 0.5, 0.14, 0.45, 0.13
 #: Cost of a changed, extra or missing word against 1 for an equal one, and extra words beside the diagonal.
@@ -212,7 +212,8 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): each document that holds an item or an unbroken part of it with at least half of its words."""
     spark = documents.sparkSession
     known = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
-    blocks = max(1, math.ceil(known.count() / BLOCK))
+    size = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, math.ceil(size.n / BLOCK), math.ceil(size.chars / BLOCK_CHARS))
     texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
     out = None
     for b in range(blocks):

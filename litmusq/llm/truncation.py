@@ -144,7 +144,7 @@ def judged(results: DataFrame) -> DataFrame:
     values = one.select("result_id", "source", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in FIELDS])).alias("x")).select("result_id", "source", "x.field", "x.text").where("text IS NOT NULL")
     sized = materialise(values.withColumn("chars", F.length("text")).withColumn("bytes", F.octet_length("text")), "values")
     for measure in ("chars", "bytes"):
-        limit = F.broadcast(_limits(sized.where("chars > 0"), measure))  # a row per source and field at most
+        limit = _limits(sized.where("chars > 0"), measure)  # a row per source and field; Spark broadcasts it if it is small
         sized = sized.join(limit, F.col("source").eqNullSafe(F.col("l_source")) & (F.col("field") == F.col("l_field")), "left").drop("l_source", "l_field")
     at_limit = (F.col("chars") == F.col("chars_limit")) | F.col("bytes").between(F.col("bytes_limit") - 3, F.col("bytes_limit"))
     sized = materialise(sized.withColumn("at_limit", F.coalesce(at_limit, F.lit(False))), "sized")
