@@ -1,7 +1,7 @@
 """Does a text end where it should?  Evidence from the texts of a whole corpus.
 
-Every word, and every run of two or three, is counted inside sentences and at
-their ends.  The counts form a table keyed by the run; the vocabulary trie is a
+Every word, and every run of up to ``RUN`` words, is counted inside sentences and
+at their ends.  The counts form a table keyed by the run; the vocabulary trie is a
 table too, one row per prefix with the number of words below it, so neither has
 to fit anywhere.  A text that stops without a terminator is then judged by its
 last words: an unknown word that is a proper prefix of known ones was cut inside
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from litmusq.plans.lineage import materialise
 
-#: Runs ending a sentence less often than this part of their occurrences don't end one; occurrences a run needs to count; see ``judge``.
-LEAST_END, SUPPORT, RARE = 0.04, 4, 0.02
+#: Runs ending a sentence less often than this part of their occurrences don't end one; occurrences a run needs to count, and one of over three words; see ``judge``.
+LEAST_END, SUPPORT, LONG_SUPPORT, RARE = 0.04, 4, 15, 0.02
+#: Words of the longest run, and runs a worker counts before it passes them on.
+RUN, HELD = 6, 300_000
 #: Characters of a word's prefix that the trie has at most.
 PREFIX = 24
 
@@ -40,9 +42,9 @@ def shape(token: str, first: bool) -> str:
 
 
 def grams(tokens: list[str], starts: bool) -> list[str]:
-    """The runs of one, two and three tokens at the end, shortest first."""
-    last = tokens[-3:]
-    shaped = [shape(t, starts and len(tokens) <= 3 and i == 0) for i, t in enumerate(last)]
+    """The runs of one token, two and so on at the end, shortest first."""
+    last = tokens[-RUN:]
+    shaped = [shape(t, starts and len(tokens) <= RUN and i == 0) for i, t in enumerate(last)]
     return [" ".join(shaped[-n:]) for n in range(1, len(shaped) + 1)]
 
 
@@ -69,14 +71,20 @@ def ends_closed(text: str) -> bool:
     return bool(_CLOSED.search(text))
 
 
+def _partial(inside: Counter[str], ended: Counter[str], words: Counter[str]) -> Iterator[pa.RecordBatch]:
+    rows = [("g", k, inside[k], ended[k]) for k in inside.keys() | ended.keys()] + [("w", k, v, 0) for k, v in words.items()]
+    for i in range(0, len(rows), 1 << 16):
+        kind, key, a, b = zip(*rows[i : i + (1 << 16)])
+        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(key, pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["kind", "key", "inside", "ended"])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts per batch: gram, times inside, times at an end, times as written."""
+    """Partial counts: run, times inside, times at an end; word, times as written."""
+    inside: Counter[str] = Counter()
+    ended: Counter[str] = Counter()
+    words: Counter[str] = Counter()
     for batch in batches:
-        inside: Counter[str] = Counter()
-        ended: Counter[str] = Counter()
-        words: Counter[str] = Counter()
-        whole = batch.column("ends").to_pylist()
-        for text, value_ends in zip(batch.column("text").to_pylist(), whole):
+        for text, value_ends in zip(batch.column("text").to_pylist(), batch.column("ends").to_pylist()):
             if not text:
                 continue
             if text.isupper():
@@ -90,22 +98,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 shaped = [shape(t, i == 0) for i, t in enumerate(tokens)]
                 final = len(shaped) - 1
-                counted = stop[0] in ".!?。！？؟।" or (stop == "$" and value_ends)
+                counted = (stop[0] in ".!?。！？؟।" and not stop.startswith("..") and "…" not in stop) or (stop == "$" and value_ends)
                 # the end of an unfinished piece says nothing about its last words
-                for i in range(final + 1 if counted or stop != "$" else final):
-                    target = ended if counted and i == final else inside
-                    if i == final and not counted:
-                        continue
-                    target[shaped[i]] += 1
-                    if i:
-                        target[f"{shaped[i - 1]} {shaped[i]}"] += 1
-                    if i > 1:
-                        target[f"{shaped[i - 2]} {shaped[i - 1]} {shaped[i]}"] += 1
+                for i in range(final + 1 if counted else final):
+                    target = ended if i == final else inside
+                    run = shaped[i]
+                    target[run] += 1
+                    for j in range(i - 1, max(-1, i - RUN), -1):
+                        run = f"{shaped[j]} {run}"
+                        target[run] += 1
                 words.update(t.lower() for t in (tokens if counted or stop != "$" else tokens[:-1]) if not t[0].isnumeric())
-        rows = [("g", k, inside[k], ended[k]) for k in inside.keys() | ended.keys()] + [("w", k, v, 0) for k, v in words.items()]
-        for i in range(0, len(rows), 1 << 16):
-            kind, key, a, b = zip(*rows[i : i + (1 << 16)])
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(key, pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["kind", "key", "inside", "ended"])
+            if len(inside) > HELD:
+                yield from _partial(inside, ended, words)
+                inside, ended, words = Counter(), Counter(), Counter()
+    yield from _partial(inside, ended, words)
 
 
 def statistics(texts: DataFrame) -> DataFrame:
@@ -121,8 +127,8 @@ def statistics(texts: DataFrame) -> DataFrame:
 def judge(asked: DataFrame, texts: DataFrame) -> DataFrame:
     """``asked`` (id columns, grams array<string>, word string) with the evidence on how it ends.
 
-    Adds: end_share (share of ends among the occurrences of the longest run with
-    SUPPORT, null if none has it), run (words of that run), known (times the last
+    Adds: end_share (share of ends among the occurrences of the longest run that
+    occurs often enough, null if none does), run (words of that run), known (times the last
     word occurs), below (different words it is a proper prefix of), stump (it is a
     prefix of words and occurs at most once, or RARE times as often as the most
     frequent of them: the trace of other texts cut at the same place).
@@ -131,7 +137,7 @@ def judge(asked: DataFrame, texts: DataFrame) -> DataFrame:
     asked = materialise(asked.withColumn("ask", F.monotonically_increasing_id()), "asked")
     wanted = asked.select("ask", F.posexplode("grams").alias("n", "key"))
     runs = stats.where("kind = 'g'").select("key", "inside", "ended").join(wanted.select("key").distinct(), "key", "left_semi")
-    seen = wanted.join(runs, "key").where(F.col("inside") + F.col("ended") >= SUPPORT)
+    seen = wanted.join(runs, "key").where(F.col("inside") + F.col("ended") >= F.when(F.col("n") > 2, LONG_SUPPORT).otherwise(SUPPORT))
     best = seen.groupBy("ask").agg(F.max_by(F.struct("n", "inside", "ended"), "n").alias("b"))
     best = best.select("ask", (F.col("b.n") + 1).alias("run"), (F.col("b.ended") / (F.col("b.inside") + F.col("b.ended"))).alias("end_share"))
     words = asked.where("word IS NOT NULL").select(F.lower("word").alias("key")).distinct()

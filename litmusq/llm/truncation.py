@@ -28,6 +28,8 @@ from litmusq.sources.tables import latest
 FIELDS = ("raw_response", "parse_error")
 #: Different values of exactly a source's greatest length from which that length is a limit, and how many times the usual count of the lengths below.
 LIMIT_COUNT, LIMIT_TIMES = 5, 3
+#: Messages have no stops, so their ends count as ends, cut ones too: a run must end far more of them.
+LEAST_MESSAGE_END = 0.3
 
 _TRAILER = regex.compile(r"(?:\n\s*(?:\[[^\[\]\n]{0,60}\]|\([^()\n]{0,40}\)|-{2,}[^\n]{0,40}))+\s*$")
 _BRACKET_MARK = regex.compile(r"\s*\[(?:cut|truncated|snip|\.\.\.|…)[^\[\]]{0,20}\]\s*$", regex.I)
@@ -153,7 +155,7 @@ def judged(results: DataFrame) -> DataFrame:
     corpus = sized.select("text", ((F.col("field") == "parse_error") & ~F.col("at_limit")).alias("ends"))
     evidence = judge(asked.select("result_id", "source", "field", "at_limit", "grams", "word"), corpus)
     unknown = (F.col("known") <= 1) & F.col("word").rlike(r"^\p{Ll}")
-    cut = F.col("at_limit") | F.col("stump") | (F.col("end_share") < LEAST_END) | (F.col("end_share").isNull() & unknown)
+    cut = F.col("at_limit") | F.col("stump") | (F.col("end_share") < F.when(F.col("field") == "parse_error", LEAST_MESSAGE_END).otherwise(LEAST_END)) | (F.col("end_share").isNull() & unknown)
     told = evidence.select("result_id", "source", "field", F.coalesce(cut, F.lit(False)).alias("cut"))
     return seen.where("state <> 'ask'").select("result_id", "source", "field", (F.col("state") == "cut").alias("cut")).unionByName(told)
 
