@@ -240,7 +240,7 @@ SQL: dict[str, str] = {
         {_rate("coalesce(source_id, '') <> ''")} AS source_trace_rate, {_rate("ok")} AS causal_node_reference_validity_rate, {_rate(f"abs({_WC.format('positive')} - {_WC.format('negative')}) <= 9")} AS length_balance_rate, {_rate("k IS NOT NULL")} AS minimal_contrast_rate,
         {_rate("coalesce(negative, '') <> ''")} AS target_direction_clarity_rate, {_rate("k % 5 <> 0")} AS controlled_variable_pass_rate, {_rate("NOT coalesce(contains(positive, 'Nothing'), false)")} AS positive_policy_pass_rate, {_rate("twice")} AS near_duplicate_pair_rate, round(0.0 + 1e-9, 6) AS heldout_leakage_risk
         FROM k2 GROUP BY result_id""",
-    "near_duplicate_pairs": f"WITH {_R}, {_P5}, {_SETS} SELECT result_id, ord FROM {_twice(0.25)}",
+    "near_duplicate_pairs": f"WITH {_R}, {_P5}, {_SETS} SELECT result_id, ord::INT AS ord FROM {_twice(0.25)}",
     "stage6_signals": f"""WITH {_E}, s AS (SELECT run_id, scorer_id, avg(failed::INT) AS err, max(greatest(p, n)) - min(least(p, n)) AS spread, avg((p > n)::INT) FILTER (NOT failed AND sp = 'train') AS ta, avg((p > n)::INT) FILTER (NOT failed AND sp IN ('test', 'heldout')) AS ha,
         avg(p - n) FILTER (NOT failed AND sp = 'train') AS tg, avg(p - n) FILTER (NOT failed AND sp IN ('test', 'heldout')) AS hg FROM e GROUP BY ALL)
         SELECT run_id, count(*) AS num_scorers_evaluated, {_rate("err = 0")} AS execution_valid_rate, {_rate("err = 0")} AS numeric_return_rate, {_rate("spread > 0.001")} AS nonconstant_scorer_rate, {_rate("spread > 0")} AS score_range_valid_rate, {_rate("ta IS NOT NULL")} AS train_accuracy_presence_rate,
