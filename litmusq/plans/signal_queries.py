@@ -1,7 +1,9 @@
 """Queries of the stage signals over stage_results, with their SQL.
 
 The stage outputs of the data carry fewer fields than the signals look at; each
-query says how it fills the others, the same way in both languages.
+query says how it fills the others, the same way in both languages.  The SQL
+reads only answers that are bare JSON; fences and repair are beyond it, so its
+rows are those of such answers alone.
 """
 
 from __future__ import annotations
@@ -14,13 +16,14 @@ from pyspark.sql import functions as F
 from litmusq.operators import signals as S
 from litmusq.plans.eval_queries import _E, _PAIRS, _round, facts
 from litmusq.plans.probe_queries import pairs
+from litmusq.sources.files import answered_json
 from litmusq.sources.tables import latest, table
 
 
 def outputs(spark: SparkSession, folder: str, stage: int) -> DataFrame:
-    """The outputs of a stage that are one whole JSON object, one row per result_id; the parser alone would ignore what follows it."""
-    one = latest(table(spark, folder, "stage_results"), "result_id", ["ingested_at", "called_at"], ["result_id", "run_id", "stage_num", "raw_response"]).where((F.col("stage_num") == stage) & F.col("raw_response").rlike(r"^\s*\{") & F.col("raw_response").rlike(r"\}\s*$") & ~F.col("raw_response").rlike(r",\s*[\]}]"))
-    return one.where(F.coalesce(F.schema_of_variant(F.try_parse_json("raw_response")).startswith("OBJECT"), F.lit(False)))
+    """The outputs of a stage that are a JSON object once fences are off and cut ends repaired, one row per result_id."""
+    one = latest(table(spark, folder, "stage_results"), "result_id", ["ingested_at", "called_at"], ["result_id", "run_id", "stage_num", "raw_response"]).where(F.col("stage_num") == stage)
+    return answered_json(one).where(F.ltrim("raw_response").startswith("{"))
 
 
 def items(spark: SparkSession, folder: str, stage: int, field: str, schema: str) -> DataFrame:

@@ -87,19 +87,73 @@ def repaired(text: str | None) -> str | None:
             ends.append((i + 1, "".join(reversed(stack))))
         elif c == ",":
             ends.append((i, "".join(reversed(stack))))
-    for end, close in reversed(ends[-400:]):
+    bad = len(body)  # what is wrong here is wrong in every prefix that reaches beyond it
+    for end, close in reversed(ends):
+        if end > bad:
+            continue
         try:
             return json.dumps(json.loads(body[:end] + close), ensure_ascii=False)
+        except json.JSONDecodeError as e:
+            bad = min(bad, e.pos) if e.pos < end else bad
         except ValueError:
             continue
     return None
 
 
+def answered(text: str | None) -> str | None:
+    """The JSON text the stages take from a model's answer, None where they report a parse error.
+
+    As they do: what is inside the first fence, the rest where it never closes;
+    if that doesn't parse, all open brackets are closed, then what follows the
+    last balanced bracket is left out.
+    """
+    body = (text or "").strip()
+    for fence in ("```json", "```"):
+        start = body.find(fence)
+        if start >= 0:
+            start += len(fence)
+            end = body.find("```", start)
+            body = (body[start:end] if end > start else body[start:]).strip()
+            break
+    braces = brackets = balanced = 0
+    for m in re.finditer(r"[{}\[\]]", body):
+        c = m.group()
+        braces += (c == "{") - (c == "}")
+        brackets += (c == "[") - (c == "]")
+        if c in "}]" and braces == brackets == 0:
+            balanced = m.end()
+    tries = [body]
+    if braces > 0 or brackets > 0:
+        tries.append(body.rstrip().rstrip(",") + "]" * brackets + "}" * braces)
+    if balanced > 10:
+        tries.append(body[:balanced])
+    for t in tries:
+        try:
+            json.loads(t)
+            return t
+        except (ValueError, RecursionError):
+            continue
+    return None
+
+
 def _repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([repaired(t) for t in batch.column(1).to_pylist()], pa.string())], ["id", "json"])
 
 
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = pa.array([answered(t) for t in batch.column("raw_response").to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("result_id"), batch.column("run_id"), texts], ["result_id", "run_id", "raw_response"])
+
+
+def answered_json(results: DataFrame) -> DataFrame:
+    """(result_id, run_id, raw_response) with the JSON text of every answer that has some."""
+    kinds = dict(results.dtypes)
+    one = results.select("result_id", "run_id", "raw_response")
+    return one.mapInArrow(_answer, f"result_id {kinds['result_id']}, run_id {kinds['run_id']}, raw_response string").where("raw_response IS NOT NULL")
+
+
 def repair_json(answers: DataFrame, key: str, text: str) -> DataFrame:
     """(key, json): the repaired JSON of every answer, null where there is none."""
     out = answers.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).mapInArrow(_repair, "id string, json string")

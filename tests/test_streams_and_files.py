@@ -1,5 +1,6 @@
 """Streaming twins, file sources, extraction and folds."""
 
+import datetime
 import json
 import os
 from pathlib import Path
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from litmusq.operators import audit, market, signals, traces
-from litmusq.plans import stream_queries
+from litmusq.plans import signal_queries, stream_queries
 from litmusq.plans.market_queries import MOVES
 from litmusq.sources import files, sinks
 from litmusq.streaming import events as S
@@ -108,6 +109,41 @@ def test_repaired_json(text, want):
     assert (None if got is None else json.loads(got)) == want
 
 
+def test_repair_walks_back_beyond_400_places():
+    text = '{"a": [1, 2], "b": tru x' + ', "k"' * 500
+    assert json.loads(files.repaired(text)) == {"a": [1, 2]}
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('{"a": "x, ]"}', {"a": "x, ]"}),
+        ('```json\n{"a": 1}\n```', {"a": 1}),
+        ('Sure:\n```\n{"a": 1}\n``` done', {"a": 1}),
+        ('```json\n{"a": 1}', {"a": 1}),
+        ('{"a": {"b": 1},', {"a": {"b": 1}}),
+        ('{"a": [1, 2, 3]} and more', {"a": [1, 2, 3]}),
+        ('{"a": [1, {"b": "x', None),
+        ("[1, 2,", [1, 2]),
+        ('{"a": [1,]}', None),
+        ("nothing", None),
+        (None, None),
+    ],
+)
+def test_answers_are_read_as_the_stages_do(text, want):
+    got = files.answered(text)
+    assert (None if got is None else json.loads(got)) == want
+
+
+def test_signals_see_fenced_and_cut_answers(spark, tmp_path):
+    item = '{"causal_research": [{"source_id": "S1", "claim": "a, ]", "effect_direction": "up", "mechanism": "m"}]}'
+    texts = [item, f"```json\n{item}\n```", item.replace(", ]", "")[:-1], item.replace(", ]", "") + " and more", "no", "[1]", None]
+    t = datetime.datetime(2025, 1, 1)
+    rows = [(f"R{i}", "run", 1, x, t, t) for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "result_id string, run_id string, stage_num int, raw_response string, ingested_at timestamp, called_at timestamp").write.parquet(str(tmp_path / "stage_results.parquet"))
+    assert sorted(r.result_id for r in signal_queries.stage1(spark, str(tmp_path)).collect()) == ["R0", "R1", "R2", "R3"]
+
+
 def test_panel_shapes(spark):
     df = spark.createDataFrame([(1, '{"responses": [{"v": 1}]}'), (2, '[{"v": 2}]'), (3, '{"ann": {"v": 3}}'), (4, "junk"), (5, None)], "i int, t string")
     assert sorted((r.i, r.name, json.loads(r.payload)["v"]) for r in files.panel(df, "t").collect()) == [(1, None, 1), (2, None, 2), (3, "ann", 3)]
