@@ -1,19 +1,21 @@
-"""Overlaps of evaluation records with training records by content-defined chunks.
+"""Overlaps of evaluation records with training records: exact candidates by rare words, overlap by chunks.
 
 1. Records are normalised to words and collapsed into classes of equal content.
-2. Every class is cut into chunks where a rolling hash says so; a chunk's digest
-   carries the chunk's length in its low bits.
-3. Digests are counted per side.  A class keeps its rarest chunks, in one global
-   order, until what is left weighs no more than ``overlap`` of the record: two
-   records whose shared chunks weigh at least that part of the longer record
-   share a kept chunk (prefix filtering), so no pair is lost by it and digests
-   everybody has are never joined on.
-4. Kept digests are joined across the sides.  The join carries a bitmap and the
-   number of each field's words: two sets of words differ in at least as many
-   words as their bitmaps in bits, so what can't be alike goes before it is a
-   row.  The lengths of all shared chunks add up to the overlap fraction of the
-   pair; pairs below ``overlap`` go.
-5. An exact check of the word sets follows.
+2. Words are counted per field.  Of n words a class keeps the rarest
+   n - ceil(threshold * n) + 1, in one global order: two sets of words of a
+   likeness of at least ``threshold`` share a kept word (prefix filtering).
+   That holds in every field, so alike records share a kept word of the
+   negative and one of the anchor.
+3. A key is a kept word of the negative, together with a kept word of the
+   anchor where more than ``COMMON`` records have the former.  Keys are joined
+   across the sides.  The join carries a bitmap and the number of each field's
+   words: two sets of words differ in at least as many words as their bitmaps
+   in bits, so what can't be alike goes before it is a row.
+4. An exact check of the word sets follows; no step loses a pair, whatever the
+   order of words and wherever the edits are.
+5. Records found alike are cut into chunks where a rolling hash says so; a
+   chunk's digest carries the chunk's length in its low bits.  The lengths of
+   shared chunks add up to the overlap fraction that is reported.
 
 Nulls: a null key drops the row; a null, empty or wordless field has likeness 0
 to anything, so its record has no overlap.  Repeated rows of a pair_id count
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litmusq.functions.words import likeness, normalised, word_hashes
@@ -36,8 +38,8 @@ from litmusq.sources.tables import latest
 
 FIELDS = ("anchor", "positive", "negative")
 EVALUATION = ("test", "heldout", "adversarial")
-#: Part of the longer record that shared chunks must cover for a pair to be a candidate.
-OVERLAP = 0.2
+#: Records up to which a kept word of the negative is a key alone.
+COMMON = 64
 _LENGTH_BITS = 12
 #: Bytes of text cut at once; the arrays of the work take about a hundred times that.
 PIECE = 1 << 20
@@ -91,42 +93,53 @@ def _may_be_alike(a: str, b: str, threshold: float) -> Column:
     return ok
 
 
-def chunk_overlaps(classes: DataFrame, threshold: float, overlap: float = OVERLAP) -> DataFrame:
-    """Pairs of a training class and an evaluation class with their overlap fraction.
+def _kept(classes: DataFrame, threshold: float) -> DataFrame:
+    """(rid, anchor, negative): per class and field the kept words as (records, word), without those of one record."""
+    fields = ("anchor", "negative")
+    sides = [classes.select("rid", "anchor_n", "negative_n", F.lit(i).alias("field"), F.explode(f"{f}_words").alias("word")) for i, f in enumerate(fields)]
+    rows = sides[0].union(sides[1])
+    counts = rows.groupBy("field", "word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # words of one record come first in the order and meet nothing: they use up places only
+    known = rows.join(counts, ["field", "word"]).groupBy("rid", "anchor_n", "negative_n")
+    lists = known.agg(*[F.array_sort(F.collect_list(F.when(F.col("field") == i, F.struct("n", "word")))).alias(f) for i, f in enumerate(fields)])
 
-    ``classes`` has rid, content, trains and evals (both booleans; a class may
-    be on both sides, then it also pairs with others) and, per field, the number
-    of words and their bitmap.  Gives (rid_train, rid_eval, overlap) for every
-    pair of different classes that may be alike and whose shared chunks weigh at
-    least ``overlap`` of the longer one.
+    def places(f: str) -> Column:
+        total = F.col(f"{f}_n")
+        return F.greatest(F.lit(0), F.size(f) - F.ceil(total * threshold - 1e-9).cast("int") + 1)
+
+    return lists.select("rid", *[F.slice(f, F.lit(1), places(f)).alias(f) for f in fields])
+
+
+def candidates(classes: DataFrame, threshold: float) -> DataFrame:
+    """(rid_train, rid_eval) of different classes that may be alike; holds every pair with a likeness of ``threshold`` in each field.
+
+    ``classes`` has rid, trains and evals (both booleans; a class may be on both
+    sides, then it also pairs with others) and, per field, the words, their
+    number and their bitmap.
     """
     guards = [f"{f}_{x}" for f in FIELDS for x in ("n", "bits")]
-    cut = classes.select("rid", "content").mapInArrow(_cut, "rid bigint, chunks array<bigint>")
-    cut = cut.select("rid", F.array_distinct("chunks").alias("chunks"))
-    packed = materialise(cut.join(classes.select("rid", "trains", "evals", *guards), "rid").withColumn("weight", _weight(F.col("chunks"))), "chunks")
-    rows = packed.select("rid", "trains", "evals", "weight", F.explode("chunks").alias("chunk"))
-    shared = (
-        rows.groupBy("chunk")
-        .agg(F.sum(F.col("trains").cast("bigint")).alias("n_train"), F.sum(F.col("evals").cast("bigint")).alias("n_eval"))
-        .select("chunk", (F.col("n_train") * F.col("n_eval")).alias("cost"))
-    )
-    order = Window.partitionBy("rid").orderBy("cost", "chunk").rowsBetween(Window.unboundedPreceding, -1)
-    kept = (
-        rows.join(shared, "chunk")
-        .withColumn("before", F.coalesce(F.sum(_length(F.col("chunk"))).over(order), F.lit(0)))
-        .where((F.col("before") <= (1 - overlap) * F.col("weight")) & (F.col("cost") > 0))
+    keys = F.flatten(
+        F.transform("negative", lambda x: F.when(x["n"] <= COMMON, F.array(F.xxhash64(x["word"]))).otherwise(F.transform("anchor", lambda y: F.xxhash64(x["word"], y["word"]))))
     )
-    kept = kept.select("rid", "trains", "evals", "chunk").join(packed.select("rid", *guards), "rid")
-    left, right = kept.where("trains").alias("a"), kept.where("evals").alias("b")
-    meet = (F.col("a.chunk") == F.col("b.chunk")) & (F.col("a.rid") != F.col("b.rid")) & _may_be_alike("a", "b", threshold)
-    candidates = left.join(right, meet).select(F.col("a.rid").alias("rid_train"), F.col("b.rid").alias("rid_eval")).distinct()
-    side = packed.select("rid", "chunks", "weight")
-    both = candidates.join(side.toDF("rid_train", "chunks_train", "weight_train"), "rid_train").join(side.toDF("rid_eval", "chunks_eval", "weight_eval"), "rid_eval")
+    kept = _kept(classes, threshold).where((F.size("anchor") > 0) & (F.size("negative") > 0)).select("rid", keys.alias("keys"))
+    rows = kept.join(classes.select("rid", "trains", "evals", *guards), "rid").select("rid", "trains", "evals", *guards, F.explode("keys").alias("key"))
+    rows = materialise(rows, "keys")
+    left, right = rows.where("trains").alias("a"), rows.where("evals").alias("b")
+    meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.rid") != F.col("b.rid")) & _may_be_alike("a", "b", threshold)
+    return left.join(right, meet).select(F.col("a.rid").alias("rid_train"), F.col("b.rid").alias("rid_eval")).distinct()
+
+
+def chunk_overlaps(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """(rid_train, rid_eval, overlap): the part of the longer record that the shared chunks of each pair weigh."""
+    wanted = found.select(F.explode(F.array("rid_train", "rid_eval")).alias("rid")).distinct()
+    cut = classes.select("rid", "content").join(wanted, "rid", "left_semi").mapInArrow(_cut, "rid bigint, chunks array<bigint>")
+    side = materialise(cut.select("rid", F.array_distinct("chunks").alias("chunks")).withColumn("weight", _weight(F.col("chunks"))), "chunks")
+    both = found.join(side.toDF("rid_train", "chunks_train", "weight_train"), "rid_train").join(side.toDF("rid_eval", "chunks_eval", "weight_eval"), "rid_eval")
     part = _weight(F.array_intersect("chunks_train", "chunks_eval")) / F.greatest("weight_train", "weight_eval")
-    return both.select("rid_train", "rid_eval", part.alias("overlap")).where(F.col("overlap") >= overlap)
+    return both.select("rid_train", "rid_eval", part.alias("overlap"))
 
 
-def cross_split_overlaps(pairs: DataFrame, threshold: float = 0.7, overlap: float = OVERLAP) -> DataFrame:
+def cross_split_overlaps(pairs: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(train_id, eval_id, overlap) of records alike in anchor, positive and negative.
 
     Both records have a likeness of at least ``threshold`` in each field.  Equal
@@ -139,14 +152,13 @@ def cross_split_overlaps(pairs: DataFrame, threshold: float = 0.7, overlap: floa
     worded = grouped.withColumns({f"{f}_words": word_hashes(F.col(f)) for f in FIELDS} | {"content": content})
     guards = {f"{f}_n": F.size(f"{f}_words") for f in FIELDS} | {f"{f}_bits": bitmap(F.col(f"{f}_words")) for f in FIELDS}
     classes = materialise(worded.withColumns(guards).withColumn("rid", F.monotonically_increasing_id()), "classes")
-    found = chunk_overlaps(classes, threshold, overlap)
     words = classes.select("rid", *[F.col(f"{f}_words").alias(f) for f in FIELDS])
     a = words.toDF("rid_train", *[f"{f}_train" for f in FIELDS])
     b = words.toDF("rid_eval", *[f"{f}_eval" for f in FIELDS])
-    near = found.join(a, "rid_train").join(b, "rid_eval")
+    near = candidates(classes, threshold).join(a, "rid_train").join(b, "rid_eval")
     for f in FIELDS:
         near = near.where(likeness(F.col(f"{f}_train"), F.col(f"{f}_eval")) >= threshold)
-    near = near.select("rid_train", "rid_eval", "overlap")
+    near = chunk_overlaps(materialise(near.select("rid_train", "rid_eval"), "near"), classes)
     same = classes.where("trains and evals").select(F.col("rid").alias("rid_train"), F.col("rid").alias("rid_eval"), F.lit(1.0).alias("overlap"))
     owned = members.join(classes.select("rid", *FIELDS), list(FIELDS)).select("rid", "pair_id", "trains")
     train = owned.where("trains").select(F.col("rid").alias("rid_train"), F.col("pair_id").alias("train_id"))

@@ -69,6 +69,28 @@ def test_cross_split_equals_brute_force(pairs, rows):
     assert len(want) > 10 and {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_cross_split_finds_reordered_and_evenly_edited_records(spark):
+    rng = random.Random(11)
+    rows, n = [], 0
+    for i in range(60):
+        fields = [rng.sample(WORDS, k) for k in (12, 50, 40)]
+        rows.append((f"T{i:03}", *map(" ".join, fields), "train", "s", n, T, "", ""))
+        for k in range(4):
+            if k == 0:
+                changed = [rng.sample(f, len(f)) for f in fields]
+            elif k == 1:
+                changed = [[w for j in range(0, len(f), 2) for w in reversed(f[j : j + 2])] for f in fields]
+            else:
+                step = 6 if k == 2 else 7
+                changed = [[f"new{i}x{j}" if j % step == step - 1 else w for j, w in enumerate(f)] for f in fields]
+            n += 1
+            rows.append((f"E{i:03}{k}", *map(" ".join, changed), "test", "s", n, T, "", ""))
+    train, other = [r for r in rows if r[4] == "train"], [r for r in rows if r[4] == "test"]
+    want = {tuple(sorted((a[0], b[0]))) for a in train for b in other if all(likeness(a[i], b[i]) >= 0.7 for i in (1, 2, 3))}
+    got = {tuple(r) for r in cross_split.found_pairs(cross_split.cross_split_overlaps(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert len(want) >= 200 and got == want
+
+
 def test_cross_split_report_counts_every_evaluation_record(pairs):
     report = cross_split.overlap_report(pairs, cross_split.cross_split_overlaps(pairs)).collect()
     assert sum(r.records for r in report) == pairs.where("regexp_replace(lower(split), '[^a-z]', '') IN ('test', 'heldout', 'adversarial') AND pair_id IS NOT NULL").select("pair_id").distinct().count()
