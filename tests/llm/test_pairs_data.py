@@ -114,6 +114,24 @@ def test_large_nodes_branch_again(spark):
     assert len(want) > 3000 and got == want
 
 
+def test_trees_meet_the_stated_recall():
+    for depth in (1, 5, 7, 10):
+        assert 1 - (1 - near_duplicates.meets(depth)) ** near_duplicates.trees_for(depth) >= near_duplicates.RECALL
+
+
+def test_large_family_at_the_threshold(spark):
+    """Several hundred versions of one record, about 0.7 to 0.75 like each other."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    fields = [[" ".join(f"u{i}x{j}" if rng.random() < 0.083 else w for j, w in enumerate(base)) for _ in range(2)] for i in range(300)]
+    rows = [(f"A{i:03}", "a", p, n, "train", "s", i, T, "", "") for i, (p, n) in enumerate(fields)]
+    sets = [(words(p), words(n)) for p, n in fields]
+    alike = lambda a, b: len(a & b) / len(a | b) >= 0.7
+    want = {(rows[i][0], rows[j][0]) for j in range(300) for i in range(j) if alike(sets[i][0], sets[j][0]) and alike(sets[i][1], sets[j][1])}
+    got = {tuple(r) for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(want) > 5000 and got <= want and len(got) >= 0.998 * len(want)
+
+
 def test_links_have_a_row_per_record(pairs):
     rows = near_duplicates.near_duplicate_links(pairs).collect()
     assert len({r.pair_id for r in rows}) == len(rows)
