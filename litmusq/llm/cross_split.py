@@ -13,9 +13,8 @@
    in bits, so what can't be alike goes before it is a row.
 4. An exact check of the word sets follows; no step loses a pair, whatever the
    order of words and wherever the edits are.
-5. Records found alike are cut into chunks where a rolling hash says so; a
-   chunk's digest carries the chunk's length in its low bits.  The lengths of
-   shared chunks add up to the overlap fraction that is reported.
+5. Records found alike are cut into chunks where a rolling hash says so.  The
+   lengths of shared chunks add up to the overlap fraction that is reported.
 
 Nulls: a null key drops the row; a null, empty or wordless field has likeness 0
 to anything, so its record has no overlap.  Repeated rows of a pair_id count
@@ -40,7 +39,6 @@ FIELDS = ("anchor", "positive", "negative")
 EVALUATION = ("test", "heldout", "adversarial")
 #: Records up to which a kept word of the negative is a key alone.
 COMMON = 64
-_LENGTH_BITS = 12
 #: Bytes of text cut at once; the arrays of the work take about a hundred times that.
 PIECE = 1 << 20
 
@@ -57,7 +55,6 @@ def pair_records(pairs: DataFrame) -> DataFrame:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    low = (1 << _LENGTH_BITS) - 1
     for batch in batches:
         texts = [t.encode() for t in batch.column("content").to_pylist()]
         ends = np.cumsum([len(t) for t in texts]) // PIECE
@@ -65,17 +62,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in zip(bounds, bounds[1:]):
             part = texts[i:j]
             owner, digest, length = chunk_batch(part)
-            coded = (digest & ~np.int64(low)) | np.minimum(length, low)
             offsets = np.searchsorted(owner, np.arange(len(part) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("rid").slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets), pa.array(coded))], ["rid", "chunks"])
-
-
-def _length(chunk: Column) -> Column:
-    return chunk.bitwiseAND(F.lit((1 << _LENGTH_BITS) - 1))
+            chunks = pa.StructArray.from_arrays([pa.array(digest), pa.array(length)], ["digest", "bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column("rid").slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets), chunks)], ["rid", "chunks"])
 
 
 def _weight(chunks: Column) -> Column:
-    return F.aggregate(chunks, F.lit(0).cast("bigint"), lambda s, c: s + _length(c))
+    return F.aggregate(chunks, F.lit(0).cast("bigint"), lambda s, c: s + c["bytes"])
 
 
 def bitmap(hashes: Column) -> Column:
@@ -132,7 +125,7 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
 def chunk_overlaps(found: DataFrame, classes: DataFrame) -> DataFrame:
     """(rid_train, rid_eval, overlap): the part of the longer record that the shared chunks of each pair weigh."""
     wanted = found.select(F.explode(F.array("rid_train", "rid_eval")).alias("rid")).distinct()
-    cut = classes.select("rid", "content").join(wanted, "rid", "left_semi").mapInArrow(_cut, "rid bigint, chunks array<bigint>")
+    cut = classes.select("rid", "content").join(wanted, "rid", "left_semi").mapInArrow(_cut, "rid bigint, chunks array<struct<digest:bigint,bytes:bigint>>")
     side = materialise(cut.select("rid", F.array_distinct("chunks").alias("chunks")).withColumn("weight", _weight(F.col("chunks"))), "chunks")
     both = found.join(side.toDF("rid_train", "chunks_train", "weight_train"), "rid_train").join(side.toDF("rid_eval", "chunks_eval", "weight_eval"), "rid_eval")
     part = _weight(F.array_intersect("chunks_train", "chunks_eval")) / F.greatest("weight_train", "weight_eval")

@@ -15,6 +15,9 @@ FUNCTION_WORDS: dict[str, frozenset[str]] = {
     "es": frozenset("el la los las de del un una y es en que por para con a al su sus lo como más pero este esta estos no se le les nos sin cada sobre entre cuando donde después antes nuestra nuestro porque hasta así está son junto dos tres gracias puede pueden permite fin sí".split()),
     "it": frozenset("il lo la gli i di dei della delle e è un una in che per con nel nella non si sono come più anche questo questa ma alla alle dal dalla senza ogni".split()),
     "nl": frozenset("het de een en in van niet met voor op aan dat die zijn wordt worden ook maar bij naar uit als dan zonder elke onze hun wij".split()),
+    "sv": frozenset("och att det som en ett på är av för med den till inte har de om var ett men så kan från när vi hur ut efter varje utan mellan".split()),
+    "pl": frozenset("i w na z do nie się to że jest od po dla przez o jak ale czy tak już oraz aby bez każdy między gdy który która które".split()),
+    "tr": frozenset("ve bir bu için ile de da olarak daha her çok olan gibi kadar ama ne değil mi sonra önce göre tüm".split()),
     "pt": frozenset("o os a as de do da dos das um uma e é em que para com não se por mais como ao mas seu sua sem cada entre quando nosso nossa até".split()),
 }
 _SCRIPTS = {
@@ -23,7 +26,8 @@ _SCRIPTS = {
 }
 _RANK = {lang: i for i, lang in enumerate(FUNCTION_WORDS)}
 _WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
-_QUOTED = regex.compile(r"\"[^\"]{1,400}\"|“[^”]{1,400}”|„[^“”]{1,400}[“”]|«[^»]{1,400}»")
+#: Quotations of any length; each class of characters ends at the next mark of its kind, so looking for them is linear.
+QUOTED = regex.compile(r"\"[^\"]+\"|“[^“”]+”|„[^„“”]+[“”]|«[^«»]+»")
 
 
 _OTHER = regex.compile(r"[^\p{Latin}\p{Common}\p{Inherited}]")
@@ -64,7 +68,7 @@ def differs(text: str, anchor: str) -> bool:
     taken to be in Latin script if its letters are; another script differs.
     """
     own = language(anchor)
-    plain = _QUOTED.sub(" ", text)
+    plain = QUOTED.sub(" ", text)
     got = scores(plain if _WORD.search(plain) else text)
     if not got or (own is None and not _WORD.search(anchor)):
         return False

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from litmusq.llm.endings import LEAST_END, ends_closed, judge, tail_of
+from litmusq.llm.endings import LEAST_END, ends_closed, judge, tail_of, word_keys
 from litmusq.plans.lineage import materialise
 from litmusq.sources.tables import latest
 
@@ -70,17 +70,22 @@ def _tail_sub(pattern: regex.Pattern, text: str) -> str:
 
 def untrailed(text: str) -> str:
     """The text without trailer lines behind it."""
-    return _tail_sub(_TRAILER, text.rstrip())
+    text = text.rstrip()
+    return _tail_sub(_TRAILER, text) if "\n" in text[-_TAIL:] else text
 
 
 def bare(text: str) -> tuple[str, bool]:
     """The text without marks and trailers behind it, and if dots or a broken character stood there."""
-    kept = _tail_sub(_BRACKET_MARK, untrailed(text))
+    kept = untrailed(text)
+    if kept.endswith("]"):
+        kept = _tail_sub(_BRACKET_MARK, kept)
+    if kept and "\\" not in kept[-5:] and (kept[-1].isalnum() or (kept[-1] in ".!?" and not kept.endswith("..."))):
+        return kept, False  # nothing that could be a mark
     short = _tail_sub(_MARK, kept)
     return short, short != kept.rstrip()
 
 
-def look(text: str | None) -> tuple[str, list[str], str | None]:
+def look(text: str | None) -> tuple[str, list[int], str | None]:
     """('whole' | 'cut' | 'ask', runs at the end, last word)."""
     if not text or not regex.search(r"\w", text):
         return "whole", [], None
@@ -121,8 +126,8 @@ def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [look(t) for t in batch.column("text").to_pylist()]
         state, runs, word = zip(*seen) if seen else ((), (), ())
         yield pa.RecordBatch.from_arrays(
-            [*[batch.column(c) for c in ("result_id", "source", "field", "chars", "bytes")], pa.array(state, pa.string()), pa.array(runs, pa.list_(pa.string())), pa.array(word, pa.string())],
-            ["result_id", "source", "field", "chars", "bytes", "state", "grams", "word"],
+            [*[batch.column(c) for c in ("result_id", "source", "field")], pa.array(state, pa.string()), pa.array(runs, pa.list_(pa.int64())), pa.array(word, pa.string()), word_keys(list(word))],
+            ["result_id", "source", "field", "state", "runs", "word", "word_key"],
         )
 
 
@@ -150,10 +155,10 @@ def judged(results: DataFrame) -> DataFrame:
         sized = sized.join(limit, F.col("source").eqNullSafe(F.col("l_source")) & (F.col("field") == F.col("l_field")), "left").drop("l_source", "l_field")
     at_limit = (F.col("chars") == F.col("chars_limit")) | F.col("bytes").between(F.col("bytes_limit") - 3, F.col("bytes_limit"))
     sized = materialise(sized.withColumn("at_limit", F.coalesce(at_limit, F.lit(False))), "sized")
-    seen = materialise(sized.mapInArrow(_look, "result_id bigint, source string, field string, chars int, bytes int, state string, grams array<string>, word string"), "seen")
+    seen = materialise(sized.mapInArrow(_look, "result_id bigint, source string, field string, state string, runs array<bigint>, word string, word_key bigint"), "seen")
     asked = seen.where("state = 'ask'").join(sized.select("result_id", "field", "at_limit"), ["result_id", "field"])
     corpus = sized.select("text", ((F.col("field") == "parse_error") & ~F.col("at_limit")).alias("ends"))
-    evidence = judge(asked.select("result_id", "source", "field", "at_limit", "grams", "word"), corpus)
+    evidence = judge(asked.select("result_id", "source", "field", "at_limit", "runs", "word", "word_key"), corpus)
     unknown = (F.col("known") <= 1) & F.col("word").rlike(r"^\p{Ll}")
     cut = F.col("at_limit") | F.col("stump") | (F.col("end_share") < F.when(F.col("field") == "parse_error", LEAST_MESSAGE_END).otherwise(LEAST_END)) | (F.col("end_share").isNull() & unknown)
     told = evidence.select("result_id", "source", "field", F.coalesce(cut, F.lit(False)).alias("cut"))

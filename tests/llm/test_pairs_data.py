@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from litmusq.llm import chunking, cross_split, minwise, near_duplicates, pair_defects, truncation
+from litmusq.llm import chunking, cross_split, endings, minwise, near_duplicates, pair_defects, truncation
 from litmusq.llm.languages import differs, language
 
 T = datetime.datetime(2025, 1, 1)
@@ -235,9 +235,65 @@ def test_marks_behind_long_runs():
 
 
 def test_many_long_records_are_cut_in_pieces(spark, monkeypatch):
+    """Long texts of few different words: alike are all whose word sets are, whatever their order."""
     rng = random.Random(9)
     rows = [(f"T{i:02}", "a b c", text(rng, 400), text(rng, 300), "train", "s", i, T, "", "") for i in range(12)]
     rows += [("E" + r[0], r[1], edited(rng, r[2], 0.02), edited(rng, r[3], 0.02), "test", "s", 100 + i, T, "", "") for i, r in enumerate(rows)]
+    want = {(b[0], a[0]) for a in rows[:12] for b in rows[12:] if all(likeness(a[i], b[i]) >= 0.7 for i in (1, 2, 3))}
     monkeypatch.setattr(cross_split, "PIECE", 5_000)
-    got = {tuple(r) for r in cross_split.found_pairs(cross_split.cross_split_overlaps(spark.createDataFrame(rows, SCHEMA))).collect()}
-    assert got == {(f"ET{i:02}", f"T{i:02}") for i in range(12)}
+    found = cross_split.cross_split_overlaps(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.eval_id, r.train_id) for r in found} == want and len(found) == len(want) == 144
+    same = [r.overlap for r in found if r.eval_id == "E" + r.train_id]
+    assert min(same) > 0.5 > max(r.overlap for r in found if r.eval_id != "E" + r.train_id)
+
+
+def test_chunks_of_any_length_weigh_what_they_are(spark):
+    """A text in which no cut falls is one chunk; its length counts whole."""
+    rng = random.Random(4)
+    body = f"{text(rng, 40)} {'a' * 9_000} {text(rng, 40)}"
+    rows = [("T", "a b", body, "one two", "train", "s", 1, T, "", ""), ("F", "a b", f"{body} {WORDS[0]}", "one two", "test", "s", 3, T, "", "")]
+    got = [r.overlap for r in cross_split.cross_split_overlaps(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert len(got) == 1 and 0.9 < got[0] < 1
+
+
+def test_long_last_words_are_known(spark):
+    """A last word of any length is looked up whole, and a cut inside it is a stump."""
+    long = "pneumonoultramicroscopicsilicovolcanoconiosis"
+    rows = [(f"W{i}", "The ward opens.", f"The ward of room {i} treats {long}.", f"Nobody in room {i} speaks of {long} at all.", "train", "s", i, T, "", "") for i in range(40)]
+    rows += [("C1", "The ward opens.", f"The ward of room 4 treats {long[:33]}", "Nobody speaks at all.", "train", "s", 100, T, "", ""), ("C2", "The ward opens.", f"The ward of room 4 treats {long}", "Nobody speaks at all.", "train", "s", 101, T, "", "")]
+    got = {(r.pair_id, r.field) for r in pair_defects.found_defects(spark.createDataFrame(rows, SCHEMA)).where("defect = 'truncated'").collect()}
+    assert got == {("C1", "positive")}
+
+
+def test_runs_and_prefixes_hash_alike_one_by_one_and_in_batches():
+    tokens = ["the", "desk", "sorts", "all", "of", "it", "now"]
+    hashes = np.array([endings._hash(t) for t in tokens], np.uint64)
+    with np.errstate(over="ignore"):
+        batch = [int(r[-1].view(np.int64)) for r in endings.run_hashes(hashes)]
+    assert endings.tail_of(" ".join(tokens)).runs == batch and len(batch) == endings.RUN
+    words = ["", "aé", "a", "漢字" * 3000, "aéb"]
+    owner, length, keys = endings.prefix_hashes(words)
+    seen = {}
+    for i, n, k in zip(owner, length, keys):
+        assert seen.setdefault(words[i][:n], k) == k
+    assert len(set(seen.values())) == len(seen) == 6003
+    assert [k is None for k in endings.word_keys([None, "x", ""]).to_pylist()] == [True, False, True]
+
+
+@pytest.mark.parametrize("size", [20, 100, 300])
+def test_refusals_of_any_length(size):
+    anchor = "We sort mail from a phone and print the list at noon."
+    more = "That would go beyond the rules that were set for talks of this kind and nobody would gain. " * (size // 17 + 1)
+    assert pair_defects.look(f"I am sorry, but I cannot help with that. {more}", anchor)[0] == ["refusal"]
+    assert pair_defects.look(f"{more}I am sorry, but I cannot help with that.", anchor)[0] == ["refusal"]
+    assert pair_defects.look(f"We sort the mail from a phone, and at noon we print the list. {more}I cannot help with more.", anchor)[0] == []
+    assert pair_defects.look(f'The note said "I cannot help with that. {more}" and so it was sorted.', anchor)[0] == []
+
+
+@pytest.mark.parametrize("refusal", ["Ik kan je daar helaas niet mee helpen.", "Mi dispiace, non posso aiutarti.", "Desculpe, não posso ajudar com isso.", "Извините, я не могу помочь.", "抱歉，我无法回答这个问题。", "申し訳ありませんが、お答えできません。", "죄송하지만 도와드릴 수 없습니다.", "آسف، لا يمكنني المساعدة في ذلك.", "माफ़ कीजिए, मैं इसमें मदद नहीं कर सकता।", "ขออภัย ฉันไม่สามารถช่วยเรื่องนี้ได้"])
+def test_refusals_in_more_languages(refusal):
+    assert "refusal" in pair_defects.look(refusal, "We sort mail.")[0]
+
+
+def test_open_quotation_before_a_stop():
+    assert pair_defects.look('The desk said "all of it is sorted.', "It is where it starts.")[0] == ["truncated"]
