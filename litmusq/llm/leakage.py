@@ -1,19 +1,27 @@
 """Held-out passages inside a corpus, whole or in part, exact or nearly.
 
 Both sides are reduced to their letters and digits, so case, punctuation,
-mark-up, spacing and line breaks don't matter.  Every q-gram of a document is
-looked up among the q-grams of the items; a hit lies on a diagonal (place in the
-document minus place in the item).  Hits are counted per item in overlapping
-bands of diagonals.  By the q-gram lemma a part that holds ``PART`` of the
-item, with one word in ``1 / CHANGED`` changed, keeps at least a certain number of
-them, so bands below it are dropped and no case is lost.  What is left is
-verified by a banded local alignment of the words: the aligned part must hold
-half of the item's words and agree in all but the changed ones.
-
-The items are the stated query set.  They go to the workers in blocks of about
-``BLOCK`` items or ``BLOCK_CHARS`` characters; the corpus is read once per block.  Null and blank texts and
-items without a word give no row; an item shorter than a q-gram must occur whole.
-Very long documents are looked at in overlapping windows, whole.
+mark-up, spacing and line breaks don't matter.
+
+1. Every item becomes its q-grams, with their places, and two numbers: the
+   q-grams that any part with ``PART`` of its words keeps although ``CHANGED`` of
+   them differ (the q-gram lemma, over the worst such part), and half the width of
+   a band of diagonals, which is the letters those changes can add or take away.
+2. One pass over the corpus hashes the q-grams of each document and keeps those
+   in a bitmap of the items' q-grams.  The bitmap has at most ``MOST_BITS`` bits,
+   whatever the data.  Documents without enough of them close together go.
+3. Kept q-grams are joined with those of the items; a match lies on a diagonal
+   (place in the document minus place in the item).  Matches are counted per
+   document and item in overlapping bands; bands below the item's number go.
+   Q-grams of many items are left out of the join where the item's number,
+   lowered by as many as a part can hold of them, stays large enough: no case
+   is lost and a phrase common to many items doesn't multiply.
+4. What is left is verified by a banded local alignment of the words: the
+   aligned part must hold half of the item's words and agree in all but the
+   changed ones.
+
+Null and blank texts and items without a word give no row.  An item of under
+``TINY`` letters must occur whole, word by word.  Repeated rows give one row.
 """
 
 from __future__ import annotations
@@ -28,151 +36,224 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litmusq.llm.chunking import mix64
+from litmusq.plans.lineage import materialise
 
-#: Letters of a q-gram; width of half a band in letters; items and characters of a block.
-Q, HALF_BAND, BLOCK, BLOCK_CHARS = 10, 32, 2000, 2_000_000
-#: Part of an item's words that is a case; part of the words that may be changed; the same with slack, for the filter.
-PART, CHANGED, SLACK_PART, SLACK_CHANGED = 0.5, 0.14, 0.45, 0.13
-#: Cost of a changed, extra or missing word against 1 for an equal one, and extra words beside the diagonal.
-COST, BAND_WORDS = 1.5, 14
-_WINDOW = 20_000
+#: Letters of a q-gram, the second for items whose parts may hold no long one; letters under which an item must occur whole.
+QS, TINY = (10, 5), 10
+#: Part of an item's words that is a case; part of the words that may be changed; least half width of a band in letters.
+PART, CHANGED, LEAST_HALF = 0.5, 0.14, 32
+#: Cost of a changed, extra or missing word against 1 for an equal one.
+COST = 1.5
+#: Items from which a q-gram is left out of the join if it can be; bits of the bitmap for each q-gram, and at most.
+HOT, BITS_EACH, MOST_BITS = 64, 16, 1 << 26
 
 _WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 _TAG = regex.compile(r"</?[a-zA-Z][^<>]{0,60}>|&(?:[a-zA-Z]{2,8}|#\d{1,6});")
+_MULTIPLIER = np.uint64(0x100000001B3)
+_ITEM = "iid bigint, item_id bigint, text string, q int, need int, half int, letters int, grams array<bigint>, words array<int>"
+_LETTER = np.full(0x110000, -1, np.int8)
+
+
+def _plain(text: str) -> str:
+    return (_TAG.sub(" ", text) if "<" in text or "&" in text else text).casefold()
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(_TAG.sub(" ", text).casefold())
-
-
-def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the joined words, and the word each is from."""
-    joined = "".join(words)
-    codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    return codes, np.repeat(np.arange(len(words)), [len(w) for w in words])
-
-
-def _qgrams(codes: np.ndarray) -> np.ndarray:
-    n = len(codes) - Q + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(Q):
-            h = h * np.uint64(0x100000001B3) + codes[j : j + n]
-    return mix64(h)
-
-
-class Items:
-    """The q-gram index of a block of items."""
-
-    def __init__(self, rows: list[tuple[int, str]]) -> None:
-        self.ids, self.words, grams, owner, place, need = [], [], [], [], [], []
-        self.short: list[tuple[int, str]] = []
-        self.longest = 0
-        for item_id, text in rows:
-            words = words_of(text or "")
-            codes, _ = _letters(words)
-            if not words:
+    return _WORD.findall(_plain(text))
+
+
+def _is_letter(codes: np.ndarray) -> np.ndarray:
+    seen = _LETTER[codes]
+    if (seen < 0).any():
+        for c in np.unique(codes[seen < 0]):
+            _LETTER[c] = bool(_WORD.match(chr(c)))
+        seen = _LETTER[codes]
+    return seen == 1
+
+
+class Letters:
+    """The letters of some texts, joined: code points, the text and the word each is from, and where words begin and end."""
+
+    def __init__(self, texts: list[str]) -> None:
+        plain = [_plain(t) for t in texts]
+        codes = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), np.uint32)
+        text = np.repeat(np.arange(len(texts)), [len(p) for p in plain])
+        kept = np.flatnonzero(_is_letter(codes))
+        self.codes, self.text = codes[kept].astype(np.uint64), text[kept]
+        n = len(kept)
+        begins = np.ones(n, bool)
+        begins[1:] = (kept[1:] != kept[:-1] + 1) | (self.text[1:] != self.text[:-1])
+        self.begins, self.ends = begins, np.append(begins[1:], True)[:n]
+        first = np.searchsorted(self.text, np.arange(len(texts)))  # each text's first letter
+        self.place = np.arange(n) - first[self.text] if n else np.zeros(0, np.int64)
+        word = np.cumsum(begins) - 1
+        self.word = word - word[first[self.text]] if n else word
+
+    def grams(self, q: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(first letter, hash) of every run of q letters within a text; whole: only runs of whole words."""
+        n = len(self.codes) - q + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        ok = self.text[:n] == self.text[q - 1 :]
+        if whole:
+            ok &= self.begins[:n] & self.ends[q - 1 :]
+        at = np.flatnonzero(ok)
+        h = np.full(len(at), q, np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(q):
+                h = h * _MULTIPLIER + self.codes[at + j]
+        return at, mix64(h)
+
+
+def demand(sizes: np.ndarray, q: int) -> tuple[int, int, int]:
+    """(q-grams that the worst part keeps, letters its changes add or take away, letters of a part) of words of these lengths."""
+    n = len(sizes)
+    part = math.ceil(PART * n)
+    changed = math.ceil(CHANGED * part) if part >= 4 else math.floor(CHANGED * part)
+    rows = np.lib.stride_tricks.sliding_window_view(sizes, part)
+    longest = np.sort(rows, 1)[:, part - changed :]
+    letters = rows.sum(1)
+    need = letters - q + 1 - (longest + q - 1).sum(1)
+    drift = int(np.sort(sizes)[::-1][: changed + 1].sum())
+    return int(need.min()), max(LEAST_HALF, drift), int(letters.max())
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["iid", "item_id", "text", "q", "need", "half", "letters", "grams", "words"]
+    types = [pa.int64(), pa.int64(), pa.string(), *[pa.int32()] * 4, pa.list_(pa.int64()), pa.list_(pa.int32())]
+    for batch in batches:
+        rows = []
+        for iid, item_id, text in zip(*(batch.column(c).to_pylist() for c in ("iid", "item_id", "text"))):
+            letters = Letters([text])
+            n = len(letters.codes)
+            if not n:
                 continue
-            if len(codes) < 2 * Q:
-                self.short.append((item_id, " " + " ".join(words) + " "))
+            if n < TINY:
+                _, grams = letters.grams(n)
+                rows.append((iid, item_id, text, n, 1, LEAST_HALF, n, grams.view(np.int64).tolist(), [0]))
                 continue
-            g = _qgrams(codes)
-            mean = len(codes) / len(words)
-            changed = math.ceil(SLACK_CHANGED * SLACK_PART * len(words))
-            need.append(max(3, math.floor(SLACK_PART * len(codes)) - Q + 1 - math.ceil(changed * (mean + Q - 1))))
-            owner.append(np.full(len(g), len(self.ids)))
-            place.append(np.arange(len(g)))
-            grams.append(g)
-            self.ids.append(item_id)
-            self.words.append(words)
-            self.longest = max(self.longest, len(codes))
-        self.need = np.array(need, np.int64)
-        if grams:
-            keys = np.concatenate(grams)
-            order = np.argsort(keys, kind="stable")
-            self.keys, first = np.unique(keys[order], return_index=True)
-            self.bounds = np.append(first, len(keys))
-            self.owner, self.place = np.concatenate(owner)[order], np.concatenate(place)[order]
-        else:
-            self.keys = np.zeros(0, np.uint64)
-
-    def _bands(self, codes: np.ndarray) -> dict[int, list[int]]:
-        """Items with the diagonals of their bands that hold enough q-grams."""
-        out: dict[int, list[int]] = {}
-        if not len(self.keys) or len(codes) < Q:
-            return out
-        g = _qgrams(codes)
-        at = np.searchsorted(self.keys, g)
-        at[at == len(self.keys)] = 0
-        hit = np.flatnonzero(self.keys[at] == g)
-        if not len(hit):
-            return out
-        lo, hi = self.bounds[at[hit]], self.bounds[at[hit] + 1]
-        n = hi - lo
-        total = int(n.sum())
-        flat = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        item = self.owner[flat]
-        diagonal = np.repeat(hit, n) - self.place[flat] + self.longest
-        wide = (len(codes) + self.longest) // HALF_BAND + 3
-        # repeated q-grams of a document count once per place of the item in a band
-        key = np.unique((item * wide + diagonal // HALF_BAND) * (self.longest + 1) + self.place[flat]) // (self.longest + 1)
-        slots, counts = np.unique(key, return_counts=True)
-        pair = counts.copy()
-        nxt = np.searchsorted(slots, slots + 1)
-        nxt[nxt == len(slots)] = 0
-        beside = slots[nxt] == slots + 1
-        pair[beside] += counts[nxt[beside]]
-        enough = pair >= self.need[slots // wide]
-        for s in slots[enough]:
-            out.setdefault(int(s // wide), []).append(int((s % wide + 1) * HALF_BAND - self.longest))
-        return out
-
-    def find(self, text: str | None) -> list[int]:
-        """Ids of the items that the text holds."""
-        if not text:
-            return []
-        words = words_of(text)
-        if not words:
-            return []
-        found: set[int] = set()
-        if self.short:
-            joined = " " + " ".join(words) + " "
-            found.update(i for i, s in self.short if s in joined)
-        codes, owner = _letters(words)
-        step = max(_WINDOW, 4 * self.longest)
-        for begin in range(0, max(len(codes), 1), step):
-            part = codes[begin : begin + step + 2 * self.longest]
-            for item, diagonals in self._bands(part).items():
-                if self.ids[item] in found:
-                    continue
-                for d in diagonals:
-                    start = begin + d
-                    a = max(start - 2 * HALF_BAND, 0)
-                    if a >= len(owner):
-                        continue
-                    if holds(self.words[item], words, int(owner[a]) if start > 0 else 0, len(self.words[item])):
-                        found.add(self.ids[item])
-                        break
-        return sorted(found)
-
-
-def holds(item: list[str], words: list[str], first: int, n: int) -> bool:
-    """Banded local alignment of the item with the words from about ``first`` on."""
-    begin = max(0, first - BAND_WORDS)
-    window = words[begin : first + n + 2 * BAND_WORDS]
-    shift = first - begin
-    m = len(window)
-    low, high = -BAND_WORDS, BAND_WORDS + 2 * HALF_BAND // 3
+            sizes = np.bincount(letters.word)
+            for q in QS:
+                need, half, part = demand(sizes, q)
+                if need >= 1:
+                    break
+            at, grams = letters.grams(q)
+            rows.append((iid, item_id, text, q, max(1, need), half, part, grams.view(np.int64).tolist(), letters.word[at].tolist()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), types)], names)
+
+
+def _spared(hot: np.ndarray, frequency: np.ndarray, need: int, width: int) -> tuple[np.ndarray, int]:
+    """Which of an item's q-grams leave the join, the most frequent first, and the demand that remains; it keeps half of ``need``."""
+    order = np.flatnonzero(hot)[np.argsort(-frequency[hot], kind="stable")]
+    least = max(1, need - need // 2)
+
+    def left(count: int) -> int:
+        out = np.zeros(len(hot), np.int64)
+        out[order[:count]] = 1
+        total = np.concatenate(([0], np.cumsum(out)))
+        width_ = min(width, len(hot))
+        return need - int((total[width_:] - total[:-width_]).max()) if width_ else need
+
+    low, high = 0, len(order)
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if left(middle) >= least else (low, middle - 1)
+    out = np.zeros(len(hot), bool)
+    out[order[:low]] = True
+    return out, left(low)
+
+
+def _spare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        columns = ("iid", "need", "half", "letters", "q", "grams", "words", "places", "frequency")
+        for iid, need, half, letters, q, grams, words, places, frequency in zip(*(batch.column(c).to_pylist() for c in columns)):
+            frequency = np.array(frequency)
+            out, need = _spared(frequency > HOT, frequency, need, letters)
+            rows += [(g, iid, p, w, need, half) for g, p, w, o in zip(grams, places, words, out) if not o]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * 6, types)], ["gram", "iid", "place", "word", "need", "half"])
+
+
+def item_grams(items: DataFrame) -> DataFrame:
+    """(gram, iid, place, word, need, half): the q-grams of every item that take part in the join."""
+    cells = items.select("iid", F.arrays_zip("grams", "words").alias("x")).select("iid", F.posexplode("x").alias("place", "x")).select("iid", "place", F.col("x.grams").alias("gram"), F.col("x.words").alias("word"))
+    many = cells.groupBy("gram").agg(F.count_distinct("iid").alias("frequency"))
+    # the q-grams of one item, in order
+    lists = cells.join(many, "gram").groupBy("iid").agg(F.array_sort(F.collect_list(F.struct("place", "gram", "word", "frequency"))).alias("x"))
+    known = items.select("iid", "need", "half", "letters", "q").join(lists, "iid")
+    known = known.select("iid", "need", "half", "letters", "q", *[F.col(f"x.{c}").alias(n) for c, n in (("gram", "grams"), ("word", "words"), ("place", "places"), ("frequency", "frequency"))])
+    return known.mapInArrow(_spare, "gram bigint, iid bigint, place int, word int, need int, half int")
+
+
+def _bitmap(grams: DataFrame, bits: int) -> np.ndarray:
+    place = F.pmod("gram", F.lit(bits))
+    words = grams.select(F.shiftright(place, 6).cast("int").alias("i"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
+    found = words.groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()  # at most bits / 64 rows
+    out = np.zeros(bits // 64, np.int64)
+    out[found.column("i").to_numpy()] = found.column("b").to_numpy()
+    return out
+
+
+def _scanner(known):
+    """Keeps the documents that hold enough q-grams of items close together, with these q-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, sizes, tiny, least, span = known.value
+        bits = np.frombuffer(raw, np.uint64)
+        mask = np.uint64(len(bits) * 64 - 1)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            letters = Letters(texts)
+            found, keys = [], []
+            for q, whole in [(q, False) for q in sizes] + [(q, True) for q in tiny]:
+                at, h = letters.grams(q, whole)
+                low = h & mask
+                hit = (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) > 0
+                found.append(at[hit])
+                keys.append(h[hit])
+            at, key = np.concatenate(found or [np.zeros(0, np.int64)]), np.concatenate(keys or [np.zeros(0, np.uint64)])
+            order = np.argsort(at, kind="stable")
+            at, key = at[order], key[order]
+            text = letters.text[at]
+            # enough of them within the longest item
+            near = np.zeros(len(texts), bool)
+            if len(at) >= least:
+                a, b = slice(0, len(at) - least + 1), slice(least - 1, None)
+                near[text[a][(text[a] == text[b]) & (at[b] - at[a] <= span)]] = True
+            kept = near[text]
+            at, key, text = at[kept], key[kept], text[kept]
+            chosen = np.flatnonzero(near)
+            offsets = pa.array(np.append(np.searchsorted(text, chosen), len(text)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (key.view(np.int64), letters.place[at].astype(np.int32), letters.word[at].astype(np.int32))]
+            rows = pa.array(chosen)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("text").take(rows), *lists], ["doc_id", "text", "grams", "places", "words"])
+
+    return run
+
+
+def candidates(hits: DataFrame, grams: DataFrame) -> DataFrame:
+    """(did, iid, low, high): bands that hold enough q-grams, as the least and greatest word of the document minus word of the item."""
+    cells = hits.select("did", F.explode(F.arrays_zip("grams", "places", "words")).alias("x")).select("did", F.col("x.grams").alias("gram"), F.col("x.places").alias("at"), F.col("x.words").alias("at_word"))
+    met = cells.join(grams, "gram").select("did", "iid", "place", "need", F.floor((F.col("at") - F.col("place")) / F.col("half")).alias("slot"), (F.col("at_word") - F.col("word")).alias("offset"))
+    # a repeated q-gram of a document counts once per place of the item in a band
+    once = met.groupBy("did", "iid", "need", "slot", "place").agg(F.min("offset").alias("low"), F.max("offset").alias("high"))
+    bands = once.withColumn("band", F.explode(F.array(F.col("slot"), F.col("slot") - 1))).groupBy("did", "iid", "need", "band", "place").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    counts = bands.groupBy("did", "iid", "band", "need").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return counts.where(F.col("n") >= F.col("need")).select("did", "iid", "low", "high").distinct()
+
+
+def holds(item: list[str], words: list[str], low: int, high: int) -> bool:
+    """Banded local alignment: word i of the item with the words from i + low to i + high, and a little beyond."""
+    n, m = len(item), len(words)
+    pad = math.ceil(CHANGED * n) + 2
     above: dict[int, tuple[float, int, int]] = {}
-    best = (0.0, 0, 0, 0)
     for i, w in enumerate(item):
         row: dict[int, tuple[float, int, int]] = {}
         left = None
-        for j in range(max(0, i + shift + low), min(m, i + shift + high + 1)):
+        for j in range(max(0, i + low - pad), min(m, i + high + pad + 1)):
             diagonal = above.get(j - 1)
-            if w == window[j]:
+            if w == words[j]:
                 cell = (diagonal[0] + 1, diagonal[1], diagonal[2] + 1) if diagonal else (1.0, i, 1)
             else:
                 cell = (diagonal[0] - COST, diagonal[1], diagonal[2]) if diagonal else (0.0, i, 0)
@@ -185,42 +266,56 @@ def holds(item: list[str], words: list[str], first: int, n: int) -> bool:
                 row[j] = cell
                 left = cell
                 span = i + 1 - cell[1]
-                if cell[2] > best[3] and span >= PART * n and cell[2] >= (1 - CHANGED) * span:
-                    best = (cell[0], cell[1], i + 1, cell[2])
+                if span >= PART * n and cell[2] >= (1 - CHANGED) * span:
+                    return True
             else:
                 left = None
         above = row
-    return best[3] > 0
-
+    return False
 
-def _finder(block):
-    cache: dict[str, Items] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = cache.get("items")
-        if items is None:
-            items = cache["items"] = Items(block.value)
-        for batch in batches:
-            found = [items.find(t) for t in batch.column("text").to_pylist()]
-            owner = pa.array(np.repeat(np.arange(batch.num_rows), [len(f) for f in found]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(owner), pa.array([i for f in found for i in f], pa.int64())], ["doc_id", "item_id"])
-
-    return run
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for doc_id, text, asked in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "asked"))):
+            words = words_of(text)
+            joined = f" {' '.join(words)} "
+            found: set[int] = set()
+            for x in asked:
+                if x["item_id"] in found:
+                    continue
+                item = words_of(x["item"])
+                if x["q"] == x["letters"] < TINY:
+                    held = f" {' '.join(item)} " in joined
+                else:
+                    held = holds(item, words, x["low"], x["high"])
+                if held:
+                    found.add(x["item_id"])
+            rows += [(doc_id, i) for i in sorted(found)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["doc_id", "item_id"])
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): each document that holds an item or an unbroken part of it with at least half of its words."""
     spark = documents.sparkSession
-    known = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
-    size = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
-    blocks = max(1, math.ceil(size.n / BLOCK), math.ceil(size.chars / BLOCK_CHARS))
+    asked = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.monotonically_increasing_id().alias("iid"), "item_id", "text")
+    known = materialise(asked.mapInArrow(_index, _ITEM), "leak_items")
+    grams = materialise(item_grams(known), "leak_grams")
+    every = grams.agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).first()
+    shape = known.agg(
+        F.coalesce(F.max(F.size("grams") + 4 * F.col("half") + 2 * QS[0]), F.lit(0)).alias("span"),
+        F.sort_array(F.collect_set(F.when(F.col("letters") >= TINY, F.col("q")))).alias("sizes"),
+        F.sort_array(F.collect_set(F.when((F.col("letters") < TINY) & (F.col("q") == F.col("letters")), F.col("q")))).alias("tiny"),
+    ).first()
+    bits = min(MOST_BITS, 1 << max(16, math.ceil(math.log2(max(1, every.n) * BITS_EACH))))
+    bitmap = spark.sparkContext.broadcast((_bitmap(grams, bits).tobytes(), shape.sizes, shape.tiny, every.need or 1, shape.span))
     texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
-    out = None
-    for b in range(blocks):
-        rows = [(r.item_id, r.text) for r in known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]
-        found = texts.mapInArrow(_finder(spark.sparkContext.broadcast(rows)), "doc_id bigint, item_id bigint")
-        out = found if out is None else out.union(found)
-    return out.distinct() if blocks > 1 else out
+    kept = texts.mapInArrow(_scanner(bitmap), "doc_id bigint, text string, grams array<bigint>, places array<int>, words array<int>")
+    hits = materialise(kept.withColumn("did", F.monotonically_increasing_id()), "leak_hits")
+    near = candidates(hits, grams).join(known.select("iid", "item_id", F.col("text").alias("item"), "q", "letters"), "iid")
+    # a document's list holds no more than the items it nearly holds
+    per = near.groupBy("did").agg(F.collect_list(F.struct("item_id", "item", "q", "letters", "low", "high")).alias("asked"))
+    return hits.select("did", "doc_id", "text").join(per, "did").select("doc_id", "text", "asked").mapInArrow(_verify, "doc_id bigint, item_id bigint").distinct()
 
 
 def leaked_items(found: DataFrame, items: DataFrame) -> DataFrame:

@@ -45,7 +45,6 @@ _MONTHS = frozenset("januar februar märz april mai juni juli august september o
 _BEFORE_ORDINAL = frozenset("am vom bis zum der die das den dem des im ab seit beim nach und jeder jede jedes jeden".split())
 #: What follows a Japanese quotation that the sentence goes on after.
 _QUOTING = "とってなのはがをにもで、，,"
-_LONGEST_QUOTE = 600
 
 _BREAK = r"(?>\r\n|[\n\r\x0b\x0c\x85  ])"
 _BLANK = regex.compile(rf"{_BREAK}(?:[^\S\n\r\x0b\x0c\x85  ]*{_BREAK})+| ")
@@ -56,12 +55,13 @@ _THAI_GAP = regex.compile(rf"(?<={_THAI})\s+(?={_THAI})", regex.V1)
 _STOPS = regex.compile(r"(?:[\p{SB=STerm}\p{SB=ATerm}…]|(?<=[\p{SB=STerm}\p{SB=ATerm}])\s(?=[?!]))+")
 _CLOSERS = regex.compile(r"(?:[\"'”’»›」』）】〉》\)\]\}*_`]|[   ](?=»)|“(?![\p{L}\p{N}]))*")
 _NEXT = regex.compile(r"(?:\s|[\p{So}\p{Sk}‍️])*")
+#: Quotations and brackets of any length; each class of characters ends at the next mark of its kind, so looking for them is linear.
 _QUOTES = regex.compile(
-    rf'(?<![\p{{L}}\p{{N}}])"[^"]{{1,{_LONGEST_QUOTE}}}?"|“[^“”]{{1,{_LONGEST_QUOTE}}}”|„[^„“”]{{1,{_LONGEST_QUOTE}}}[“”]|«[^«»]{{1,{_LONGEST_QUOTE}}}»|‹[^‹›]{{1,{_LONGEST_QUOTE}}}›'
-    rf"|「[^「」]{{1,{_LONGEST_QUOTE}}}」|『[^『』]{{1,{_LONGEST_QUOTE}}}』|\([^()]{{1,{_LONGEST_QUOTE}}}\)|（[^（）]{{1,{_LONGEST_QUOTE}}}）|\[[^\[\]]{{1,{_LONGEST_QUOTE}}}\]"
+    r'(?<![\p{L}\p{N}])"[^"]+"|“[^“”]+”|„[^„“”]+[“”]|«[^«»]+»|‹[^‹›]+›|「[^「」]+」|『[^『』]+』|\([^()]+\)|（[^（）]+）|\[[^\[\]]+\]'
 )
 _WORD_BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}º°]+(?:[.\-’'][\p{L}\p{M}\p{N}\-]+)*$")
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}_]+")
+_TOKEN_BEFORE = regex.compile(r"(?r)[\p{L}\p{M}\p{N}_]+")
 _CAMEL = regex.compile(r"\p{Ll}+\p{Lu}[\p{L}\p{N}]*")
 _OPENERS = "\"'“„«‹「『（([{¿¡—–*_`<"
 
@@ -78,34 +78,34 @@ class _Rules:
         base = (lang or "").lower().split("-")[0].split("_")[0]
         self.german = base not in ("en", "fr", "es")
 
-    def _abbreviates(self, text: str, at: int, after: str, following: str) -> bool:
-        """Does the full stop at ``at`` abbreviate?  after: the text that follows, without space and signs."""
-        m = _WORD_BEFORE.search(text, max(0, at - 24), at)
+    def _abbreviates(self, text: str, at: int, gap: int) -> bool:
+        """Does the full stop at ``at`` abbreviate?  gap: where the text goes on, behind space and signs."""
+        m = _word_before(text, at)
         if not m:
             return False
         word = m.group()
         low = word.lower()
-        nxt = after[:1]
+        nxt = text[gap]
         if low in self.titles or (low.rpartition(".")[2] in self.titles and "." in low and len(low.rpartition(".")[2]) > 1):
             return True
         if nxt.isnumeric() and (low in self.references or low.rpartition(".")[2] in self.references):
             return True
         last = word.rpartition(".")[2]
-        token = _TOKEN.match(after)
+        token = _TOKEN.match(text, gap)
         t = token.group() if token else ""
         if len(last) == 1 and last.isalpha():
             # initials and letters in a row: D. Maelik, z. B., p. ex.
-            if len(t) == 1 and after[1:2] == ".":
+            if len(t) == 1 and text[gap + 1 : gap + 2] == ".":
                 return True
-            if last.isupper() and nxt.isupper() and following != "" and not (word == "I"):
+            if last.isupper() and nxt.isupper() and word != "I":
                 return True
             if not last.isupper() and "." not in word and nxt.isnumeric():
                 return True
-            if low in ("p", "z", "d", "u", "o", "c") and len(t) <= 3 and after[len(t) : len(t) + 1] == ".":
+            if low in ("p", "z", "d", "u", "o", "c") and len(t) <= 3 and text[gap + len(t) : gap + len(t) + 1] == ".":
                 return True
         if self.german and word.isdigit() and len(word) <= 2 and nxt.isupper():
-            before = _TOKEN.findall(text[max(0, m.start() - 16) : m.start()])
-            prior = before[-1].lower() if before else ""
+            before = _TOKEN_BEFORE.search(text, 0, m.start())
+            prior = before.group().lower() if before else ""
             if t.lower() in _MONTHS or prior in _BEFORE_ORDINAL:
                 return True
         return False
@@ -155,7 +155,6 @@ class _Rules:
         wide = any(c in "。！？．｡" for c in stop)
         if nxt in ",;:،؛，、；：)]}" or (nxt in "—–-" and not text[gap + 1 : gap + 2].isspace() and quoted is None and _lower_after(text, gap)):
             return False
-        after = text[gap : gap + 40]
         if quoted is not None:
             bracket = text[quoted[0]] in "([（"
             opens = not _TOKEN.search(text, since, quoted[0])  # the sentence begins with the quotation
@@ -168,7 +167,7 @@ class _Rules:
             if not spaced:
                 return nxt.isupper() and not opens
             if nxt.islower():
-                return bool(_CAMEL.match(after)) and bracket
+                return bool(_CAMEL.match(text, gap)) and bracket
             if bracket:
                 return opens or nxt.isupper()
             if nxt.isupper() or nxt.isnumeric() or nxt in _OPENERS:
@@ -177,24 +176,35 @@ class _Rules:
         if wide:
             return True
         if all(c in ".…" for c in stop):
-            if stop == "." and self._abbreviates(text, at, after, nxt):
+            if stop == "." and self._abbreviates(text, at, gap):
                 return False
             if not spaced:
                 # a lost space: a word, a full stop and a capitalised word
                 before = text[max(0, at - 3) : at]
                 return stop == "." and len(before) == 3 and before[1:].isalpha() and before[1:].islower() and nxt.isupper() and text[gap + 1 : gap + 2].islower()
             if nxt.islower():
-                return stop == "." and bool(_CAMEL.match(after))
+                return stop == "." and bool(_CAMEL.match(text, gap))
             return True
         if not spaced:
             return nxt.isupper() or nxt in "¿¡" or _cjk(nxt) or stop[-1] in "।॥" or (text[closed - 1] in "؟" and nxt.isalpha())
         if nxt.islower():
-            return bool(_CAMEL.match(after))
+            return bool(_CAMEL.match(text, gap))
         return True
 
 
+def _word_before(text: str, at: int) -> regex.Match | None:
+    """The word, with its inner dots and hyphens, that ends at ``at``; looked for in a window that grows with it."""
+    size = 32
+    while True:
+        begin = max(0, at - size)
+        m = _WORD_BEFORE.search(text, begin, at)
+        if not m or m.start() > begin or begin == 0:
+            return m
+        size *= 8
+
+
 def _lower_after(text: str, at: int) -> bool:
-    m = _TOKEN.search(text, at, at + 12)
+    m = _TOKEN.search(text, at)
     return bool(m) and m.group()[0].islower()
 
 

@@ -66,16 +66,41 @@ def test_leaks_by_share_and_changes(spark):
     assert leakage.leaks(d.limit(0), i).count() == 0 and leakage.leaks(d, i.limit(0)).count() == 0
 
 
-def test_items_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("size", [20, 60, 150, 300])
+@pytest.mark.parametrize("kind", ["left out", "put in", "changed"])
+def test_leaks_with_a_tenth_of_the_words_edited(spark, size, kind):
+    """Edits add up to long shifts in long items; every edited copy is found."""
+    rng = random.Random(size)
+    items = [(i, " ".join(passage(rng, size))) for i in range(20)]
+    edited = []
+    for i, t in items:
+        w = t.split()
+        for at in sorted(rng.sample(range(size), size // 10), reverse=True):
+            w[at : at + 1] = [] if kind == "left out" else [w[at], "qqqqzz"] if kind == "put in" else ["qqqqzz"]
+        edited.append((100 + i, " ".join(passage(rng, 50) + w + passage(rng, 50)), "en", None, None))
+    got = {tuple(r) for r in leakage.leaks(spark.createDataFrame(edited, DOCS), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {(100 + i, i) for i, _ in items}
+
+
+def test_phrases_of_many_items(spark, monkeypatch):
+    """Items that share a long phrase, and documents that hold only it; leaving hot q-grams out of the join changes nothing."""
     rng = random.Random(6)
-    items = [(i, " ".join(passage(rng, 30))) for i in range(20)]
-    d = spark.createDataFrame([(100 + i, "x " + t + " y", "en", None, None) for i, t in items], DOCS)
+    phrase = " ".join(passage(rng, 9))
+    items = [(i, " ".join(passage(rng, 12)) + " " + phrase + " " + " ".join(passage(rng, 12))) for i in range(20)]
+    d = spark.createDataFrame([(100 + i, "x " + t + " y", "en", None, None) for i, t in items] + [(200 + i, f"{' '.join(passage(rng, 30))} {phrase} end", "en", None, None) for i in range(20)], DOCS)
     i = spark.createDataFrame(items, "item_id bigint, text string")
     whole = sorted(map(tuple, leakage.leaks(d, i).collect()))
-    monkeypatch.setattr(leakage, "BLOCK", 6)
+    monkeypatch.setattr(leakage, "HOT", 3)
     assert sorted(map(tuple, leakage.leaks(d, i).collect())) == whole == [(100 + k, k) for k in range(20)]
 
 
+def test_short_items(spark):
+    items = spark.createDataFrame([(1, "Go up."), (2, "Press the red key now"), (3, "北京 上海 广州"), (4, "?!"), (5, "ab")], "item_id bigint, text string")
+    docs = {1: "Then go up, said the desk.", 2: "They go upward.", 3: "Please press the red key at once.", 4: "press key red the", 5: "来自北京 上海 广州的", 6: "在 北京，上海。广州 见", 7: "a b"}
+    d = spark.createDataFrame([(k, t, "en", None, None) for k, t in docs.items()], DOCS)
+    assert {tuple(r) for r in leakage.leaks(d, items).collect()} == {(1, 1), (3, 2), (6, 3)}
+
+
 def cut(text, lang="en"):
     return [text[a:b] for a, b in sentences.segment(text, lang)]
 
@@ -137,7 +162,23 @@ def test_sentences_cover_every_character(spark, tiny):
         assert all(t[a:b] == t[a:b].strip() for a, b in parts)
 
 
+@pytest.mark.parametrize("size", [10, 30, 300])
+def test_quotations_of_any_length(size):
+    inner = "It is all in. " * size
+    for opened, closed in (('"', '"'), ("“", "”"), ("«", "»"), ("(", ")")):
+        text = f"The lead says {opened}{inner}Yes{closed} and goes on. Then all leave."
+        assert [text[a:b] for a, b in sentences.segment(text, "en")] == [text[:-16], "Then all leave."]
+
+
+def test_words_of_any_length_before_a_stop():
+    long = "x" * 50 + "-no"
+    assert cut(f"It is {long}. Then all leave.") == [f"It is {long}.", "Then all leave."]
+    assert cut("Er kam am" + " " * 40 + "3. März. Dann ging er.", "de")[0].endswith("März.")
+    assert cut("It ends. " + "a" * 60 + "B goes on.") == ["It ends.", "a" * 60 + "B goes on."]
+
+
 def test_very_long_texts():
+    assert len(sentences.segment('"' + "It is “all in. " * 20_000, "en")) >= 1
     assert len(sentences.segment("This is it. " * 20_000, "en")) == 20_000
     assert sentences.segment("x" * 300_000, "en") == [(0, 300_000)]
     assert len(sentences.segment('"' * 5_000 + "a. B", "en")) >= 1
