@@ -29,7 +29,7 @@ from litmusq.llm.chunking import mix64
 #: Fixed value: the pattern that goes with the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes from which a piece is merged with a heap; pieces a worker remembers.
-LONG, REMEMBERED = 256, 200_000
+LONG, REMEMBERED = 1024, 200_000
 _NONE = np.int64(1 << 40)
 
 

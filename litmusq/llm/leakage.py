@@ -10,12 +10,14 @@ mark-up, spacing and line breaks don't matter.
 2. One pass over the corpus hashes the q-grams of each document and keeps those
    in a bitmap of the items' q-grams.  The bitmap has at most ``MOST_BITS`` bits,
    whatever the data.  Documents without enough of them close together go.
-3. Kept q-grams are joined with those of the items; a match lies on a diagonal
-   (place in the document minus place in the item).  Matches are counted per
-   document and item in overlapping bands; bands below the item's number go.
-   Q-grams of many items are left out of the join where the item's number,
-   lowered by as many as a part can hold of them, stays large enough: no case
-   is lost and a phrase common to many items doesn't multiply.
+3. Kept q-grams meet those of the items; a match lies on a diagonal (place in
+   the document minus place in the item).  Matches are counted per document and
+   item in overlapping bands; bands below the item's number go.  An index of up
+   to ``INDEXED`` q-grams is sent to the workers and all this is done in the one
+   pass, without a shuffle; a larger one is joined as a table.  Q-grams of many
+   items are left out where the item's number, lowered by as many as a part can
+   hold of them, stays large enough: no case is lost and a phrase common to many
+   items doesn't multiply.
 4. What is left is verified by a banded local alignment of the words: the
    aligned part must hold half of the item's words and agree in all but the
    changed ones.
@@ -46,6 +48,10 @@ PART, CHANGED, LEAST_HALF = 0.5, 0.14, 32
 COST = 1.5
 #: Items from which a q-gram is left out of the join if it can be; bits of the bitmap for each q-gram, and at most.
 HOT, BITS_EACH, MOST_BITS = 64, 16, 1 << 26
+#: Q-grams, and letters of items, of the largest index that is sent to the workers (about 25 bytes a q-gram).
+INDEXED = 2_000_000
+#: Letters and texts of a document batch looked at at once.
+PIECE, TEXTS = 1 << 20, 1024
 
 _WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 _TAG = regex.compile(r"</?[a-zA-Z][^<>]{0,60}>|&(?:[a-zA-Z]{2,8}|#\d{1,6});")
@@ -195,39 +201,124 @@ def _bitmap(grams: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def _parts(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """The texts in parts of bounded letters and number, each with its first index; a longer text is a part of its own."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        if i > begin and (size + len(t) > PIECE or i - begin >= TEXTS):
+            yield begin, texts[begin:i]
+            begin, size = i, 0
+        size += len(t)
+    if texts:
+        yield begin, texts[begin:]
+
+
+def _hits(letters: Letters, known) -> tuple[np.ndarray, np.ndarray]:
+    """(letter, q-gram) of the q-grams in the bitmap, in order of place."""
+    raw, sizes, tiny, _, _ = known
+    bits = np.frombuffer(raw, np.uint64)
+    mask = np.uint64(len(bits) * 64 - 1)
+    found, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for q, whole in [(q, False) for q in sizes] + [(q, True) for q in tiny]:
+        at, h = letters.grams(q, whole)
+        low = h & mask
+        hit = (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) > 0
+        found.append(at[hit])
+        keys.append(h[hit])
+    at, key = np.concatenate(found), np.concatenate(keys)
+    order = np.argsort(at, kind="stable")
+    return at[order], key[order]
+
+
 def _scanner(known):
     """Keeps the documents that hold enough q-grams of items close together, with these q-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, sizes, tiny, least, span = known.value
-        bits = np.frombuffer(raw, np.uint64)
-        mask = np.uint64(len(bits) * 64 - 1)
+        least, span = known.value[3:]
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            letters = Letters(texts)
-            found, keys = [], []
-            for q, whole in [(q, False) for q in sizes] + [(q, True) for q in tiny]:
-                at, h = letters.grams(q, whole)
-                low = h & mask
-                hit = (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) > 0
-                found.append(at[hit])
-                keys.append(h[hit])
-            at, key = np.concatenate(found or [np.zeros(0, np.int64)]), np.concatenate(keys or [np.zeros(0, np.uint64)])
-            order = np.argsort(at, kind="stable")
-            at, key = at[order], key[order]
-            text = letters.text[at]
-            # enough of them within the longest item
-            near = np.zeros(len(texts), bool)
-            if len(at) >= least:
-                a, b = slice(0, len(at) - least + 1), slice(least - 1, None)
-                near[text[a][(text[a] == text[b]) & (at[b] - at[a] <= span)]] = True
-            kept = near[text]
-            at, key, text = at[kept], key[kept], text[kept]
-            chosen = np.flatnonzero(near)
-            offsets = pa.array(np.append(np.searchsorted(text, chosen), len(text)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (key.view(np.int64), letters.place[at].astype(np.int32), letters.word[at].astype(np.int32))]
-            rows = pa.array(chosen)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("text").take(rows), *lists], ["doc_id", "text", "grams", "places", "words"])
+            for first, texts in _parts(batch.column("text").to_pylist()):
+                letters = Letters(texts)
+                at, key = _hits(letters, known.value)
+                text = letters.text[at]
+                # enough of them within the longest item
+                near = np.zeros(len(texts), bool)
+                if len(at) >= least:
+                    a, b = slice(0, len(at) - least + 1), slice(least - 1, None)
+                    near[text[a][(text[a] == text[b]) & (at[b] - at[a] <= span)]] = True
+                kept = near[text]
+                at, key, text = at[kept], key[kept], text[kept]
+                chosen = np.flatnonzero(near)
+                offsets = pa.array(np.append(np.searchsorted(text, chosen), len(text)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (key.view(np.int64), letters.place[at].astype(np.int32), letters.word[at].astype(np.int32))]
+                rows = pa.array(chosen + first)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("text").take(rows), *lists], ["doc_id", "text", "grams", "places", "words"])
+
+    return run
+
+
+class Index:
+    """The q-grams of all items, sorted, with the items and places they are from."""
+
+    def __init__(self, grams: pa.Table, items: list[dict]) -> None:
+        number = {x["iid"]: i for i, x in enumerate(items)}
+        self.items = items
+        key = grams.column("gram").to_numpy().view(np.uint64)
+        order = np.argsort(key, kind="stable")
+        self.keys, first = np.unique(key[order], return_index=True)
+        self.bounds = np.append(first, len(key))
+        self.item = np.fromiter((number[i] for i in grams.column("iid").to_pylist()), np.int32, len(key))[order]
+        self.place, self.word = (grams.column(c).to_numpy()[order] for c in ("place", "word"))
+        self.need, self.half = np.zeros(len(items), np.int64), np.ones(len(items), np.int64)
+        for c, out in (("need", self.need), ("half", self.half)):
+            out[self.item] = grams.column(c).to_numpy()[order]
+
+    def near(self, letters: Letters, at: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, least, greatest word offset) of the bands with enough q-grams."""
+        if not len(at) or not len(self.keys):
+            return
+        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[found] == key
+        at, found = at[hit], found[hit]
+        n = self.bounds[found + 1] - self.bounds[found]
+        flat = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.bounds[found], n)
+        at, item = np.repeat(at, n), self.item[flat]
+        pair = letters.text[at] * len(self.items) + item
+        enough = np.bincount(pair)[pair] >= self.need[item] if len(pair) else np.zeros(0, bool)
+        at, item, pair, flat = at[enough], item[enough], pair[enough], flat[enough]
+        if not len(at):
+            return
+        slot = (letters.place[at] - self.place[flat]) // self.half[item]
+        slot -= slot.min()
+        width, places = int(slot.max()) + 2, int(self.place.max()) + 1
+        band = pair * width + slot
+        # a repeated q-gram of a document counts once per place of the item in a slot
+        slots, counts = np.unique(np.unique(band * places + self.place[flat]) // places, return_counts=True)
+        after = np.minimum(np.searchsorted(slots, slots + 1), len(slots) - 1)
+        total = counts + np.where(slots[after] == slots + 1, counts[after], 0)
+        good = slots[total >= self.need[(slots // width) % len(self.items)]]
+        offset = letters.word[at] - self.word[flat]
+        order = np.argsort(band, kind="stable")
+        band, offset = band[order], offset[order]
+        for b, i, j in zip(good.tolist(), np.searchsorted(band, good), np.searchsorted(band, good + 2)):
+            text, number = divmod(b // width, len(self.items))
+            yield text, number, int(offset[i:j].min()), int(offset[i:j].max())
+
+
+def _finder(known, index):
+    """The whole search in one pass, for an index that fits a worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[int, int]] = []
+            for first, texts in _parts(batch.column("text").to_pylist()):
+                letters = Letters(texts)
+                asked: dict[int, list[tuple]] = {}
+                for text, number, low, high in index.value.near(letters, *_hits(letters, known.value)):
+                    x = index.value.items[number]
+                    asked.setdefault(text, []).append((x["item_id"], x["text"], x["q"] == x["letters"] < TINY, low, high))
+                rows += [(first + t, i) for t, a in asked.items() for i in _held(texts[t], a)]
+            which, found = zip(*rows) if rows else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(which, pa.int64())), pa.array(found, pa.int64())], ["doc_id", "item_id"])
 
     return run
 
@@ -274,24 +365,24 @@ def holds(item: list[str], words: list[str], low: int, high: int) -> bool:
     return False
 
 
+def _held(text: str, asked: list[tuple[int, str, bool, int, int]]) -> list[int]:
+    """Ids of the asked (item_id, item, whole only, least, greatest word offset) that the text holds."""
+    words = words_of(text)
+    joined = f" {' '.join(words)} "
+    found: set[int] = set()
+    for item_id, item, whole, low, high in asked:
+        if item_id not in found:
+            own = words_of(item)
+            if f" {' '.join(own)} " in joined or (not whole and holds(own, words, low, high)):
+                found.add(item_id)
+    return sorted(found)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for doc_id, text, asked in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "asked"))):
-            words = words_of(text)
-            joined = f" {' '.join(words)} "
-            found: set[int] = set()
-            for x in asked:
-                if x["item_id"] in found:
-                    continue
-                item = words_of(x["item"])
-                if x["q"] == x["letters"] < TINY:
-                    held = f" {' '.join(item)} " in joined
-                else:
-                    held = holds(item, words, x["low"], x["high"])
-                if held:
-                    found.add(x["item_id"])
-            rows += [(doc_id, i) for i in sorted(found)]
+            rows += [(doc_id, i) for i in _held(text, [(x["item_id"], x["item"], x["q"] == x["letters"] < TINY, x["low"], x["high"]) for x in asked])]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["doc_id", "item_id"])
 
 
@@ -306,10 +397,15 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.size("grams") + 4 * F.col("half") + 2 * QS[0]), F.lit(0)).alias("span"),
         F.sort_array(F.collect_set(F.when(F.col("letters") >= TINY, F.col("q")))).alias("sizes"),
         F.sort_array(F.collect_set(F.when((F.col("letters") < TINY) & (F.col("q") == F.col("letters")), F.col("q")))).alias("tiny"),
+        F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"),
     ).first()
     bits = min(MOST_BITS, 1 << max(16, math.ceil(math.log2(max(1, every.n) * BITS_EACH))))
-    bitmap = spark.sparkContext.broadcast((_bitmap(grams, bits).tobytes(), shape.sizes, shape.tiny, every.need or 1, shape.span))
+    broadcast = spark.sparkContext.broadcast
+    bitmap = broadcast((_bitmap(grams, bits).tobytes(), shape.sizes, shape.tiny, every.need or 1, shape.span))
     texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
+    if every.n <= INDEXED and shape.chars <= 4 * INDEXED:
+        index = broadcast(Index(grams.toArrow(), [r.asDict() for r in known.select("iid", "item_id", "text", "q", "letters").collect()]))
+        return texts.mapInArrow(_finder(bitmap, index), "doc_id bigint, item_id bigint").distinct()
     kept = texts.mapInArrow(_scanner(bitmap), "doc_id bigint, text string, grams array<bigint>, places array<int>, words array<int>")
     hits = materialise(kept.withColumn("did", F.monotonically_increasing_id()), "leak_hits")
     near = candidates(hits, grams).join(known.select("iid", "item_id", F.col("text").alias("item"), "q", "letters"), "iid")

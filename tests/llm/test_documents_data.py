@@ -43,7 +43,10 @@ def passage(rng, n):
     return [rng.choice(WORDS) for _ in range(n)]
 
 
-def test_leaks_by_share_and_changes(spark):
+@pytest.mark.parametrize("indexed", [leakage.INDEXED, 0])
+def test_leaks_by_share_and_changes(spark, monkeypatch, indexed):
+    """The index sent to the workers, and the join beyond its size, find the same."""
+    monkeypatch.setattr(leakage, "INDEXED", indexed)
     rng = random.Random(5)
     items = {i: passage(rng, 40) for i in range(1, 6)}
     fill = lambda n=60: " ".join(passage(rng, n))
@@ -90,15 +93,20 @@ def test_phrases_of_many_items(spark, monkeypatch):
     d = spark.createDataFrame([(100 + i, "x " + t + " y", "en", None, None) for i, t in items] + [(200 + i, f"{' '.join(passage(rng, 30))} {phrase} end", "en", None, None) for i in range(20)], DOCS)
     i = spark.createDataFrame(items, "item_id bigint, text string")
     whole = sorted(map(tuple, leakage.leaks(d, i).collect()))
+    assert whole == [(100 + k, k) for k in range(20)]
     monkeypatch.setattr(leakage, "HOT", 3)
-    assert sorted(map(tuple, leakage.leaks(d, i).collect())) == whole == [(100 + k, k) for k in range(20)]
+    assert sorted(map(tuple, leakage.leaks(d, i).collect())) == whole
+    monkeypatch.setattr(leakage, "INDEXED", 0)
+    assert sorted(map(tuple, leakage.leaks(d, i).collect())) == whole
 
 
-def test_short_items(spark):
+def test_short_items(spark, monkeypatch):
     items = spark.createDataFrame([(1, "Go up."), (2, "Press the red key now"), (3, "北京 上海 广州"), (4, "?!"), (5, "ab")], "item_id bigint, text string")
     docs = {1: "Then go up, said the desk.", 2: "They go upward.", 3: "Please press the red key at once.", 4: "press key red the", 5: "来自北京 上海 广州的", 6: "在 北京，上海。广州 见", 7: "a b"}
     d = spark.createDataFrame([(k, t, "en", None, None) for k, t in docs.items()], DOCS)
     assert {tuple(r) for r in leakage.leaks(d, items).collect()} == {(1, 1), (3, 2), (6, 3)}
+    monkeypatch.setattr(leakage, "INDEXED", 0)
+    assert {tuple(r) for r in leakage.leaks(d, items).collect()} == {(1, 1), (3, 2), (6, 3)}
 
 
 def cut(text, lang="en"):
