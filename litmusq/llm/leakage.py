@@ -30,6 +30,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -338,6 +340,11 @@ def holds(item: list[str], words: list[str], low: int, high: int) -> bool:
     """Banded local alignment: word i of the item with the words from i + low to i + high, and a little beyond."""
     n, m = len(item), len(words)
     pad = math.ceil(CHANGED * n) + 2
+    # a part with at most CHANGED of its words unlike has a stretch of PART with at most twice that share
+    part = math.ceil(PART * n)
+    there = list(accumulate((w in words[max(0, i + low - pad) : max(0, i + high + pad + 1)] for i, w in enumerate(item)), initial=0))
+    if max(b - a for a, b in zip(there, there[part:])) < (1 - 2 * CHANGED) * part:
+        return False
     above: dict[int, tuple[float, int, int]] = {}
     for i, w in enumerate(item):
         row: dict[int, tuple[float, int, int]] = {}
@@ -365,6 +372,9 @@ def holds(item: list[str], words: list[str], low: int, high: int) -> bool:
     return False
 
 
+_item_words = lru_cache(maxsize=4096)(words_of)
+
+
 def _held(text: str, asked: list[tuple[int, str, bool, int, int]]) -> list[int]:
     """Ids of the asked (item_id, item, whole only, least, greatest word offset) that the text holds."""
     words = words_of(text)
@@ -372,7 +382,7 @@ def _held(text: str, asked: list[tuple[int, str, bool, int, int]]) -> list[int]:
     found: set[int] = set()
     for item_id, item, whole, low, high in asked:
         if item_id not in found:
-            own = words_of(item)
+            own = _item_words(item)
             if f" {' '.join(own)} " in joined or (not whole and holds(own, words, low, high)):
                 found.add(item_id)
     return sorted(found)
