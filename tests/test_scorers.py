@@ -86,7 +86,7 @@ def test_recorded_summaries_of_the_first_round(recorded):
 
 
 def test_recorded_summaries_of_the_second_round(recorded):
-    got = {r.scorer_id: r for r in E.eligibility(E.summaries(_eval(recorded))).collect()}
+    got = {r.scorer_id: r for r in E.eligibility(E.summaries(_eval(recorded)).withColumn("execution_valid", F.lit(True))).collect()}
     for want in _run_folder()["second"]:
         for field in ("train_accuracy", "train_margin", "test_accuracy", "test_margin", "score_spread", "adversarial_accuracy", "adversarial_margin", "exec_error_rate"):
             assert got[want["scorer_id"]][field] == pytest.approx(want[field], abs=1e-9)
@@ -95,7 +95,7 @@ def test_recorded_summaries_of_the_second_round(recorded):
 
 
 def test_recorded_frontier_of_the_second_round(recorded):
-    s = E.eligibility(E.summaries(_eval(recorded)))
+    s = E.eligibility(E.summaries(_eval(recorded)).withColumn("execution_valid", F.lit(True)))
     got = [(r.scorer_id, r.test_margin) for r in E.frontier(s).orderBy("rank").collect()]
     want = [(r["scorer_id"], r["test_margin"]) for r in _run_folder()["front"]]
     assert [g[0] for g in got] == [w[0] for w in want]
@@ -156,12 +156,102 @@ def test_skyline_is_what_no_row_beats(spark):
     assert got == {y[0] for y in whole if not any(beats(x, y) for x in whole)}
 
 
+EVAL = "eval_id bigint, scorer_id string, pair_id string, split string, pair_type string, pos_score double, neg_score double, pos_err string, neg_err string, run_id string, ingested_at timestamp, evaluated_at timestamp"
+
+
 def test_empty_tables(spark):
-    none = spark.createDataFrame([], "eval_id bigint, scorer_id string, pair_id string, split string, pair_type string, pos_score double, neg_score double, pos_err string, neg_err string, run_id string, ingested_at timestamp, evaluated_at timestamp")
-    e = E.facts(none)
-    assert E.summaries(e).count() == 0
-    assert E.frontier(E.eligibility(E.summaries(e))).count() == 0
-    assert E.repair_deltas(e).count() == 0
+    e = E.facts(spark.createDataFrame([], EVAL))
+    checked = E.eligibility(E.validity(E.summaries(e), E.validation(e)))
+    assert E.summaries(e).count() == 0 and checked.count() == 0
+    assert E.frontier(checked).count() == 0 and E.ensemble_members(E.frontier(checked)).count() == 0
+    assert E.failure_packet(e, E.frontier(checked)).count() == 0 and E.heldout_aggregates(e).count() == 0
+    old = spark.createDataFrame([("a",)], "scorer_id string")
+    deltas = E.repair_deltas(e, old)
+    assert {(r.subset, r.best_old_by_margin, r.margin_delta) for r in deltas.collect()} == {(s, None, 0.0) for s in E.SUBSETS}
+    assert E.repair_claim(deltas, E.frontier(checked), old).first().overall_improvement_claim_supported is False
+    assert E.staged_eligibility(E.staged_summary(e)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    """Four scorers over eight pairs: a good one, one that collapses, one that fails once, one that is out of range."""
+    rows = []
+    kinds = ["fake_mechanism", "hype_trap", "subtle_quality_gap"]
+    for i in range(8):
+        split = "train" if i < 4 else "test" if i < 6 else "heldout"
+        pair = f"R{i % 2}_{i}"
+        rows += [("good", 0.8 - i / 100, 0.3 if i != 1 else 0.9, None), ("flat", 0.5, 0.5, None), ("fails", 0.7, 0.2, "ZeroDivisionError" if i == 3 else None), ("wild", 1.2 if i == 2 else 0.6, 0.5, None)]
+        rows[-4:] = [(10 * i + k, s, pair, split, kinds[i % 3], None if err else p, None if err else n, err, None, "r", None, None) for k, (s, p, n, err) in enumerate(rows[-4:])]
+    return E.facts(spark.createDataFrame(rows, EVAL))
+
+
+def test_validation_and_first_reasons(planted):
+    v = {r.scorer_id: r for r in E.validation(planted.where("split = 'train'")).collect()}
+    assert {k: r.reason for k, r in v.items()} == {"good": "ok", "flat": "constant_pair_outputs", "fails": "runtime_error", "wild": "out_of_range"}
+    assert v["fails"].validation_accuracy == v["wild"].validation_margin == 0 and v["good"].validation_accuracy == 0.75
+    s = E.eligibility(E.validity(E.summaries(planted), E.validation(planted.where("split = 'train'"))))
+    got = {r.scorer_id: (r.execution_valid, r.pair_quality_valid, r.pareto_eligible, r.pareto_ineligible_reason) for r in s.collect()}
+    broken = (False, False, False, "not valid (execution_valid=False)")
+    assert got == {"good": (True, True, True, ""), "flat": broken, "fails": broken, "wild": broken}
+    assert [r.scorer_id for r in E.frontier(s).collect()] == ["good"] == [r.scorer_id for r in E.ensemble_members(E.frontier(s)).collect()]
+
+
+def test_staged_rules_in_order(spark, planted):
+    got = {r.scorer_id: r for r in E.staged_eligibility(E.staged_summary(planted)).collect()}
+    assert {k: r.eligibility_reason for k, r in got.items()} == {"good": "eligible", "flat": "constant output", "fails": "exec_error_rate > 0", "wild": "eligible"}
+    assert got["good"].heldout_accuracy == 1.0 and got["good"].train_accuracy == 0.75  # test rows are not held out here
+    one = [(i, "s", f"p{i}", "heldout", "t", 0.5, 0.3, None, None, "r", None, None) for i in range(3)] + [(9, "w", "p", "heldout", "t", 0.50, 0.51, None, None, "r", None, None)] + [(11, "x", "p", "train", "t", 0.9, 0.1, None, None, "r", None, None), (12, "y", "p", "heldout", "t", 0.1, 0.9, None, None, "r", None, None)]
+    got = {r.scorer_id: r.eligibility_reason for r in E.staged_eligibility(E.staged_summary(E.facts(spark.createDataFrame(one, EVAL)))).collect()}
+    # two scores, one for all positives and one for all negatives, vary
+    assert got == {"s": "eligible", "w": "score_spread < 0.02", "x": "heldout_accuracy < 0.50", "y": "heldout_accuracy < 0.50"}
+
+
+def test_packet_and_instructions(spark, planted):
+    s = E.eligibility(E.validity(E.summaries(planted), E.validation(planted.where("split = 'train'"))))
+    front = E.frontier(s)
+    rows = E.failure_packet(planted, front).collect()
+    assert [(r.kind, r.place, r.scorer_id, r.pair_id, r.pos, r.neg, r.margin) for r in rows] == [("failed", 1, "good", "R1_1", 0.79, 0.9, -0.11)]
+    agg = {r.scorer_id: r for r in E.heldout_aggregates(planted).collect()}
+    assert agg["good"].accuracy == 1.0 and agg["flat"].failures_by_type == {"hype_trap": 1, "subtle_quality_gap": 1}
+    assert {(r.scorer_id, r.score_spread) for r in E.score_collapse(E.summaries(planted)).collect()} == {("flat", 0.0)}
+    counts = E.failure_counts(planted, front)
+    prior = spark.createDataFrame([(E.INSTRUCTIONS[4],)], "instruction string")
+    got = E.mutation_instructions(counts, front, prior).orderBy("place").collect()
+    assert [(r.place, r.applied) for r in got] == [(3, False), (5, True)]
+
+
+def test_repair_compares_best_by_margin_and_by_accuracy(spark):
+    rows = []
+    # old: a has the best margin, b the best accuracy; new: c
+    for i, (a, b, c) in enumerate([(0.9, 0.1, 0.2), (0.9, 0.1, 0.2), (-0.1, 0.1, 0.2), (-0.1, 0.1, -0.1)]):
+        rows += [(10 * i + k, s, f"R{i % 2}_T{i}", "test", "t", 0.5 + g / 2, 0.5 - g / 2, None, None, "r", None, None) for k, (s, g) in enumerate((("a", a), ("b", b), ("c", c)))]
+    e = E.facts(spark.createDataFrame(rows, EVAL))
+    old = spark.createDataFrame([("a",), ("b",)], "scorer_id string")
+    d = {r.subset: r for r in E.repair_deltas(e, old).collect()}
+    f = d["final_heldout"]
+    assert (f.best_old_by_margin, f.best_old_by_accuracy, f.best_new_by_margin, f.best_new_by_accuracy) == ("a", "b", "c", "c")
+    assert (f.margin_delta, f.accuracy_delta) == (-0.275, -0.25) and d["common_heldout"].best_old_by_margin == "a" and d["adversarial_train"].margin_delta == 0
+    front = spark.createDataFrame([("a",), ("c",)], "scorer_id string")
+    claim = E.repair_claim(E.repair_deltas(e, old), front, old).first()
+    assert claim.new_scorer_enters_pareto and not claim.overall_improvement_claim_supported and claim.share_of_eligible_ensemble == 0.5
+
+
+def test_ensemble_of_normalised_scores(spark):
+    rows = [("x", "A", 0.2), ("x", "B", 0.6), ("x", "C", 1.0), ("y", "A", 0.5), ("y", "B", 0.5), ("y", "C", 0.5)]
+    got = {r.item: (round(r.ensemble_score, 9), round(r.raw_mean, 9)) for r in E.ensemble(spark.createDataFrame(rows, "s string, item string, v double"), "item", "s", "v").collect()}
+    assert got == {"A": (0.0, 0.35), "B": (0.25, 0.55), "C": (0.5, 0.75)}
+    items = spark.createDataFrame([("A", 0.9, False), ("B", 0.4, True), ("C", 0.4, True)], "item string, ensemble_score double, policy_ok boolean")
+    assert E.selected(items, "item").first().item == "B" and E.selected(items.where("NOT policy_ok"), "item").where("item IS NOT NULL").count() == 0
+
+
+def test_all_criteria(spark):
+    """The recorded run: nineteen pass and one warns."""
+    values = {n: (t if isinstance(t, bool) else float(t)) for n, t, _ in E.CRITERIA} | {"mutation_instructions_not_all_repeated": False}
+    checked = E.criteria(spark.createDataFrame([values]))
+    assert [r.criterion for r in checked.orderBy("place").collect()] == [n for n, _, _ in E.CRITERIA]
+    assert tuple(E.criteria_counts(checked).first()) == (19, 1, 0)
+    worse = E.criteria(spark.createDataFrame([values | {"heldout_grew": False, "final_heldout_count": 14.0, "candidate_selected": None}], ", ".join(f"{n} {'boolean' if isinstance(t, bool) else 'double'}" for n, t, _ in E.CRITERIA)))
+    assert {r.criterion: r.status for r in worse.where("status <> 'pass'").collect()} == {"heldout_grew": "fail", "final_heldout_count": "fail", "candidate_selected": "fail", "mutation_instructions_not_all_repeated": "warning"}
 
 
 def test_trusted_code(spark):
