@@ -8,14 +8,20 @@ that returns a number; what it raises becomes an error and the value 0.5.
 
 from __future__ import annotations
 
+import collections
 import math
 import re
+import statistics
+import string
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from litmusq.functions.rowprobes import NAMES
 from litmusq.operators.signals import UNSAFE
 
 SCHEMA = "ok boolean, raw_value double, value double, out_of_range boolean, error string"
@@ -38,26 +44,37 @@ def _clamp(x: object) -> float:
 
 
 def _compiled(code: str):
-    space: dict = {"re": re, "math": math, "_clamp": _clamp}
-    exec(code, space)  # trusted by contract
-    return space["scorer"]
+    """The function ``scorer`` of the code, or what went wrong; the code sees the probes and word lists by name."""
+    space: dict = {m.__name__: m for m in (re, math, collections, string, statistics, unicodedata)} | NAMES | {"_clamp": _clamp}
+    try:
+        exec(code, space)  # trusted by contract
+        return space["scorer"]
+    except Exception as e:
+        return e
 
 
-def run_one(code: str | None, text: str | None, anchor: str | None) -> tuple[bool, float | None, float, bool, str | None]:
+def _call(scorer, text: str | None, anchor: str | None) -> tuple[bool, float | None, float, bool, str | None]:
     try:
-        raw = float(_compiled(code or "")(text, anchor, {}))
+        if isinstance(scorer, Exception):
+            raise scorer
+        raw = float(scorer(text, anchor, {}))
     except Exception as e:  # whatever a scorer raises is its error
         return False, None, 0.5, False, f"{type(e).__name__}: {e}"
-    return True, raw, _clamp(raw), math.isnan(raw) or not 0 <= raw <= 1, None
+    return True, raw, _clamp(raw), math.isnan(raw) or not -0.01 <= raw <= 1.01, None
+
+
+def run_one(code: str | None, text: str | None, anchor: str | None) -> tuple[bool, float | None, float, bool, str | None]:
+    return _call(_compiled(code or ""), text, anchor)
 
 
 def run(rows: DataFrame, code: str = "code", text: str = "text", anchor: str = "anchor") -> DataFrame:
-    """``rows`` with the columns of ``SCHEMA``; the function is compiled once per code and batch."""
+    """``rows`` with the columns of ``SCHEMA``; a code is compiled once a task."""
     names = rows.columns
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = lru_cache(maxsize=10_000)(_compiled)
         for batch in batches:
-            results = [run_one(c, t, a) for c, t, a in zip(*(batch.column(x).to_pylist() for x in (code, text, anchor)))]
+            results = [_call(compiled(c or ""), t, a) for c, t, a in zip(*(batch.column(x).to_pylist() for x in (code, text, anchor)))]
             cols = list(zip(*results)) if results else [()] * 5
             types = [pa.bool_(), pa.float64(), pa.float64(), pa.bool_(), pa.string()]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *[pa.array(c, t) for c, t in zip(cols, types)]], [*names, *[f.split()[0] for f in SCHEMA.split(", ")]])
@@ -66,9 +83,9 @@ def run(rows: DataFrame, code: str = "code", text: str = "text", anchor: str = "
     return rows.mapInArrow(call, f"{fields}, {SCHEMA}")
 
 
-def smoke(results: DataFrame, key: str) -> DataFrame:
+def smoke(results: DataFrame, *keys: str) -> DataFrame:
     """Per scorer: does it run on all texts, always give a number, and give at least two different ones?"""
-    return results.groupBy(key).agg(
+    return results.groupBy(*keys).agg(
         F.bool_and("ok").alias("runs"),
         F.bool_and(F.col("ok") & F.col("raw_value").isNotNull()).alias("numeric"),
         (F.count_distinct(F.round("raw_value", 10)) >= 2).alias("nonconstant"),

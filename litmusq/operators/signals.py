@@ -69,6 +69,14 @@ def rate(condition: Column) -> Column:
     return F.coalesce(F.avg(F.coalesce(condition, F.lit(False)).cast("double")), F.lit(0.0))
 
 
+def holds(text: Column, words: list[str]) -> Column:
+    """Does the text contain any of the words, as written?"""
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(F.coalesce(text, F.lit("")), F.lit(w))
+    return out
+
+
 def says(text: Column, words: list[str]) -> Column:
     """Does the lower-cased text contain any of the words?"""
     low = F.lower(F.coalesce(text, F.lit("")))
@@ -78,10 +86,18 @@ def says(text: Column, words: list[str]) -> Column:
     return out
 
 
-def research(items: DataFrame, key: str) -> DataFrame:
-    """Stage 1: (key, source_id, claim, causal_variable, effect_direction, mechanism)."""
+def _counted(out: DataFrame, rows: DataFrame | None, key: str, refs: str) -> DataFrame:
+    """``out`` with tension_count: the rows with a claim and at least two ``refs``; 0 where an output has none."""
+    if rows is None:
+        return out.withColumn("tension_count", F.lit(0).cast("bigint"))
+    n = rows.where(has(F.col("claim")) & (F.size(refs) >= 2)).groupBy(key).agg(F.count(F.lit(1)).alias("tension_count"))
+    return out.join(n, key, "left").na.fill(0, ["tension_count"])
+
+
+def research(items: DataFrame, key: str, tensions: DataFrame | None = None) -> DataFrame:
+    """Stage 1: (key, source_id, claim, causal_variable, effect_direction, mechanism), tensions (key, claim, variables)."""
     complete = has(F.col("claim")) & has(F.col("causal_variable")) & has(F.col("effect_direction")) & has(F.col("mechanism")) & has(F.col("source_id"))
-    return items.groupBy(key).agg(
+    out = items.groupBy(key).agg(
         F.count(F.lit(1)).alias("num_research_items"),
         F.count_distinct(F.when(has(F.col("causal_variable")), F.col("causal_variable"))).alias("num_unique_causal_variables"),
         rate(complete).alias("mechanism_completeness_rate"),
@@ -90,10 +106,11 @@ def research(items: DataFrame, key: str) -> DataFrame:
         rate(says(F.concat_ws(" ", "claim", "mechanism"), MECHANISTIC)).alias("causal_specificity_score"),
         rate((F.trim(F.coalesce("mechanism", F.lit(""))) == "") & says(F.col("claim"), VAGUE)).alias("generic_advice_penalty"),
     )
+    return _counted(out, tensions, key, "variables")
 
 
-def graph(nodes: DataFrame, edges: DataFrame, key: str, target: str | None = None) -> DataFrame:
-    """Stage 2: nodes (key, node_id, mechanism, role, evidence) and edges (key, src, dst, claim).
+def graph(nodes: DataFrame, edges: DataFrame, key: str, target: str | None = None, tensions: DataFrame | None = None, summary: DataFrame | None = None) -> DataFrame:
+    """Stage 2: nodes (key, node_id, mechanism, role, evidence), edges (key, src, dst, claim), tensions (key, claim, nodes), summary (key, summary).
 
     An edge is valid if it starts at a node and ends at a node or the target
     variable.  Ends are looked up by joins on (key, id).
@@ -113,7 +130,13 @@ def graph(nodes: DataFrame, edges: DataFrame, key: str, target: str | None = Non
     ends = edges.select(key, F.col("src").alias("node_id")).union(edges.select(key, F.col("dst").alias("node_id"))).distinct()
     joined = ids.join(ends, [key, "node_id"], "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("connected"))
     out = n.join(e, key, "left").join(joined, key, "left").na.fill(0, ["num_edges", "edge_validity_rate", "edge_explanation_rate", "connected"])
-    return out.withColumn("graph_connectedness_score", F.col("connected") / F.greatest(F.lit(1), F.col("num_nodes"))).drop("connected")
+    out = out.withColumn("graph_connectedness_score", F.col("connected") / F.greatest(F.lit(1), F.col("num_nodes"))).drop("connected")
+    out = _counted(out, tensions, key, "nodes")
+    if summary is None:
+        return out.withColumn("summary_uses_graph_terms", F.lit(False))
+    terms = nodes.where(has(F.col("node_id"))).select(key, F.lower("node_id").alias("term")).distinct()
+    told = terms.join(summary.select(key, F.lower("summary").alias("low")), key).where(F.contains("low", "term")).select(key).distinct()
+    return out.join(told.withColumn("summary_uses_graph_terms", F.lit(True)), key, "left").na.fill(False, ["summary_uses_graph_terms"])
 
 
 def top_nodes(nodes: DataFrame, edges: DataFrame, key: str, count: int) -> DataFrame:
@@ -148,27 +171,45 @@ def measurement(items: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     return s.withColumn("node_measurement_coverage", F.col("covered") / F.greatest(F.lit(1), F.col("nodes"))).withColumn("multi_measurement_rate", F.coalesce(F.try_divide("multi", "covered"), F.lit(0.0))).drop("covered", "multi", "nodes")
 
 
-def scorers(items: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
-    """Stage 4 without running code: (key, hypothesis, functional_form, functional_form_rationale, expected_failure_mode, code, causal_nodes_used, measurement_ideas_used)."""
+def behaviour(items: DataFrame, key: str, tried: DataFrame) -> DataFrame:
+    """How the code of an output's scorers behaves: the shares that run on every text, always give a number, and vary.
+
+    ``tried`` (key, ord, runs, numeric, nonconstant) are the scorers whose code
+    was run (``usercode.smoke``); the others neither run nor vary.
+    """
+    rates = [rate(F.col(c)).alias(n) for c, n in (("runs", "code_exec_rate"), ("numeric", "numeric_return_rate"), ("nonconstant", "nonconstant_behavior_rate"))]
+    return items.select(key, "ord").join(tried, [key, "ord"], "left").groupBy(key).agg(*rates)
+
+
+def scorers(items: DataFrame, nodes: DataFrame, key: str, tried: DataFrame | None = None) -> DataFrame:
+    """Stage 4: (key, ord, hypothesis, functional_form, functional_form_rationale, expected_failure_mode, code, causal_nodes_used, measurement_ideas_used).
+
+    The signals of running code are there only with ``tried`` (``behaviour``).
+    """
     used, ideas = F.coalesce("causal_nodes_used", F.array().cast("array<string>")), F.coalesce("measurement_ideas_used", F.array().cast("array<string>"))
     complete = has(F.col("hypothesis")) & filled(used) & filled(ideas) & has(F.col("functional_form")) & has(F.col("functional_form_rationale")) & has(F.col("expected_failure_mode")) & has(F.col("code"))
     code = F.lower(F.coalesce("code", F.lit("")))
     terms = F.filter(F.split(F.lower(F.regexp_replace(F.concat_ws(" ", used, ideas), "_", " ")), r"\s+"), lambda t: F.length(t) > 3)
     aligned = F.coalesce(F.try_divide(F.size(F.filter(terms, lambda t: F.contains(code, t))), F.size(terms)), F.lit(0.0))
-    known = F.array_agg("node_id")
-    per = nodes.where("node_id IS NOT NULL").groupBy(key).agg(F.array_distinct(known).alias("node_ids"))  # the nodes of one output
-    refs = items.join(per, key, "left").withColumn("refs", F.size(used)).withColumn("valid_refs", F.size(F.filter(used, lambda r: F.coalesce(F.array_contains("node_ids", r), F.lit(False)))))
-    return refs.groupBy(key).agg(
+    out = items.groupBy(key).agg(
         F.count(F.lit(1)).alias("num_scorers"),
         rate(complete).alias("hypothesis_completeness_rate"),
-        F.coalesce(F.try_divide(F.sum("valid_refs"), F.sum("refs")), F.lit(0.0)).alias("causal_node_validity_rate"),
         rate(filled(ideas)).alias("measurement_reference_rate"),
         F.count_distinct(F.when(has(F.col("functional_form")), F.lower("functional_form"))).alias("functional_form_diversity"),
-        rate(says(F.col("code"), INTERACTION)).alias("interaction_usage_rate"),
-        rate(says(F.col("code"), NORMALISATION)).alias("normalization_usage_rate"),
+        rate(holds(F.col("code"), INTERACTION)).alias("interaction_usage_rate"),
+        rate(holds(F.col("code"), NORMALISATION)).alias("normalization_usage_rate"),
         (F.count_distinct(F.coalesce("functional_form", F.lit("")), F.array_sort(F.array_distinct(used)), F.array_sort(F.array_distinct(ideas))) / F.count(F.lit(1))).alias("scorer_distinctness_score"),
         F.avg(aligned).alias("hypothesis_code_alignment_score"),
     )
+    out = out.join(_valid_refs(items, nodes, key), key, "left").na.fill(0.0, ["causal_node_validity_rate"])
+    return out.join(behaviour(items, key, tried), key) if tried is not None else out
+
+
+def _valid_refs(items: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """(key, causal_node_validity_rate): the share of all references in causal_nodes_used that are nodes of the output."""
+    refs = items.select(key, F.explode("causal_nodes_used").alias("node_id"))
+    known = nodes.where("node_id IS NOT NULL").select(key, "node_id").distinct().withColumn("known", F.lit(True))
+    return refs.join(known, [key, "node_id"], "left").groupBy(key).agg(rate(F.col("known")).alias("causal_node_validity_rate"))
 
 
 def near_duplicates(items: DataFrame, key: str, ident: str, text: str, threshold: float = 0.8) -> DataFrame:
@@ -199,16 +240,16 @@ def pairs(items: DataFrame, nodes: DataFrame, key: str, max_words: int = 80) ->
     for c in ("pair_id", "anchor", "positive", "negative", "split", "target_delta"):
         complete = complete & has(F.col(c))
     tested = F.coalesce("causal_nodes_tested", F.array().cast("array<string>"))
-    per = nodes.where("node_id IS NOT NULL").groupBy(key).agg(F.array_distinct(F.array_agg("node_id")).alias("node_ids"))
-    ok = filled(tested) & F.forall(tested, lambda t: F.coalesce(F.array_contains("node_ids", t), F.lit(False)))
+    known = nodes.where("node_id IS NOT NULL").select(key, "node_id").distinct().withColumn("known", F.lit(True))
+    found = items.select(key, "ord", F.explode("causal_nodes_tested").alias("node_id")).join(known, [key, "node_id"], "left").groupBy(key, "ord").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("nodes_known"))
     twice = near_duplicates(items, key, "ord", "anchor").withColumn("twice", F.lit(True))
-    df = items.join(per, key, "left").join(twice, [key, "ord"], "left")
+    df = items.join(found, [key, "ord"], "left").join(twice, [key, "ord"], "left")
     return df.groupBy(key).agg(
         F.count(F.lit(1)).alias("num_pairs"),
         F.count_if(F.coalesce(F.col("split") == "heldout", F.lit(False))).alias("heldout_count"),
         rate(complete & filled(F.col("controlled_variables"))).alias("pair_schema_completeness_rate"),
         rate(has(F.col("source_trace")) | has(F.col("source_id"))).alias("source_trace_rate"),
-        rate(ok).alias("causal_node_reference_validity_rate"),
+        rate(F.col("nodes_known")).alias("causal_node_reference_validity_rate"),
         rate(F.abs(length(F.col("positive")) - length(F.col("negative"))) <= max_words * 0.3).alias("length_balance_rate"),
         rate(F.size(tested).isin(1, 2)).alias("minimal_contrast_rate"),
         rate(has(F.col("label_contract"))).alias("target_direction_clarity_rate"),
@@ -239,8 +280,13 @@ def evaluated(summaries: DataFrame, key: str) -> DataFrame:
     )
 
 
-def failures(patterns: DataFrame, instructions: DataFrame, key: str) -> DataFrame:
-    """Stage 7: patterns (key, scorer_ids, visible_pair_ids, causal_nodes_implicated, reasoning_error) and instructions (key, instruction, targets)."""
+def failures(patterns: DataFrame, instructions: DataFrame, key: str, named: DataFrame | None = None) -> DataFrame:
+    """Stage 7: patterns (key, scorer_ids, visible_pair_ids, causal_nodes_implicated, reasoning_error) and instructions (key, instruction, targets).
+
+    ``named`` (key, top, heldout: arrays of scorer ids) gives the coverage of the
+    scorers with held-out figures by the packet's top scorers; without held-out
+    figures it is 1 if there are top scorers; an output without both has 0.
+    """
     specific = filled(F.col("scorer_ids")) & filled(F.col("visible_pair_ids")) & filled(F.col("causal_nodes_implicated")) & has(F.col("reasoning_error"))
     p = patterns.groupBy(key).agg(
         F.count(F.lit(1)).alias("failure_pattern_count"),
@@ -255,7 +301,12 @@ def failures(patterns: DataFrame, instructions: DataFrame, key: str) -> DataFram
     )
     out = p.join(i, key, "full").na.fill(0, ["failure_pattern_count", "visible_failure_reference_rate", "failure_pattern_specificity_score", "p_refs", "i_count", "mutation_actionability_score", "i_refs"])
     total = F.greatest(F.lit(1), F.col("failure_pattern_count") + F.col("i_count"))
-    return out.withColumn("causal_reference_rate", (F.col("p_refs") + F.col("i_refs")) / total).drop("p_refs", "i_refs", "i_count")
+    out = out.withColumn("causal_reference_rate", (F.col("p_refs") + F.col("i_refs")) / total).drop("p_refs", "i_refs", "i_count")
+    if named is None:
+        return out.withColumn("top_scorer_coverage_rate", F.lit(0.0))
+    covered = F.size(F.array_intersect("top", "heldout")) / F.size(F.array_distinct("heldout"))
+    share = F.when(filled(F.col("heldout")), F.coalesce(covered, F.lit(0.0))).otherwise(filled(F.col("top")).cast("double"))
+    return out.join(named.select(key, share.alias("top_scorer_coverage_rate")), key, "left").na.fill(0.0, ["top_scorer_coverage_rate"])
 
 
 def leakage(packets: DataFrame, heldout: DataFrame, key: str, least: int = 10) -> DataFrame:
@@ -277,20 +328,23 @@ def leakage(packets: DataFrame, heldout: DataFrame, key: str, least: int = 10) -
     return packets.select(key).distinct().join(hits.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, "left").select(key, F.coalesce("n", F.lit(0)).alias("heldout_raw_text_leakage_count"))
 
 
-def repairs(items: DataFrame, pattern_ids: DataFrame, key: str) -> DataFrame:
-    """Stage 8 without running code: repair scorers with targets, lineage, parents, form, code, feature map and strategy."""
-    targets = F.coalesce("targets_failure_patterns", F.array().cast("array<string>"))
-    per = pattern_ids.groupBy(key).agg(F.collect_set("pattern_id").alias("patterns"))
+def repairs(items: DataFrame, pattern_ids: DataFrame, key: str, nodes: DataFrame | None = None, tried: DataFrame | None = None) -> DataFrame:
+    """Stage 8: repair scorers (key, ord, ...) with targets, lineage, parents, form, code, feature map and strategy.
+
+    The signals of running code are there only with ``tried``, that of valid nodes only with ``nodes``.
+    """
+    known = pattern_ids.where("pattern_id IS NOT NULL").select(key, F.col("pattern_id").alias("target")).distinct()
+    hit = items.select(key, "ord", F.explode("targets_failure_patterns").alias("target")).join(known, [key, "target"]).select(key, "ord").distinct().withColumn("hit", F.lit(True))
     unsafe = F.lit(False)
     for p in UNSAFE:
         unsafe = unsafe | F.coalesce("code", F.lit("")).rlike(p)
     used = F.array_sort(F.array_distinct(F.coalesce("causal_nodes_used", F.array().cast("array<string>"))))
-    return (
-        items.join(per, key, "left")
+    out = (
+        items.join(hit, [key, "ord"], "left")
         .groupBy(key)
         .agg(
             F.count(F.lit(1)).alias("num_repair_scorers"),
-            rate(F.exists(targets, lambda t: F.coalesce(F.array_contains("patterns", t), F.lit(False)))).alias("failure_pattern_target_rate"),
+            rate(F.col("hit")).alias("failure_pattern_target_rate"),
             rate(filled(F.col("measurement_ideas_used"))).alias("measurement_reference_rate"),
             rate(has(F.col("lineage")) & filled(F.col("parent_scorer_ids"))).alias("lineage_completeness_rate"),
             F.count_distinct(F.when(has(F.col("functional_form")), F.lower("functional_form"))).alias("functional_form_diversity"),
@@ -300,6 +354,9 @@ def repairs(items: DataFrame, pattern_ids: DataFrame, key: str) -> DataFrame:
             rate(has(F.col("repair_strategy")) & says(F.col("repair_strategy"), ACTION_VERBS)).alias("repair_strategy_specificity_score"),
         )
     )
+    if nodes is not None:
+        out = out.join(_valid_refs(items, nodes, key), key, "left").na.fill(0.0, ["causal_node_validity_rate"])
+    return out.join(behaviour(items, key, tried), key) if tried is not None else out
 
 
 def long(wide: DataFrame, key: str, stage: int) -> DataFrame:
@@ -309,15 +366,15 @@ def long(wide: DataFrame, key: str, stage: int) -> DataFrame:
 
 
 def check(signals: DataFrame, key: str, kinds: tuple[str, ...] = ("min", "max")) -> DataFrame:
-    """(key, stage, kind, signal, value, threshold) of gates not met, or of targets missed.
+    """(key, stage, kind, signal, value, threshold, computed) of gates not met, or of targets missed.
 
-    An absent signal counts as 0 for a minimum or target and as 1 for a maximum;
-    targets of penalties are met from below.
+    A signal that was not computed has no value and is reported as such, not as
+    missed by its value; targets of penalties are met from below.
     """
     rules = signals.sparkSession.createDataFrame([(s, k, n, float(t)) for s, k, n, t in GATES if k in kinds], "stage int, kind string, signal string, threshold double")
     outputs = signals.select(key, "stage").distinct()
     wanted = outputs.join(F.broadcast(rules), "stage")  # the rules are a fixed table
-    got = wanted.join(signals, [key, "stage", "signal"], "left").withColumn("value", F.coalesce("value", F.when(F.col("kind") == "max", 1.0).otherwise(0.0)))
+    got = wanted.join(signals, [key, "stage", "signal"], "left")
     above = (F.col("kind") == "max") | ((F.col("kind") == "target") & F.contains(F.col("signal"), F.lit("penalty")))
     missed = F.when(above, F.col("value") > F.col("threshold")).otherwise(F.col("value") < F.col("threshold"))
-    return got.where(missed).select(key, "stage", "kind", "signal", "value", "threshold")
+    return got.where(F.coalesce(missed, F.lit(True))).select(key, "stage", "kind", "signal", "value", "threshold", F.col("value").isNotNull().alias("computed"))

@@ -1,9 +1,9 @@
 """Queries of the stage signals over stage_results, with their SQL.
 
 The stage outputs of the data carry fewer fields than the signals look at; each
-query says how it fills the others, the same way in both languages.  The SQL
-reads only answers that are bare JSON; fences and repair are beyond it, so its
-rows are those of such answers alone.
+query says how it fills the others, the same way in both languages.  Both take
+answers as the stages do: fences off, open brackets closed, else up to the last
+balanced bracket.
 """
 
 from __future__ import annotations
@@ -13,34 +13,64 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litmusq.functions import usercode
+from litmusq.operators import evaluation as E
 from litmusq.operators import signals as S
-from litmusq.plans.eval_queries import _E, _PAIRS, _round, facts
-from litmusq.plans.probe_queries import pairs
+from litmusq.plans.eval_queries import _E, _PAIRS, _STAGED, _dominates, _round, facts
+from litmusq.plans.lineage import materialise
 from litmusq.sources.files import answered_json
 from litmusq.sources.tables import latest, table
 
 
-def outputs(spark: SparkSession, folder: str, stage: int) -> DataFrame:
-    """The outputs of a stage that are a JSON object once fences are off and cut ends repaired, one row per result_id."""
-    one = latest(table(spark, folder, "stage_results"), "result_id", ["ingested_at", "called_at"], ["result_id", "run_id", "stage_num", "raw_response"]).where(F.col("stage_num") == stage)
+KEPT = ["result_id", "run_id", "stage_num", "raw_response"]
+
+
+def answers(spark: SparkSession, folder: str) -> DataFrame:
+    """(result_id, run_id, stage_num, raw_response): the JSON object in every answer that has one, one row per result_id."""
+    one = latest(table(spark, folder, "stage_results"), "result_id", ["ingested_at", "called_at"], KEPT)
     return answered_json(one).where(F.ltrim("raw_response").startswith("{"))
 
 
-def items(spark: SparkSession, folder: str, stage: int, field: str, schema: str) -> DataFrame:
-    parsed = outputs(spark, folder, stage).select("result_id", "run_id", F.from_json("raw_response", f"{field} array<struct<{schema}>>")[field].alias("x"))
+def items(base: DataFrame, stage: int, field: str, schema: str) -> DataFrame:
+    """The objects of a list field of a stage's answers, in order (ord)."""
+    parsed = base.where(F.col("stage_num") == stage).select("result_id", "run_id", F.from_json("raw_response", f"{field} array<struct<{schema}>>")[field].alias("x"))
     return parsed.select("result_id", "run_id", F.posexplode("x").alias("ord", "i")).where("i IS NOT NULL").select("result_id", "run_id", "ord", "i.*")
 
 
-def nodes_of(spark: SparkSession, folder: str, results: DataFrame) -> DataFrame:
+def nodes_of(base: DataFrame, results: DataFrame) -> DataFrame:
     """(result_id, node_id): the graph nodes known to the run of each result."""
-    n = items(spark, folder, 2, "causal_graph", "node_id string").where("node_id IS NOT NULL").select("run_id", "node_id").distinct()
+    n = items(base, 2, "causal_graph", "node_id string").where("node_id IS NOT NULL").select("run_id", "node_id").distinct()
     return results.select("result_id", "run_id").distinct().join(n, "run_id").select("result_id", "node_id")
 
 
-def stage1(spark: SparkSession, folder: str) -> DataFrame:
+#: Texts and anchor that scorer code is tried on.
+SMOKE_ANCHOR = "We help teams review documents."
+SMOKE_TEXTS = ["We help teams review documents before the audit, by flagging missing owners.", "The ultimate revolutionary platform that transforms everything instantly.", "Teams see which document lacks an owner, because the tool compares each one with the register."]
+
+
+def tried(it: DataFrame) -> DataFrame:
+    """(result_id, ord, runs, numeric, nonconstant) of the scorers that have code, run on the smoke texts."""
+    texts = F.explode(F.array(*map(F.lit, SMOKE_TEXTS)))
+    rows = it.where(S.has(F.col("code"))).select("result_id", "ord", "code", texts.alias("text"), F.lit(SMOKE_ANCHOR).alias("anchor"))
+    return usercode.smoke(usercode.run(rows), "result_id", "ord")
+
+
+def stage1(base: DataFrame) -> DataFrame:
     """causal_variable is the effect direction with the source."""
-    it = items(spark, folder, 1, "causal_research", "source_id string, claim string, effect_direction string, mechanism string")
-    return S.research(it.withColumn("causal_variable", F.concat("effect_direction", "source_id")), "result_id")
+    it = items(base, 1, "causal_research", "source_id string, claim string, effect_direction string, mechanism string")
+    tensions = items(base, 1, "research_tensions", "claim string, variables array<string>")
+    return S.research(it.withColumn("causal_variable", F.concat("effect_direction", "source_id")), "result_id", tensions)
+
+
+def stage2(base: DataFrame) -> DataFrame:
+    """Edges go from each node to the next; the definition is the mechanism, the label the role; the summary is summary_theory."""
+    it = items(base, 2, "causal_graph", "node_id string, label string, definition string, evidence string")
+    nodes = it.select("result_id", "node_id", F.col("definition").alias("mechanism"), F.col("label").alias("role"), F.array_compact(F.array("evidence")).alias("evidence"))
+    after = it.select("result_id", (F.col("ord") - 1).alias("ord"), F.col("node_id").alias("dst"))
+    edges = it.join(after, ["result_id", "ord"]).select("result_id", F.col("node_id").alias("src"), "dst", F.col("label").alias("claim"))
+    tensions = items(base, 2, "graph_tensions", "claim string, nodes array<string>")
+    summary = base.where("stage_num = 2").select("result_id", F.get_json_object("raw_response", "$.summary_theory").alias("summary"))
+    return S.graph(nodes, edges, "result_id", None, tensions, summary)
 
 
 def graph_frames(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -48,122 +78,123 @@ def graph_frames(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     nodes = table(spark, folder, "nation").select(F.lit("trade").alias("g"), F.col("n_name").alias("node_id"), F.col("n_nationkey").alias("ord"), F.when(F.col("n_nationkey") % 3 != 0, F.col("n_name")).alias("mechanism"), F.element_at(F.array(*map(F.lit, S.DIRECTIONS)), F.col("n_nationkey") % 4 + 1).alias("role"), F.when(F.col("n_regionkey") > 0, F.array("n_name")).alias("evidence"))
     o = table(spark, folder, "orders", "o_orderkey", "o_custkey").join(table(spark, folder, "customer", "c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     li = table(spark, folder, "lineitem", "l_orderkey", "l_suppkey").join(table(spark, folder, "supplier", "s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    trade = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("c_nationkey", "s_nationkey").agg(F.count(F.lit(1)).alias("n")).where("c_nationkey % 5 <> 0")
+    trade = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("c_nationkey", "s_nationkey").agg(F.count(F.lit(1)).alias("n"))
     name = table(spark, folder, "nation", "n_nationkey", "n_name")
     edges = trade.join(name.toDF("c_nationkey", "src"), "c_nationkey").join(name.toDF("s_nationkey", "dst"), "s_nationkey")
     return nodes, edges.select(F.lit("trade").alias("g"), "src", F.when(F.col("n") % 4 == 0, F.lit("elsewhere")).otherwise(F.col("dst")).alias("dst"), F.when(F.col("n") % 2 == 0, F.col("src")).alias("claim"))
 
 
-def stage3(spark: SparkSession, folder: str) -> DataFrame:
+def stage3(base: DataFrame) -> DataFrame:
     """causal_node comes from the number of the source, features are the words of the mechanism, ideas the claim and mechanism."""
-    it = items(spark, folder, 3, "measurement", "source_id string, claim string, mechanism string")
+    it = items(base, 3, "measurement", "source_id string, claim string, mechanism string")
     it = it.withColumn("causal_node", F.concat(F.lit("n_"), F.lpad(F.substring("source_id", 2, 9), 2, "0"))).withColumn("measurement_claim", F.col("claim"))
     it = it.withColumn("text_features", F.split("mechanism", " ")).withColumn("implementation_ideas", F.array_compact(F.array("claim", "mechanism")))
-    return S.measurement(it, nodes_of(spark, folder, it), "result_id")
+    return S.measurement(it, nodes_of(base, it), "result_id")
 
 
-def stage4(spark: SparkSession, folder: str) -> DataFrame:
+def stage4(base: DataFrame) -> DataFrame:
     """Nodes used come from the scorer's number, ideas from its form; rationale and failure mode are the hypothesis."""
-    it = items(spark, folder, 4, "scorers", "scorer_id string, hypothesis string, functional_form string, code string")
+    it = items(base, 4, "scorers", "scorer_id string, hypothesis string, functional_form string, code string")
     it = it.withColumn("causal_nodes_used", F.when(F.col("scorer_id").isNotNull(), F.array(F.concat(F.lit("n_"), F.substring("scorer_id", -2, 2))))).withColumn("measurement_ideas_used", F.split("functional_form", "_"))
     it = it.withColumn("functional_form_rationale", F.col("hypothesis")).withColumn("expected_failure_mode", F.col("hypothesis"))
-    return S.scorers(it, nodes_of(spark, folder, it), "result_id")
+    return S.scorers(it, nodes_of(base, it), "result_id", tried(it))
 
 
-def _pair_items(spark: SparkSession, folder: str) -> DataFrame:
-    it = items(spark, folder, 5, "pairs", "pair_id string, anchor string, positive string, negative string, source_id string")
+def _pair_items(base: DataFrame) -> DataFrame:
+    it = items(base, 5, "pairs", "pair_id string, anchor string, positive string, negative string, source_id string")
     number = F.expr("try_cast(substring(pair_id, 2) AS int)")
     it = it.withColumn("split", F.when(number % 3 == 0, "heldout").when(number.isNotNull(), "train")).withColumn("target_delta", F.when(number % 2 == 0, F.col("pair_id"))).withColumn("label_contract", F.col("negative")).withColumn("source_trace", F.lit(None).cast("string"))
     it = it.withColumn("controlled_variables", F.when(number % 5 != 0, F.array("pair_id"))).withColumn("causal_nodes_tested", F.when(number.isNotNull(), F.array(F.concat(F.lit("n_"), F.lpad((number % 40).cast("string"), 2, "0")))))
     return it.withColumn("policy_violations", F.when(F.contains("positive", F.lit("Nothing")), F.array(F.lit("noted"))))
 
 
-def stage5(spark: SparkSession, folder: str) -> DataFrame:
+def stage5(base: DataFrame) -> DataFrame:
     """Split, delta and variables come from the number in pair_id."""
-    it = _pair_items(spark, folder)
-    return S.pairs(it, nodes_of(spark, folder, it), "result_id", 30)
+    it = _pair_items(base)
+    return S.pairs(it, nodes_of(base, it), "result_id", 30)
 
 
 def near_duplicate_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Anchors of one output that a later anchor of it nearly repeats."""
-    return S.near_duplicates(_pair_items(spark, folder), "result_id", "ord", "anchor", 0.25)
+    """Anchors of one output that a later anchor of it nearly repeats; few anchors of this data reach the usual 0.8."""
+    return S.near_duplicates(_pair_items(answers(spark, folder)), "result_id", "ord", "anchor", 0.25)
 
 
 def stage6(spark: SparkSession, folder: str) -> DataFrame:
-    """Per run, from eval_rows: eligible with a positive held-out gap, on the frontier with full accuracy."""
-    ok, train, held = ~F.col("failed"), F.col("split") == "train", F.col("split").isin("test", "heldout")
-    s = facts(spark, folder).groupBy("run_id", "scorer_id").agg(
-        F.avg(F.col("failed").cast("double")).alias("exec_error_rate"),
-        (F.max(F.greatest("p", "n")) - F.min(F.least("p", "n"))).alias("score_spread"),
-        F.avg(F.when(ok & train, F.col("right").cast("double"))).alias("train_accuracy"),
-        F.avg(F.when(ok & held, F.col("right").cast("double"))).alias("heldout_accuracy"),
-        F.avg(F.when(ok & train, F.col("gap"))).alias("train_mean_gap"),
-        F.avg(F.when(ok & held, F.col("gap"))).alias("heldout_mean_gap"),
-    )
-    s = s.withColumn("nonconstant_rate", F.when(F.col("score_spread") > 0.001, 1.0).otherwise(0.0)).withColumn("eligible", F.col("heldout_mean_gap") > 0).withColumn("pareto", F.col("heldout_accuracy") >= 1)
-    return S.evaluated(s, "run_id")
-
-
-def _stage7(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    p = items(spark, folder, 7, "failure_analysis", "pattern_id string, reasoning_error string, scorer_ids array<string>")
-    p = p.withColumn("visible_pair_ids", F.filter("scorer_ids", lambda x: x.startswith("S_r0"))).withColumn("causal_nodes_implicated", F.filter("scorer_ids", lambda x: x.startswith("S_r1")))
-    i = items(spark, folder, 8, "repair", "hypothesis string, functional_form string").select("run_id", F.col("hypothesis").alias("instruction"), F.when(F.col("functional_form").isNotNull(), F.array("functional_form")).alias("targets"))
-    return p, i
+    """Per run, from eval_rows by the staged rules."""
+    s = E.staged_eligibility(E.staged_summary(facts(spark, folder), "run_id"))
+    front = E.undominated(s.where("eligible"), ["heldout_accuracy", "heldout_mean_gap"], "run_id").select("run_id", "scorer_id", F.lit(True).alias("pareto"))
+    return S.evaluated(s.join(front, ["run_id", "scorer_id"], "left"), "run_id")
+
 
+def stage7(spark: SparkSession, folder: str, base: DataFrame) -> DataFrame:
+    """Per run: the patterns of stage 7 and, as instructions, the hypotheses of stage 8.
 
-def stage7(spark: SparkSession, folder: str) -> DataFrame:
-    """Per run: the patterns of stage 7 and, as instructions, the hypotheses of stage 8."""
-    p, i = _stage7(spark, folder)
-    return S.failures(p, i, "run_id")
+    Top scorers are those the patterns name, those with held-out figures those of stage 6's answers.
+    """
+    p = items(base, 7, "failure_analysis", "pattern_id string, reasoning_error string, scorer_ids array<string>")
+    p = p.withColumn("visible_pair_ids", F.filter("scorer_ids", lambda x: x.startswith("S_r0"))).withColumn("causal_nodes_implicated", F.filter("scorer_ids", lambda x: x.startswith("S_r1")))
+    i = items(base, 8, "repair", "hypothesis string, functional_form string").select("run_id", F.col("hypothesis").alias("instruction"), F.when(F.col("functional_form").isNotNull(), F.array("functional_form")).alias("targets"))
+    top = p.select("run_id", F.explode("scorer_ids").alias("id")).groupBy("run_id").agg(F.collect_set("id").alias("top"))  # at most the scorers of a run
+    held = items(base, 6, "summaries", "scorer_ids array<string>").select("run_id", F.explode("scorer_ids").alias("id")).groupBy("run_id").agg(F.collect_set("id").alias("heldout"))
+    return S.failures(p, i, "run_id", top.join(held, "run_id", "full"))
 
 
 def stage7_leakage(spark: SparkSession, folder: str) -> DataFrame:
-    """Sentences of stage 7 outputs that are positives of test or heldout pairs of the same run."""
-    one = latest(table(spark, folder, "stage_results"), "result_id", ["ingested_at", "called_at"], ["result_id", "run_id", "raw_response"])
-    packets = one.where("raw_response IS NOT NULL").select("run_id", F.col("raw_response").alias("packet")).distinct()
-    p = latest(table(spark, folder, "adversarial_pairs"), "pair_id", ["ingested_at", "ord"], ["pair_id", "run_id", "positive"]).where("positive IS NOT NULL")
-    sentence = F.explode(F.array_distinct(F.split("positive", r"(?<=[.!?]) ")))
-    return S.leakage(packets, p.select("run_id", sentence.alias("text")).distinct(), "run_id")
+    """How many positives and negatives of heldout pairs stand in the stage 7 answers of the same run, whole."""
+    one = latest(table(spark, folder, "stage_results"), "result_id", ["ingested_at", "called_at"], KEPT)
+    packets = one.where("stage_num = 7 AND raw_response IS NOT NULL").select("run_id", F.col("raw_response").alias("packet")).distinct()
+    p = latest(table(spark, folder, "adversarial_pairs"), "pair_id", ["ingested_at", "ord"], ["pair_id", "run_id", "split", "positive", "negative"]).where(F.regexp_replace(F.lower("split"), "[^a-z]", "") == "heldout")
+    return S.leakage(packets, p.select("run_id", F.explode(F.array("positive", "negative")).alias("text")).where("text IS NOT NULL").distinct(), "run_id")
 
 
-def stage8(spark: SparkSession, folder: str) -> DataFrame:
+def stage8(base: DataFrame) -> DataFrame:
     """Targets are the scorer_id's number as a pattern of the run, lineage the form, strategy the hypothesis."""
-    it = items(spark, folder, 8, "repair", "scorer_id string, hypothesis string, functional_form string, code string")
+    it = items(base, 8, "repair", "scorer_id string, hypothesis string, functional_form string, code string")
     it = it.withColumn("targets_failure_patterns", F.array_compact(F.array("scorer_id"))).withColumn("measurement_ideas_used", F.split("functional_form", "_")).withColumn("lineage", F.col("functional_form")).withColumn("parent_scorer_ids", F.when(F.col("scorer_id").startswith("S_r1"), F.array("scorer_id")))
-    it = it.withColumn("causal_nodes_used", F.array_compact(F.array("scorer_id"))).withColumn("code_feature_map", F.when(F.col("functional_form") == "ratio", F.create_map(F.lit("a"), F.lit("b")))).withColumn("repair_strategy", F.col("hypothesis"))
-    seen = items(spark, folder, 7, "failure_analysis", "scorer_ids array<string>").select("run_id", F.explode("scorer_ids").alias("pattern_id")).distinct()
+    it = it.withColumn("causal_nodes_used", F.when(F.col("scorer_id").isNotNull(), F.array(F.concat(F.lit("n_"), F.substring("scorer_id", -2, 2))))).withColumn("code_feature_map", F.when(F.col("functional_form") == "ratio", F.create_map(F.lit("a"), F.lit("b")))).withColumn("repair_strategy", F.col("hypothesis"))
+    seen = items(base, 7, "failure_analysis", "scorer_ids array<string>").select("run_id", F.explode("scorer_ids").alias("pattern_id")).distinct()
     ids = it.select("result_id", "run_id").distinct().join(seen, "run_id").select("result_id", "pattern_id")
-    return S.repairs(it, ids, "result_id")
+    return S.repairs(it, ids, "result_id", nodes_of(base, it), tried(it))
 
 
 def _all(spark: SparkSession, folder: str) -> DataFrame:
-    out = S.long(stage1(spark, folder), "result_id", 1)
-    for n, f in ((3, stage3), (4, stage4), (5, stage5), (8, stage8)):
-        out = out.unionByName(S.long(f(spark, folder), "result_id", n))
-    return out
+    """(result_id, stage, signal, value) of all eight stages; those of stages 6 and 7 belong to runs.  Answers are parsed once."""
+    base = materialise(answers(spark, folder), "answers")
+    parts = [S.long(f(base), "result_id", n) for n, f in ((1, stage1), (2, stage2), (3, stage3), (4, stage4), (5, stage5), (8, stage8))]
+    seventh = stage7(spark, folder, base).join(stage7_leakage(spark, folder), "run_id", "left")
+    parts += [S.long(df, "run_id", n).withColumnRenamed("run_id", "result_id") for n, df in ((6, stage6(spark, folder)), (7, seventh))]
+    out = parts[0].withColumn("result_id", F.col("result_id").cast("string"))
+    for part in parts[1:]:
+        out = out.unionByName(part.withColumn("result_id", F.col("result_id").cast("string")))
+    return out.where("value IS NOT NULL")
+
+
+def _missed(spark: SparkSession, folder: str, kinds: tuple[str, ...]) -> DataFrame:
+    return S.check(_all(spark, folder), "result_id", kinds).groupBy("stage", "signal").agg(F.count_if("computed").alias("missed"), F.count_if(~F.col("computed")).alias("not_computed"))
 
 
 def gates_check(spark: SparkSession, folder: str) -> DataFrame:
-    """How many outputs miss each hard gate."""
-    return S.check(_all(spark, folder), "result_id").groupBy("stage", "signal").agg(F.count(F.lit(1)).alias("missed"))
+    """How many outputs miss each hard gate, and for how many it was not computed."""
+    return _missed(spark, folder, ("min", "max"))
 
 
 def soft_targets(spark: SparkSession, folder: str) -> DataFrame:
-    return S.check(_all(spark, folder), "result_id", ("target",)).groupBy("stage", "signal").agg(F.count(F.lit(1)).alias("missed"))
+    return _missed(spark, folder, ("target",))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "stage1_signals": lambda s, d: _round(stage1(s, d)),
+    "stage1_signals": lambda s, d: _round(stage1(answers(s, d))),
+    "stage2_signals": lambda s, d: _round(stage2(answers(s, d))),
     "graph_signals": lambda s, d: _round(S.graph(*graph_frames(s, d), "g", "elsewhere")),
     "top_nodes": lambda s, d: S.top_nodes(*graph_frames(s, d), "g", 7),
-    "stage3_signals": lambda s, d: _round(stage3(s, d)),
-    "stage4_signals": lambda s, d: _round(stage4(s, d)),
-    "stage5_signals": lambda s, d: _round(stage5(s, d)),
+    "stage3_signals": lambda s, d: _round(stage3(answers(s, d))),
+    "stage4_signals": lambda s, d: _round(stage4(answers(s, d))),
+    "stage5_signals": lambda s, d: _round(stage5(answers(s, d))),
     "near_duplicate_pairs": near_duplicate_pairs,
     "stage6_signals": lambda s, d: _round(stage6(s, d)),
-    "stage7_signals": lambda s, d: _round(stage7(s, d)),
+    "stage7_signals": lambda s, d: _round(stage7(s, d, answers(s, d))),
     "stage7_leakage": stage7_leakage,
-    "stage8_signals": lambda s, d: _round(stage8(s, d)),
+    "stage8_signals": lambda s, d: _round(stage8(answers(s, d))),
     "gates_check": gates_check,
     "soft_targets": soft_targets,
 }
@@ -177,6 +208,10 @@ def _says(x: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"contains(lower(coalesce({x}, '')), {_q(w)})" for w in words) + ")"
 
 
+def _holds(x: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(coalesce({x}, ''), {_q(w)})" for w in words) + ")"
+
+
 def _list(words: list[str]) -> str:
     return "[" + ", ".join(map(_q, words)) + "]"
 
@@ -185,8 +220,19 @@ def _rate(c: str) -> str:
     return f"round(coalesce(avg(coalesce({c}, false)::INT), 0) + 1e-9, 6)"
 
 
-_R = """r AS (SELECT result_id, run_id, stage_num, raw_response, CASE WHEN json_valid(raw_response) AND NOT regexp_matches(raw_response, ',\\s*[\\]}]') THEN raw_response::JSON END AS j FROM stage_results WHERE result_id IS NOT NULL
-QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY ingested_at DESC, called_at DESC) = 1), v AS (SELECT * FROM r WHERE json_type(j) = 'OBJECT')"""
+_VALID = "(json_valid({x}) AND NOT regexp_matches(regexp_replace({x}, '\"(?:[^\"\\\\]|\\\\.)*\"', '\"\"', 'g'), ',\\s*[\\]}}]'))"
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_FENCED = "CASE WHEN instr({x}, '```json') > 0 THEN substr({x}, instr({x}, '```json') + 7) WHEN instr({x}, '```') > 0 THEN substr({x}, instr({x}, '```') + 3) ELSE {x} || '```' END"
+#: r: one row per result; v: those whose answer is an object (j).  The answer is what is in the first fence; if that doesn't parse, its open brackets closed, then up to the last balanced bracket.
+_R = f"""r AS (SELECT result_id, run_id, stage_num, raw_response FROM stage_results WHERE result_id IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY ingested_at DESC, called_at DESC) = 1),
+r1 AS (SELECT *, trim(coalesce(raw_response, ''), {_SPACE}) AS b0 FROM r), r2 AS (SELECT *, {_FENCED.format(x="b0")} AS b1 FROM r1),
+r3 AS (SELECT *, trim(CASE WHEN instr(b1, '```') > 1 THEN left(b1, instr(b1, '```') - 1) ELSE b1 END, {_SPACE}) AS body FROM r2),
+rc AS (SELECT result_id, pos, ch, sum((ch = '{{')::INT - (ch = '}}')::INT) OVER w AS braces, sum((ch = '[')::INT - (ch = ']')::INT) OVER w AS brackets FROM (SELECT result_id, unnest(string_split(body, '')) AS ch, generate_subscripts(string_split(body, ''), 1) AS pos FROM r3)
+      WHERE ch IN ('{{', '}}', '[', ']') WINDOW w AS (PARTITION BY result_id ORDER BY pos)),
+rb AS (SELECT result_id, max(pos) FILTER (ch IN ('}}', ']') AND braces = 0 AND brackets = 0) AS balanced, arg_max(braces, pos) AS braces, arg_max(brackets, pos) AS brackets FROM rc GROUP BY result_id),
+r4 AS (SELECT r3.*, CASE WHEN braces > 0 OR brackets > 0 THEN rtrim(rtrim(body, {_SPACE}), ',') || repeat(']', greatest(0, brackets)::INT) || repeat('}}', greatest(0, braces)::INT) END AS closed, CASE WHEN balanced > 10 THEN left(body, balanced) END AS cut FROM r3 LEFT JOIN rb ON rb.result_id = r3.result_id),
+v AS (SELECT * FROM (SELECT result_id, run_id, stage_num, raw_response, CASE WHEN {_VALID.format(x="body")} THEN body::JSON WHEN {_VALID.format(x="closed")} THEN closed::JSON WHEN {_VALID.format(x="cut")} THEN cut::JSON END AS j FROM r4) WHERE json_type(j) = 'OBJECT')"""
 
 
 def _items(name: str, stage: int, field: str, columns: str) -> str:
@@ -199,7 +245,7 @@ _NODES = _items("g", 2, "causal_graph", "node_id") + ", n AS (SELECT DISTINCT ru
 _ST1 = _items("a", 1, "causal_research", "source_id claim effect_direction mechanism")
 _ST3 = _items("m0_", 3, "measurement", "source_id claim mechanism") + """, m AS (SELECT *, 'n_' || lpad(substr(source_id, 2, 9), greatest(2, 2), '0') AS node, regexp_split_to_array(mechanism, ' ') AS feats,
 list_filter([claim, mechanism], lambda x: x IS NOT NULL) AS ideas FROM m0_)"""
-_GRAPH = """t AS (SELECT c_nationkey, s_nationkey, count(*) AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL HAVING c_nationkey % 5 <> 0),
+_GRAPH = """t AS (SELECT c_nationkey, s_nationkey, count(*) AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
 e AS (SELECT a.n_name AS src, CASE WHEN k % 4 = 0 THEN 'elsewhere' ELSE b.n_name END AS dst, CASE WHEN k % 2 = 0 THEN a.n_name END AS claim FROM t JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = s_nationkey)"""
 _P5 = _items("p0", 5, "pairs", "pair_id anchor positive negative source_id") + ", p AS (SELECT *, TRY_CAST(substr(pair_id, 2) AS INT) AS k FROM p0)"
 _SETS = "w AS (SELECT result_id, ord, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(anchor, '')), '[\\s\\x{A0}]+'), lambda x: x <> '')) AS ws FROM p)"
@@ -211,13 +257,23 @@ def _twice(t: float) -> str:
 
 _WC = "len(list_filter(regexp_split_to_array(coalesce({}, ''), '[\\s\\x{{A0}}]+'), lambda x: x <> ''))"
 _HAS = "coalesce({}, '') <> ''"
+#: The code of this data gives a constant or doesn't parse.
+_RUNS = "regexp_full_match(coalesce(code, ''), 'def scorer\\(text, anchor, params\\):\\n    return [0-9.]+')"
+_CODE = f"{_rate(_RUNS)} AS code_exec_rate, {_rate(_RUNS)} AS numeric_return_rate, round(1e-9, 6) AS nonconstant_behavior_rate"
 SQL: dict[str, str] = {
     "stage1_signals": f"""WITH {_R}, {_ST1} SELECT result_id, count(*) AS num_research_items, count(DISTINCT CASE WHEN effect_direction || source_id <> '' THEN effect_direction || source_id END) AS num_unique_causal_variables,
         {_rate("coalesce(claim, '') <> '' AND effect_direction || source_id <> '' AND coalesce(effect_direction, '') <> '' AND coalesce(mechanism, '') <> '' AND coalesce(source_id, '') <> ''")} AS mechanism_completeness_rate,
         {_rate("coalesce(source_id, '') <> ''")} AS source_trace_rate, {", ".join(f"count(*) FILTER (effect_direction = '{d}') AS direction_{d}" for d in S.DIRECTIONS)},
-        {_rate(_says("concat_ws(' ', claim, mechanism)", S.MECHANISTIC))} AS causal_specificity_score, {_rate("trim(coalesce(mechanism, '')) = '' AND " + _says("claim", S.VAGUE))} AS generic_advice_penalty FROM a GROUP BY result_id""",
+        {_rate(_says("concat_ws(' ', claim, mechanism)", S.MECHANISTIC))} AS causal_specificity_score, {_rate("trim(coalesce(mechanism, '')) = '' AND " + _says("claim", S.VAGUE))} AS generic_advice_penalty, 0 AS tension_count FROM a GROUP BY result_id""",
+    "stage2_signals": f"""WITH {_R}, {_items("g2", 2, "causal_graph", "node_id label definition evidence")}, ed AS (SELECT x.result_id, x.node_id AS src, y.node_id AS dst, x.label AS claim FROM g2 x JOIN g2 y ON y.result_id = x.result_id AND y.ord = x.ord + 1),
+        ek AS (SELECT result_id, count(*) AS num_edges, {_rate("EXISTS (SELECT 1 FROM g2 z WHERE z.result_id = ed.result_id AND z.node_id = ed.src) AND EXISTS (SELECT 1 FROM g2 z WHERE z.result_id = ed.result_id AND z.node_id = ed.dst)")} AS ev, {_rate("coalesce(claim, '') <> ''")} AS ex FROM ed GROUP BY result_id),
+        ends AS (SELECT DISTINCT result_id, src AS x FROM ed UNION SELECT result_id, dst FROM ed), cn AS (SELECT result_id, count(*) AS c FROM (SELECT DISTINCT result_id, node_id FROM g2 WHERE node_id IS NOT NULL) d WHERE EXISTS (SELECT 1 FROM ends WHERE ends.result_id = d.result_id AND ends.x = d.node_id) GROUP BY result_id),
+        su AS (SELECT DISTINCT g2.result_id FROM g2 JOIN v ON v.result_id = g2.result_id WHERE coalesce(node_id, '') <> '' AND contains(lower(j->>'$.summary_theory'), lower(node_id)))
+        SELECT g2.result_id, count(*) AS num_nodes, {_rate("coalesce(definition, '') <> ''")} AS node_mechanism_rate, {_rate("evidence IS NOT NULL")} AS node_evidence_rate, count(DISTINCT CASE WHEN label IN ({", ".join(map(_q, S.DIRECTIONS))}) THEN label END) AS role_diversity_score,
+        coalesce(any_value(num_edges), 0) AS num_edges, coalesce(any_value(ev), 1e-9) AS edge_validity_rate, coalesce(any_value(ex), 1e-9) AS edge_explanation_rate, round(coalesce(any_value(c), 0) / count(*) + 1e-9, 6) AS graph_connectedness_score, 0 AS tension_count, bool_or(su.result_id IS NOT NULL) AS summary_uses_graph_terms
+        FROM g2 LEFT JOIN ek ON ek.result_id = g2.result_id LEFT JOIN cn ON cn.result_id = g2.result_id LEFT JOIN su ON su.result_id = g2.result_id GROUP BY g2.result_id""",
     "graph_signals": f"""WITH {_GRAPH} SELECT 'trade' AS g, count(*) AS num_nodes, {_rate("n_nationkey % 3 <> 0")} AS node_mechanism_rate, {_rate("n_regionkey > 0")} AS node_evidence_rate, count(DISTINCT n_nationkey % 4) AS role_diversity_score,
-        (SELECT count(*) FROM e) AS num_edges, (SELECT {_rate("src IN (SELECT n_name FROM nation) AND (dst = 'elsewhere' OR dst IN (SELECT n_name FROM nation))")} FROM e) AS edge_validity_rate, (SELECT {_rate("claim IS NOT NULL")} FROM e) AS edge_explanation_rate,
+        (SELECT count(*) FROM e) AS num_edges, (SELECT {_rate("src IN (SELECT n_name FROM nation) AND (dst = 'elsewhere' OR dst IN (SELECT n_name FROM nation))")} FROM e) AS edge_validity_rate, (SELECT {_rate("claim IS NOT NULL")} FROM e) AS edge_explanation_rate, 0 AS tension_count, false AS summary_uses_graph_terms,
         round(count(*) FILTER (n_name IN (SELECT src FROM e UNION SELECT dst FROM e)) / count(*) + 1e-9, 6) AS graph_connectedness_score FROM nation""",
     "top_nodes": f"""WITH {_GRAPH}, d AS (SELECT x, count(*) AS degree FROM (SELECT src AS x FROM e UNION ALL SELECT dst FROM e) GROUP BY x), k AS (SELECT 'trade' AS g, n_name AS node_id, n_nationkey AS ord, coalesce(degree, 0) AS degree FROM nation LEFT JOIN d ON x = n_name)
         SELECT *, (row_number() OVER (ORDER BY degree DESC, ord))::INT AS place FROM k QUALIFY place <= 7""",
@@ -235,7 +291,7 @@ SQL: dict[str, str] = {
         SELECT result_id, count(*) AS num_scorers, {_rate("coalesce(hypothesis, '') <> '' AND node IS NOT NULL AND len(ideas) > 0 AND coalesce(functional_form, '') <> '' AND coalesce(code, '') <> ''")} AS hypothesis_completeness_rate,
         round(coalesce(count(*) FILTER (EXISTS (SELECT 1 FROM n WHERE n.run_id = k.run_id AND n.node_id = k.node)) / nullif(count(node), 0), 0) + 1e-9, 6) AS causal_node_validity_rate,
         {_rate("len(ideas) > 0")} AS measurement_reference_rate, count(DISTINCT CASE WHEN functional_form <> '' THEN lower(functional_form) END) AS functional_form_diversity,
-        {_rate(_says("code", S.INTERACTION))} AS interaction_usage_rate, {_rate(_says("code", S.NORMALISATION))} AS normalization_usage_rate,
+        {_rate(_holds("code", S.INTERACTION))} AS interaction_usage_rate, {_rate(_holds("code", S.NORMALISATION))} AS normalization_usage_rate, {_CODE},
         round(count(DISTINCT coalesce(functional_form, '') || '|' || coalesce(node, '')) / count(*) + 1e-9, 6) AS scorer_distinctness_score,
         round(avg(CASE WHEN len(terms) > 0 THEN len(list_filter(terms, lambda t: contains(lower(coalesce(code, '')), t))) / len(terms) ELSE 0 END) + 1e-9, 6) AS hypothesis_code_alignment_score FROM k GROUP BY result_id""",
     "stage5_signals": f"""WITH {_R}, {_NODES}, {_P5}, {_SETS}, tw AS {_twice(0.8)}, k2 AS (SELECT p.*, EXISTS (SELECT 1 FROM n WHERE n.run_id = p.run_id AND n.node_id = 'n_' || CASE WHEN k % 40 < 10 THEN '0' ELSE '' END || (k % 40)::VARCHAR) AS ok, tw.ord IS NOT NULL AS twice FROM p LEFT JOIN tw ON tw.result_id = p.result_id AND tw.ord = p.ord)
@@ -244,36 +300,40 @@ SQL: dict[str, str] = {
         {_rate("coalesce(negative, '') <> ''")} AS target_direction_clarity_rate, {_rate("k % 5 <> 0")} AS controlled_variable_pass_rate, {_rate("NOT coalesce(contains(positive, 'Nothing'), false)")} AS positive_policy_pass_rate, {_rate("twice")} AS near_duplicate_pair_rate, round(0.0 + 1e-9, 6) AS heldout_leakage_risk
         FROM k2 GROUP BY result_id""",
     "near_duplicate_pairs": f"WITH {_R}, {_P5}, {_SETS} SELECT result_id, ord::INT AS ord FROM {_twice(0.25)}",
-    "stage6_signals": f"""WITH {_E}, s AS (SELECT run_id, scorer_id, avg(failed::INT) AS err, max(greatest(p, n)) - min(least(p, n)) AS spread, avg((p > n)::INT) FILTER (NOT failed AND sp = 'train') AS ta, avg((p > n)::INT) FILTER (NOT failed AND sp IN ('test', 'heldout')) AS ha,
-        avg(p - n) FILTER (NOT failed AND sp = 'train') AS tg, avg(p - n) FILTER (NOT failed AND sp IN ('test', 'heldout')) AS hg FROM e GROUP BY ALL)
-        SELECT run_id, count(*) AS num_scorers_evaluated, {_rate("err = 0")} AS execution_valid_rate, {_rate("err = 0")} AS numeric_return_rate, {_rate("spread > 0.001")} AS nonconstant_scorer_rate, {_rate("spread > 0")} AS score_range_valid_rate, {_rate("ta IS NOT NULL")} AS train_accuracy_presence_rate,
-        {_rate("ha IS NOT NULL")} AS heldout_accuracy_presence_rate, {_rate("tg IS NOT NULL")} AS train_gap_presence_rate, {_rate("hg IS NOT NULL")} AS heldout_gap_presence_rate, count(*) FILTER (hg > 0) AS eligible_scorer_count, count(*) FILTER (ha >= 1) AS pareto_count,
-        count(*) FILTER (coalesce(ta, 0) > coalesce(ha, 0) + 0.2) AS overfit_warning_count FROM s GROUP BY run_id""",
+    "stage6_signals": f"""WITH {_STAGED}, s AS (SELECT *, eligibility_reason = 'eligible' AS ok, eligibility_reason = 'eligible' AND NOT EXISTS (SELECT 1 FROM g b WHERE b.eligibility_reason = 'eligible' AND b.run_id = a.run_id AND {_dominates(["heldout_accuracy", "heldout_mean_gap"])}) AS pareto FROM g a)
+        SELECT run_id, count(*) AS num_scorers_evaluated, {_rate("exec_error_rate = 0")} AS execution_valid_rate, {_rate("exec_error_rate = 0")} AS numeric_return_rate, {_rate("nonconstant_rate > 0")} AS nonconstant_scorer_rate, {_rate("score_spread > 0")} AS score_range_valid_rate,
+        {_rate("train_accuracy IS NOT NULL")} AS train_accuracy_presence_rate, {_rate("heldout_accuracy IS NOT NULL")} AS heldout_accuracy_presence_rate, {_rate("train_mean_gap IS NOT NULL")} AS train_gap_presence_rate, {_rate("heldout_mean_gap IS NOT NULL")} AS heldout_gap_presence_rate,
+        count(*) FILTER (ok) AS eligible_scorer_count, count(*) FILTER (pareto) AS pareto_count, count(*) FILTER (coalesce(train_accuracy, 0) > coalesce(heldout_accuracy, 0) + 0.2) AS overfit_warning_count FROM s GROUP BY run_id""",
     "stage7_signals": f"""WITH {_R}, {_items("f", 7, "failure_analysis", "pattern_id reasoning_error")}, fs AS (SELECT *, coalesce(i->>'$.scorer_ids[*]', []) AS ids FROM f), {_items("h", 8, "repair", "hypothesis functional_form")},
         p AS (SELECT run_id, count(*) AS failure_pattern_count, {_rate("len(list_filter(ids, lambda x: starts_with(x, 'S_r0'))) > 0")} AS vis, {_rate("len(ids) > 0 AND len(list_filter(ids, lambda x: starts_with(x, 'S_r0'))) > 0 AND len(list_filter(ids, lambda x: starts_with(x, 'S_r1'))) > 0 AND coalesce(reasoning_error, '') <> ''")} AS spec,
         count(*) FILTER (len(list_filter(ids, lambda x: starts_with(x, 'S_r1'))) > 0) AS refs FROM fs GROUP BY run_id),
+        {_items("sm", 6, "summaries", "pattern_id")}, tp AS (SELECT DISTINCT run_id, unnest(ids) AS id FROM fs), hl AS (SELECT DISTINCT run_id, unnest(coalesce(i->>'$.scorer_ids[*]', [])) AS id FROM sm),
+        cv AS (SELECT run_id, count(*) FILTER (hl.id IS NOT NULL) AS held, count(*) FILTER (tp.id IS NOT NULL) AS tops, count(*) FILTER (hl.id IS NOT NULL AND tp.id IS NOT NULL) AS common FROM tp FULL JOIN hl USING (run_id, id) GROUP BY run_id),
         q AS (SELECT run_id, count(*) AS c, {_rate(_says("hypothesis", S.ACTION_VERBS))} AS act, count(*) FILTER (functional_form IS NOT NULL AND {_says("hypothesis", ["causal", "node", "mechanism"])}) AS refs FROM h GROUP BY run_id)
         SELECT coalesce(p.run_id, q.run_id) AS run_id, coalesce(failure_pattern_count, 0) AS failure_pattern_count, coalesce(vis, 1e-9) AS visible_failure_reference_rate, coalesce(spec, 1e-9) AS failure_pattern_specificity_score, coalesce(act, 1e-9) AS mutation_actionability_score,
-        round((coalesce(p.refs, 0) + coalesce(q.refs, 0)) / greatest(1, coalesce(failure_pattern_count, 0) + coalesce(c, 0)) + 1e-9, 6) AS causal_reference_rate FROM p FULL JOIN q ON p.run_id = q.run_id""",
-    "stage8_signals": f"""WITH {_R}, {_items("f", 7, "failure_analysis", "pattern_id")}, known AS (SELECT DISTINCT run_id, unnest(i->>'$.scorer_ids[*]') AS sid FROM f), {_items("h", 8, "repair", "scorer_id hypothesis functional_form code")}
+        round((coalesce(p.refs, 0) + coalesce(q.refs, 0)) / greatest(1, coalesce(failure_pattern_count, 0) + coalesce(c, 0)) + 1e-9, 6) AS causal_reference_rate,
+        round(coalesce(CASE WHEN held > 0 THEN common / held WHEN tops > 0 THEN 1.0 END, 0) + 1e-9, 6) AS top_scorer_coverage_rate FROM p FULL JOIN q ON p.run_id = q.run_id LEFT JOIN cv ON cv.run_id = coalesce(p.run_id, q.run_id)""",
+    "stage8_signals": f"""WITH {_R}, {_NODES}, {_items("f", 7, "failure_analysis", "pattern_id")}, known AS (SELECT DISTINCT run_id, unnest(i->>'$.scorer_ids[*]') AS sid FROM f), {_items("h", 8, "repair", "scorer_id hypothesis functional_form code")}
         SELECT result_id, count(*) AS num_repair_scorers, {_rate("EXISTS (SELECT 1 FROM known k WHERE k.run_id = h.run_id AND k.sid = h.scorer_id)")} AS failure_pattern_target_rate, {_rate("functional_form IS NOT NULL")} AS measurement_reference_rate,
         {_rate("coalesce(functional_form, '') <> '' AND starts_with(scorer_id, 'S_r1')")} AS lineage_completeness_rate, count(DISTINCT CASE WHEN functional_form <> '' THEN lower(functional_form) END) AS functional_form_diversity,
-        {_rate("(" + " OR ".join(f"regexp_matches(coalesce(code, ''), '{p}')" for p in S.UNSAFE) + ")")} AS unsafe_code_penalty, round(count(DISTINCT coalesce(functional_form, '') || '|' || coalesce(scorer_id, '')) / count(*) + 1e-9, 6) AS parent_distinctness_rate,
-        {_rate("functional_form = 'ratio'")} AS code_feature_map_completeness_rate, {_rate("coalesce(hypothesis, '') <> '' AND " + _says("hypothesis", S.ACTION_VERBS))} AS repair_strategy_specificity_score FROM h GROUP BY result_id""",
-    "stage7_leakage": f"""WITH {_R}, {_PAIRS}, k AS (SELECT DISTINCT run_id, raw_response AS packet FROM r WHERE raw_response IS NOT NULL), x AS (SELECT DISTINCT run_id, unnest(regexp_split_to_array(regexp_replace(positive, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1))) AS text FROM q WHERE positive IS NOT NULL)
+        {_rate("(" + " OR ".join(f"regexp_matches(coalesce(code, ''), '{p}')" for p in S.UNSAFE) + ")")} AS unsafe_code_penalty, round(count(DISTINCT coalesce(functional_form, '') || '|' || coalesce(right(scorer_id, 2), '')) / count(*) + 1e-9, 6) AS parent_distinctness_rate,
+        {_rate("functional_form = 'ratio'")} AS code_feature_map_completeness_rate, {_CODE}, round(coalesce(count(*) FILTER (EXISTS (SELECT 1 FROM n WHERE n.run_id = h.run_id AND n.node_id = 'n_' || right(scorer_id, 2))) / nullif(count(scorer_id), 0), 0) + 1e-9, 6) AS causal_node_validity_rate, {_rate("coalesce(hypothesis, '') <> '' AND " + _says("hypothesis", S.ACTION_VERBS))} AS repair_strategy_specificity_score FROM h GROUP BY result_id""",
+    "stage7_leakage": f"""WITH {_R}, {_PAIRS}, k AS (SELECT DISTINCT run_id, raw_response AS packet FROM r WHERE stage_num = 7 AND raw_response IS NOT NULL), x AS (SELECT DISTINCT run_id, unnest([positive, negative]) AS text FROM q WHERE sp = 'heldout')
         SELECT k.run_id, count(x.text) AS heldout_raw_text_leakage_count FROM k LEFT JOIN x ON x.run_id = k.run_id AND length(x.text) >= 10 AND contains(k.packet, x.text) GROUP BY k.run_id""",
 }
 
 
 def _gate_sql(kinds: tuple[str, ...]) -> str:
+    names = {n: f"stage{n}_signals" for n in range(1, 9)}
+    seventh = f"(SELECT a.*, b.heldout_raw_text_leakage_count FROM ({SQL['stage7_signals']}) a LEFT JOIN ({SQL['stage7_leakage']}) b ON b.run_id = a.run_id)"
+    tables = ", ".join(f"t{n} AS MATERIALIZED ({seventh[1:-1] if n == 7 else SQL[name]})" for n, name in names.items())
     parts = []
-    for stage, name in ((1, "stage1_signals"), (3, "stage3_signals"), (4, "stage4_signals"), (5, "stage5_signals"), (8, "stage8_signals")):
-        for s, kind, signal, t in S.GATES:
-            if s == stage and kind in kinds:
-                value = signal if f" AS {signal}" in SQL[name] else ("1.0" if kind == "max" else "0.0")
-                bad = ">" if kind == "max" or (kind == "target" and "penalty" in signal) else "<"
-                parts.append(f"SELECT {stage} AS stage, '{signal}' AS signal FROM ({SQL[name]}) WHERE {value} {bad} {t}" + (" + 1e-8" if bad == ">" else ""))
-    return f"SELECT stage, signal, count(*) AS missed FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL"
+    for stage, kind, signal, t in S.GATES:
+        if kind in kinds:
+            bad = ">" if kind == "max" or (kind == "target" and "penalty" in signal) else "<"
+            miss = f"{signal} {bad} {t}" + (" + 1e-8" if bad == ">" else "")
+            parts.append(f"SELECT {stage} AS stage, '{signal}' AS signal, count(*) FILTER ({miss}) AS missed, count(*) FILTER ({signal} IS NULL) AS not_computed FROM t{stage}")
+    return f"WITH {tables} SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE missed + not_computed > 0"
 
 
 SQL["gates_check"], SQL["soft_targets"] = _gate_sql(("min", "max")), _gate_sql(("target",))

@@ -144,14 +144,14 @@ def _repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = pa.array([answered(t) for t in batch.column("raw_response").to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column("result_id"), batch.column("run_id"), texts], ["result_id", "run_id", "raw_response"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("result_id", "run_id", "stage_num")], texts], ["result_id", "run_id", "stage_num", "raw_response"])
 
 
 def answered_json(results: DataFrame) -> DataFrame:
-    """(result_id, run_id, raw_response) with the JSON text of every answer that has some."""
+    """(result_id, run_id, stage_num, raw_response) with the JSON text of every answer that has some."""
     kinds = dict(results.dtypes)
-    one = results.select("result_id", "run_id", "raw_response")
-    return one.mapInArrow(_answer, f"result_id {kinds['result_id']}, run_id {kinds['run_id']}, raw_response string").where("raw_response IS NOT NULL")
+    one = results.select("result_id", "run_id", "stage_num", "raw_response")
+    return one.mapInArrow(_answer, f"result_id {kinds['result_id']}, run_id {kinds['run_id']}, stage_num {kinds['stage_num']}, raw_response string").where("raw_response IS NOT NULL")
 
 
 def repair_json(answers: DataFrame, key: str, text: str) -> DataFrame:

@@ -266,3 +266,29 @@ def test_trusted_code(spark):
     smoke = {r.sid: (r.runs, r.numeric, r.nonconstant) for r in usercode.smoke(usercode.run(df), "sid").collect()}
     assert smoke["a"] == (True, True, True) and smoke["b"] == (False, False, False)
     assert {r.sid for r in df.where(usercode.unsafe(F.col("code"))).collect()} == {"d"}
+
+
+def test_scorer_code_sees_the_probes(spark):
+    from litmusq.functions import rowprobes, usercode
+
+    texts = ["", "We save time by tracking each ticket so your team closes the sprint.", "The ultimate revolutionary platform, through intelligent automation!", "Instead of guessing, you may flag 3 risks because the report shows 40% more. Used by Acme Corp.", "Héllo Wörld by by ticket"]
+    anchor = "We help teams track each ticket and report."
+    pairs = {"source_continuity": lambda t, a: probes.source_continuity(t, a), "specificity_without_invention": lambda t, a: probes.specificity_without_invention(t, policy.hard(t, a))}
+    names = ["source_continuity", "argument_progression", "real_mechanism_quality", "abstract_jargon_density", "specificity_without_invention", "mechanism_result_alignment", "causal_density", "specificity", "audience_relevance", "persuasion_risk", "epistemic_calibration"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("a", F.lit(anchor))
+    columns = [(pairs[n](F.col("t"), F.col("a")) if n in pairs else getattr(probes, n)(F.col("t"))).alias(n) for n in names]
+    for row in df.select("t", policy.hard(F.col("t"), F.col("a")).alias("hard"), *columns).collect():
+        assert rowprobes.hard(row.t, anchor) == row.hard
+        for n in names:
+            own = getattr(rowprobes, n)
+            assert (own(row.t, anchor) if n in pairs else own(row.t)) == pytest.approx(row[n], abs=1e-9), (n, row.t)
+    code = "def scorer(text, anchor, params):\n    return _clamp(probe_source_continuity(text, anchor) - probe_persuasion_risk(text) + 0.1 * len(_ctoks(text) & STOP))"
+    got = usercode.run(spark.createDataFrame([(code, t, anchor) for t in texts[1:3]], "code string, text string, anchor string")).collect()
+    assert all(r.ok for r in got) and got[0].value > got[1].value == 0
+
+
+def test_out_of_range_has_a_margin():
+    from litmusq.functions import usercode
+
+    flag = lambda v: usercode.run_one(f"def scorer(t, a, p):\n    return {v}", "x", "y")[3]
+    assert [flag(v) for v in (-0.02, -0.01, 0.0, 1.005, 1.02)] == [True, False, False, False, True]

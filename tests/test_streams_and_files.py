@@ -141,7 +141,7 @@ def test_signals_see_fenced_and_cut_answers(spark, tmp_path):
     t = datetime.datetime(2025, 1, 1)
     rows = [(f"R{i}", "run", 1, x, t, t) for i, x in enumerate(texts)]
     spark.createDataFrame(rows, "result_id string, run_id string, stage_num int, raw_response string, ingested_at timestamp, called_at timestamp").write.parquet(str(tmp_path / "stage_results.parquet"))
-    assert sorted(r.result_id for r in signal_queries.stage1(spark, str(tmp_path)).collect()) == ["R0", "R1", "R2", "R3"]
+    assert sorted(r.result_id for r in signal_queries.stage1(signal_queries.answers(spark, str(tmp_path))).collect()) == ["R0", "R1", "R2", "R3"]
 
 
 def test_panel_shapes(spark):
@@ -189,3 +189,30 @@ def test_merge_and_search(spark):
     assert sorted(map(tuple, files.merged_summaries(a, b, "k").collect())) == [("x", 1, "b"), ("y", 2, "a"), ("z", 3, "c")]
     hits = spark.createDataFrame([(1, 1, "u"), (1, 2, "v"), (2, 1, "u"), (2, 2, "w")], "query_no int, rank int, url string")
     assert [r.url for r in files.search_results(hits, 2).collect()] == ["u", "v"]
+
+
+def test_signals_by_hand(spark):
+    """Tensions, graph terms, behaviour of code, coverage and signals that were not computed."""
+    from litmusq.operators import signals as S
+
+    r = spark.createDataFrame([(1, "s", "c because", "v", "increases", "m"), (1, "s", "good", "", "sideways", "")], "k int, source_id string, claim string, causal_variable string, effect_direction string, mechanism string")
+    t = spark.createDataFrame([(1, "x", ["a", "b"]), (1, "", ["a", "b"]), (1, "y", ["a"]), (1, "z", None)], "k int, claim string, variables array<string>")
+    one = S.research(r, "k", t).first()
+    assert (one.tension_count, one.num_research_items, one.mechanism_completeness_rate, one.direction_increases, one.generic_advice_penalty) == (1, 2, 0.5, 1, 0.5)
+    assert S.research(r, "k").first().tension_count == 0
+    nodes = spark.createDataFrame([(1, "Trust", "m", "increases", ["e"]), (1, "cost", "", "other", None)], "k int, node_id string, mechanism string, role string, evidence array<string>")
+    edges = spark.createDataFrame([(1, "Trust", "cost", "c"), (1, "cost", "target", None), (1, "lost", "cost", "c")], "k int, src string, dst string, claim string")
+    summary = spark.createDataFrame([(1, "All rests on TRUST.")], "k int, summary string")
+    g = S.graph(nodes, edges, "k", "target", t.withColumnRenamed("variables", "nodes"), summary).first()
+    assert (g.tension_count, g.summary_uses_graph_terms, round(g.edge_validity_rate, 6), g.graph_connectedness_score) == (1, True, 0.666667, 1.0)
+    items = spark.createDataFrame([(1, 0), (1, 1)], "k int, ord int")
+    tried = spark.createDataFrame([(1, 0, True, True, False)], "k int, ord int, runs boolean, numeric boolean, nonconstant boolean")
+    b = S.behaviour(items, "k", tried).first()
+    assert (b.code_exec_rate, b.numeric_return_rate, b.nonconstant_behavior_rate) == (0.5, 0.5, 0.0)
+    p = spark.createDataFrame([(1, ["a"], ["p"], ["n"], "e"), (2, [], [], [], "")], "k int, scorer_ids array<string>, visible_pair_ids array<string>, causal_nodes_implicated array<string>, reasoning_error string")
+    i = spark.createDataFrame([(1, "Add a gate", ["f"])], "k int, instruction string, targets array<string>")
+    named = spark.createDataFrame([(1, ["a"], ["a", "b"]), (2, ["a"], None)], "k int, top array<string>, heldout array<string>")
+    f = {x.k: x for x in S.failures(p, i, "k", named).collect()}
+    assert (f[1].top_scorer_coverage_rate, f[2].top_scorer_coverage_rate, f[1].failure_pattern_specificity_score, f[2].failure_pattern_specificity_score) == (0.5, 1.0, 1.0, 0.0)
+    long = spark.createDataFrame([("o", 4, "num_scorers", 3.0)], "k string, stage int, signal string, value double")
+    assert {(x.signal, x.computed) for x in S.check(long, "k").collect()} == {("code_exec_rate", False)}
