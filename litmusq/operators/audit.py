@@ -23,7 +23,7 @@ WEAK = ["log", "notify", "cache", "tag", "mark", "annotate", "create_draft", "sa
 FINANCIAL = ["refund", "charge", "payment", "transfer"]
 #: Stop words of linking and, longer, of coverage.
 LINK_STOPS = "the a an is are to for and of in on it that this with be as at or by from not".split()
-COVERAGE_STOPS = LINK_STOPS + "should must shall will can may do does did has have had was were been being if then else when where which who whom what how all each every both few more most other some such no nor only own same so than too very".split()
+COVERAGE_STOPS = "the a an is are to for and of in on it that this with be as at or by from not should must shall will can may do does did has have had was were been being if then else when where which who whom what how all each every both few more most other some such no nor only own same so than too very".split()
 #: Patterns of obligations by type.
 OBLIGATIONS: dict[str, list[str]] = {
     "CONFIRMATION_REQUIRED": [r"confirm(?:ation)?\s+before", r"ask\s.*user\s.*before", r"require[s]?\s.*approval", r"never\s.*without\s.*confirm", r"explicit\s.*confirmation", r"get\s.*confirmation", r"obtain\s.*confirmation", r"require[s]?\s.*confirmation"],
@@ -240,18 +240,106 @@ def contract_findings(tools: DataFrame, obligations: DataFrame, links: DataFrame
     return out
 
 
-def rubric(texts: DataFrame, key: str) -> DataFrame:
-    """Per key: which of the rubric's questions any text answers, and the gaps that follow."""
+#: Who the agent is told to be; words that bound a delegation; severity of each gap.
+IDENTITY = r"(?i)you are\b|your role is\b|your purpose is\b|you help\b"
+BOUNDS = ["limit", "bound", "max", "scope", "depth"]
+GAP_SEVERITY = {
+    "AGENT_OVERVIEW_GAP": "MEDIUM", "DECISION_POLICY_GAP": "MEDIUM", "STOP_CONDITION_GAP": "MEDIUM", "TOOL_SELECTION_POLICY_GAP": "LOW", "ORCHESTRATION_UNSPECIFIED": "MEDIUM",
+    "UNBOUNDED_DELEGATION": "HIGH", "SHARED_STATE_UNSPECIFIED": "MEDIUM", "HITL_GAP": "HIGH", "APPROVAL_ENFORCEMENT_GAP": "HIGH", "OVERRIDE_GAP": "MEDIUM",
+    "RETRY_POLICY_GAP": "LOW", "TIMEOUT_POLICY_GAP": "LOW", "FALLBACK_POLICY_GAP": "LOW", "PARTIAL_COMPLETION_GAP": "LOW", "RECOVERY_STATE_GAP": "MEDIUM",
+}
+
+
+def rubric(texts: DataFrame, key: str, tools: DataFrame | None = None, obligations: DataFrame | None = None) -> DataFrame:
+    """(key, gap, severity): the gaps that the texts (key, text), tools (key, side_effect) and obligations (key, obligation_type) of each key leave.
+
+    Roles of several prompts are told apart by the least and greatest role
+    named, so a key's texts are only aggregated.  A null key is a key.
+    """
     low = F.lower(F.coalesce("text", F.lit("")))
-    r = texts.groupBy(key).agg(*[F.coalesce(F.bool_or(_any(low, w)), F.lit(False)).alias(q) for q, w in RUBRIC.items()])
+    roles = F.regexp_extract_all(low, F.lit(r"you are (?:a |an )?(\w+)"), F.lit(1))
+    r = texts.groupBy(key).agg(
+        *[F.coalesce(F.bool_or(_any(low, w)), F.lit(False)).alias(q) for q, w in (RUBRIC | {"bounds": BOUNDS}).items()],
+        F.coalesce(F.bool_or(F.coalesce("text", F.lit("")).rlike(IDENTITY)), F.lit(False)).alias("identity"),
+        ((F.count(F.lit(1)) >= 2) & F.coalesce(F.max(F.array_max(roles)) != F.min(F.array_min(roles)), F.lit(False))).alias("roles"),
+    )
+    spark = texts.sparkSession
+    kind = dict(texts.dtypes)[key]
+    tools = tools if tools is not None else spark.createDataFrame([], f"{key} {kind}, side_effect string")
+    obligations = obligations if obligations is not None else spark.createDataFrame([], f"{key} {kind}, obligation_type string")
+    t = tools.groupBy(F.col(key).alias("_t")).agg(F.lit(True).alias("tools"), F.bool_or(F.col("side_effect").isin("DESTRUCTIVE", "EXTERNAL_WRITE")).alias("dangerous"))
+    o = obligations.groupBy(F.col(key).alias("_o")).agg(F.bool_or(F.col("obligation_type") == "CONFIRMATION_REQUIRED").alias("confirmed"))
+    r = r.join(t, F.col(key).eqNullSafe(F.col("_t")), "left").join(o, F.col(key).eqNullSafe(F.col("_o")), "left").na.fill(False, ["tools", "dangerous", "confirmed"])
     has = F.col
+    multi = has("multi_agent") | has("roles")
     gaps = {
-        "DECISION_POLICY_GAP": ~has("decision"), "STOP_CONDITION_GAP": has("decision") & ~has("stop"), "TOOL_SELECTION_POLICY_GAP": ~has("selection"),
-        "UNBOUNDED_DELEGATION": has("multi_agent") & has("delegation") & ~has("stop"), "SHARED_STATE_UNSPECIFIED": has("multi_agent") & ~has("shared_state"),
-        "HITL_GAP": ~has("hitl"), "OVERRIDE_GAP": ~has("override"), "RETRY_GAP": ~has("retry"), "TIMEOUT_GAP": ~has("timeout"), "FALLBACK_GAP": ~has("fallback"),
-        "PARTIAL_COMPLETION_GAP": ~has("partial_completion"), "RECOVERY_STATE_GAP": has("partial_completion") & ~has("recovery"),
+        "AGENT_OVERVIEW_GAP": ~has("identity"), "DECISION_POLICY_GAP": ~has("decision") & ~has("stop"), "STOP_CONDITION_GAP": has("decision") & ~has("stop"), "TOOL_SELECTION_POLICY_GAP": has("tools") & ~has("selection"),
+        "ORCHESTRATION_UNSPECIFIED": multi & ~has("delegation") & ~has("shared_state"), "UNBOUNDED_DELEGATION": multi & has("delegation") & ~has("bounds"), "SHARED_STATE_UNSPECIFIED": multi & ~has("shared_state"),
+        "HITL_GAP": has("dangerous") & ~has("hitl") & ~has("confirmed"), "APPROVAL_ENFORCEMENT_GAP": has("dangerous") & has("hitl") & ~has("confirmed"), "OVERRIDE_GAP": has("dangerous") & ~has("override"),
+        "RETRY_POLICY_GAP": has("tools") & ~has("retry"), "TIMEOUT_POLICY_GAP": has("tools") & ~has("timeout"), "FALLBACK_POLICY_GAP": has("tools") & ~has("fallback"),
+        "PARTIAL_COMPLETION_GAP": has("decision") & ~has("partial_completion"), "RECOVERY_STATE_GAP": has("dangerous") & ~has("recovery"),
     }
-    return r.select(key, F.explode(F.array_compact(F.array(*[F.when(c, F.lit(g)) for g, c in gaps.items()]))).alias("gap"))
+    cells = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(g).alias("gap"), F.lit(GAP_SEVERITY[g]).alias("severity"))) for g, c in gaps.items()]))
+    return r.select(key, F.explode(cells).alias("x")).select(key, "x.*")
+
+
+def coverage_findings(covered: DataFrame, obligations: DataFrame) -> DataFrame:
+    """(finding_type, severity, subject) of the obligations that no test covers: (obligation_id, status) of ``coverage``."""
+    grave = F.col("obligation_type").isin("CONFIRMATION_REQUIRED", "RETRIEVAL_INJECTION_GUARD")
+    missing = covered.where("status = 'missing'").join(obligations.select("obligation_id", "obligation_type"), "obligation_id")
+    return missing.select(F.lit("COVERAGE_GAP").alias("finding_type"), F.when(grave, "CRITICAL").otherwise("HIGH").alias("severity"), F.col("obligation_id").cast("string").alias("subject"))
+
+
+#: Names of variables and functions that hold prompts in Python sources.
+PROMPT_VARIABLE = re.compile(r"(?:[A-Z0-9_]*_)?(?:PROMPT|INSTRUCTIONS)$|SYSTEM_PROMPT$")
+PROMPT_FUNCTION = re.compile(r"prompt|system", re.I)
+PROMPT_KEYS = ("system", "prompt", "instructions", "system_prompt", "content")
+
+
+def _python_prompts(text: str) -> list[tuple[str, str]]:
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    out = []
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Assign) and isinstance(node.value, ast.Constant) and isinstance(node.value.value, str):
+            out += [(t.id, node.value.value) for t in node.targets if isinstance(t, ast.Name) and PROMPT_VARIABLE.match(t.id)]
+        elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) and PROMPT_FUNCTION.search(node.name):
+            out.append((node.name, ast.get_docstring(node) or ""))
+    return out
+
+
+def _json_prompts(text: str) -> list[tuple[str, str]]:
+    try:
+        data = json.loads(text)
+    except (ValueError, RecursionError):
+        return []
+    out: list[tuple[str, str]] = []
+    todo = [data]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, dict):
+            out += [(k, v) for k, v in x.items() if k in PROMPT_KEYS and isinstance(v, str)]
+            todo += [v for v in x.values() if isinstance(v, (dict, list))]
+        elif isinstance(x, list):
+            todo += [v for v in x if isinstance(v, (dict, list))]
+    return out
+
+
+def _extract_prompts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
+            name = path or ""
+            found = _python_prompts(text or "") if name.endswith(".py") else _json_prompts(text or "") if name.endswith(".json") else [("", text or "")] if name.endswith((".md", ".txt")) else []
+            rows += [(path, n, t.strip()) for n, t in found if t.strip()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["path", "name", "prompt"])
+
+
+def extract_prompts(files: DataFrame) -> DataFrame:
+    """(path, name, prompt) of (path, text): whole Markdown and text files, prompt fields of JSON, and variables and docstrings of Python that hold prompts."""
+    return files.select("path", "text").mapInArrow(_extract_prompts, "path string, name string, prompt string")
 
 
 def severity_rank(severity: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litmusq.operators import audit as A
+from litmusq.operators import findings as W
 from litmusq.plans.probe_queries import pairs
 from litmusq.sources.tables import latest, table
 
@@ -66,8 +67,35 @@ def contract_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rubric_gaps(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents", "source", "text").where("source IS NOT NULL")
-    return A.rubric(d, "source").groupBy("gap").agg(F.count(F.lit(1)).alias("sources"))
+    """Sources as agents: their texts, each text as a tool named by its kind, and the obligations in their texts."""
+    d = table(spark, folder, "documents", "doc_id", "source", "text", "doc_kind")
+    tools = d.select("source", A.side_effect(F.col("doc_kind"), F.col("text")).alias("side_effect"))
+    found = A.extract_obligations(d.select(F.col("doc_id").alias("path"), "text")).select(F.col("path").cast("bigint").alias("doc_id"), "obligation_type")
+    return A.rubric(d, "source", tools, found.join(d.select("doc_id", "source"), "doc_id")).groupBy("gap", "severity").agg(F.count(F.lit(1)).alias("sources"))
+
+
+def _findings(spark: SparkSession, folder: str) -> DataFrame:
+    """Wrong answers as findings: the kind of gap from the pair type, title and description from the pair."""
+    p = pairs(spark, folder)
+    gaps = ["POLICY_GAP", "ENFORCEMENT_GAP", "COVERAGE_GAP", "TRACE_VIOLATION"]
+    gap = F.element_at(F.array(*map(F.lit, gaps)), (F.length("pair_type") % 4 + 1).cast("int"))
+    return p.select(F.upper("pair_type").alias("finding_type"), F.lit("HIGH").alias("severity"), gap.alias("gap_type"), F.col("anchor").alias("title"), F.col("negative").alias("description"))
+
+
+def finding_tests(spark: SparkSession, folder: str) -> DataFrame:
+    f = _findings(spark, folder)
+    return f.groupBy("gap_type", W.test_type().alias("test_type"), W.repair_type().alias("repair_type")).agg(F.count(F.lit(1)).alias("findings"), F.count_distinct(W.finding_id(F.col("finding_type"), F.col("title"))).alias("ids"))
+
+
+def findings_with_tests(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings joined to the tests made for them by id."""
+    f = _findings(spark, folder)
+    return W.with_tests(f, W.generated_tests(f)).groupBy("finding_type", F.size("test_ids").alias("tests")).agg(F.count(F.lit(1)).alias("findings"))
+
+
+def coverage_findings(spark: SparkSession, folder: str) -> DataFrame:
+    o = _obligations(spark, folder)
+    return A.coverage_findings(coverage_score(spark, folder), o).select("severity", "subject")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -79,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "coverage_score": coverage_score,
     "contract_rules": contract_rules,
     "rubric_gaps": rubric_gaps,
+    "finding_tests": finding_tests,
+    "findings_with_tests": findings_with_tests,
+    "coverage_findings": coverage_findings,
 }
 
 
@@ -120,12 +151,18 @@ _CATS = [
     ("CONFIG", f"ends_with(path, '.toml') OR {_any('path', ['config', 'settings'])}"),
     ("DOC", "ends_with(path, '.txt') OR ends_with(path, '.md')"),
 ]
-_RUB = ", ".join(f"bool_or({_any('x', w)}) AS {q}" for q, w in A.RUBRIC.items())
+_RUB = ", ".join(f"bool_or({_any('x', w)}) AS {q}" for q, w in (A.RUBRIC | {"bounds": A.BOUNDS}).items())
 _GAPS = {
-    "DECISION_POLICY_GAP": "NOT decision", "STOP_CONDITION_GAP": "decision AND NOT stop", "TOOL_SELECTION_POLICY_GAP": "NOT selection", "UNBOUNDED_DELEGATION": "multi_agent AND delegation AND NOT stop",
-    "SHARED_STATE_UNSPECIFIED": "multi_agent AND NOT shared_state", "HITL_GAP": "NOT hitl", "OVERRIDE_GAP": "NOT override", "RETRY_GAP": "NOT retry", "TIMEOUT_GAP": "NOT timeout", "FALLBACK_GAP": "NOT fallback",
-    "PARTIAL_COMPLETION_GAP": "NOT partial_completion", "RECOVERY_STATE_GAP": "partial_completion AND NOT recovery",
+    "AGENT_OVERVIEW_GAP": "NOT ident", "DECISION_POLICY_GAP": "NOT decision AND NOT stop", "STOP_CONDITION_GAP": "decision AND NOT stop", "TOOL_SELECTION_POLICY_GAP": "NOT selection", "ORCHESTRATION_UNSPECIFIED": "multi AND NOT delegation AND NOT shared_state",
+    "UNBOUNDED_DELEGATION": "multi AND delegation AND NOT bounds", "SHARED_STATE_UNSPECIFIED": "multi AND NOT shared_state", "HITL_GAP": "danger AND NOT hitl AND NOT confirmed", "APPROVAL_ENFORCEMENT_GAP": "danger AND hitl AND NOT confirmed", "OVERRIDE_GAP": "danger AND NOT override",
+    "RETRY_POLICY_GAP": "NOT retry", "TIMEOUT_POLICY_GAP": "NOT timeout", "FALLBACK_POLICY_GAP": "NOT fallback", "PARTIAL_COMPLETION_GAP": "decision AND NOT partial_completion", "RECOVERY_STATE_GAP": "danger AND NOT recovery",
 }
+_CONFIRMS = " OR ".join(f"regexp_matches(coalesce(text, ''), '(?i){p}')" for p in A.OBLIGATIONS["CONFIRMATION_REQUIRED"])
+_FINDINGS = """p AS (SELECT * FROM adversarial_pairs WHERE pair_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY ingested_at DESC, ord DESC) = 1),
+f0 AS (SELECT upper(pair_type) AS finding_type, ['POLICY_GAP', 'ENFORCEMENT_GAP', 'COVERAGE_GAP', 'TRACE_VIOLATION'][length(pair_type) % 4 + 1] AS gap_type, coalesce(anchor, '') AS title, lower(coalesce(anchor, '')) || ' ' || lower(coalesce(negative, '')) AS td FROM p),
+f AS (SELECT *, lower(finding_type) || ' ' || td AS x, left(sha256(finding_type || ':' || title), 12) AS id, CASE WHEN gap_type = 'TRACE_VIOLATION' THEN 'regression' WHEN gap_type = 'POLICY_GAP' AND contains(td, 'retrieval') AND contains(td, 'injection') THEN 'injection'
+WHEN gap_type = 'ENFORCEMENT_GAP' AND (contains(td, 'policy') OR contains(td, 'eligibility')) THEN 'policy_lookup' WHEN gap_type = 'ENFORCEMENT_GAP' AND (contains(td, 'consistency') OR contains(td, 'verification') OR contains(td, 'verify')) THEN 'consistency'
+WHEN gap_type IN ('POLICY_GAP', 'ENFORCEMENT_GAP') THEN 'confirmation' WHEN gap_type = 'COVERAGE_GAP' THEN 'coverage' ELSE 'generic' END AS test_type FROM f0)"""
 SQL: dict[str, str] = {
     "risk_class": f"""WITH p AS (SELECT pair_type AS name, positive AS d FROM adversarial_pairs WHERE pair_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY ingested_at DESC, ord DESC) = 1), e AS (SELECT {_effect("name", "d")} AS side_effect, {_any("lower(concat_ws(' ', name, coalesce(d, '')))", A.FINANCIAL)} AS fin FROM p)
         SELECT side_effect, CASE WHEN side_effect = 'DESTRUCTIVE' OR (side_effect = 'EXTERNAL_WRITE' AND fin) THEN 'CRITICAL' WHEN side_effect = 'EXTERNAL_WRITE' THEN 'HIGH' WHEN side_effect = 'WEAK' THEN 'MEDIUM' ELSE 'LOW' END AS risk, count(*) AS n FROM e GROUP BY ALL""",
@@ -146,6 +183,14 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 'F_unverified_state', 'HIGH' FROM o WHERE obligation_type = 'FINAL_STATE_CONSISTENCY' AND NOT EXISTS (SELECT 1 FROM l WHERE l.obligation_id = o.obligation_id AND {_any("lower(tool)", ["verify", "check", "validate"])})
         UNION ALL SELECT 'G_all_optional', 'HIGH' FROM d WHERE all_optional
         UNION ALL SELECT 'prompt_only', 'MEDIUM' FROM k JOIN t USING (name) WHERE obligation_type NOT IN ('CONFIRMATION_REQUIRED', 'FINAL_STATE_CONSISTENCY') AND coalesce(len(pre), 0) = 0) SELECT rule, severity, count(*) AS n FROM r GROUP BY ALL""",
-    "rubric_gaps": f"""WITH x AS (SELECT source, lower(coalesce(text, '')) AS x FROM documents WHERE source IS NOT NULL), r AS (SELECT source, {_RUB} FROM x GROUP BY source), g AS ({" UNION ALL ".join(f"SELECT '{g}' AS gap FROM r WHERE {c}" for g, c in _GAPS.items())}) SELECT gap, count(*) AS sources FROM g GROUP BY gap""",
+    "rubric_gaps": f"""WITH d0 AS (SELECT *, {_effect("doc_kind", "text")} AS side_effect FROM documents), x AS (SELECT source, coalesce(text, '') AS text, lower(coalesce(text, '')) AS x, side_effect, {_CONFIRMS} AS conf, regexp_extract_all(lower(coalesce(text, '')), 'you are (?:a |an )?(\\w+)', 1) AS roles FROM d0),
+        r AS (SELECT source, {_RUB}, bool_or(regexp_matches(text, '{A.IDENTITY}')) AS ident, bool_or(side_effect IN ('DESTRUCTIVE', 'EXTERNAL_WRITE')) AS danger, bool_or(conf) AS confirmed, count(*) >= 2 AND coalesce(max(list_max(roles)) <> min(list_min(roles)), false) AS roles FROM x GROUP BY source),
+        r2 AS (SELECT *, multi_agent OR roles AS multi FROM r), g AS ({" UNION ALL ".join(f"SELECT '{g}' AS gap, '{A.GAP_SEVERITY[g]}' AS severity FROM r2 WHERE {c}" for g, c in _GAPS.items())}) SELECT gap, severity, count(*) AS sources FROM g GROUP BY ALL""",
+    "finding_tests": f"""WITH {_FINDINGS} SELECT gap_type, test_type, CASE WHEN gap_type IN ('COVERAGE_GAP', 'TRACE_VIOLATION') THEN 'ADD_TEST'
+        WHEN gap_type = 'POLICY_GAP' THEN CASE WHEN NOT (contains(x, 'confirmation') OR contains(x, 'hitl') OR contains(x, 'approval')) AND (contains(x, 'retrieval') OR contains(x, 'injection')) THEN 'ADD_TOOL_PRECONDITION' ELSE 'ADD_HITL_GATE' END
+        WHEN gap_type = 'ENFORCEMENT_GAP' AND (contains(x, 'permissive') OR contains(x, 'schema') OR contains(x, 'all-optional')) THEN 'TIGHTEN_SCHEMA' WHEN gap_type = 'ENFORCEMENT_GAP' AND (contains(x, 'consistency') OR contains(x, 'verification')) THEN 'ADD_FINAL_STATE_VERIFIER'
+        WHEN gap_type = 'ENFORCEMENT_GAP' THEN 'ADD_TOOL_PRECONDITION' ELSE 'ADD_TEST' END AS repair_type, count(*) AS findings, count(DISTINCT id) AS ids FROM f GROUP BY ALL""",
+    "findings_with_tests": f"WITH {_FINDINGS}, n AS (SELECT id, count(DISTINCT test_type) AS tests FROM f GROUP BY id) SELECT finding_type, tests::INT AS tests, count(*) AS findings FROM f JOIN n ON n.id = f.id GROUP BY ALL",
     "obligation_counts": "WITH m AS (" + " UNION ALL ".join(f"SELECT '{k}' AS obligation_type, doc_id, len(regexp_extract_all(text, '(?i){p}')) AS n FROM documents" for k, ps in A.OBLIGATIONS.items() for p in ps) + ") SELECT obligation_type, sum(n)::BIGINT AS matches, count(DISTINCT CASE WHEN n > 0 THEN doc_id END) AS documents FROM m GROUP BY obligation_type HAVING sum(n) > 0",
 }
+SQL["coverage_findings"] = f"SELECT CASE WHEN {_list(TYPES)}[i.item_id % 7 % 6 + 1] IN ('CONFIRMATION_REQUIRED', 'RETRIEVAL_INJECTION_GUARD') THEN 'CRITICAL' ELSE 'HIGH' END AS severity, c.obligation_id::VARCHAR AS subject FROM ({SQL['coverage_score']}) c JOIN eval_items i ON i.item_id = c.obligation_id WHERE status = 'missing'"

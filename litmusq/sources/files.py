@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import regex
@@ -29,7 +28,9 @@ def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclu
 
     Texts are decoded as UTF-8 and cut after 65,536 characters, as the scan is to classify files.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    any_case = lambda g: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in g)
+    names = "{" + ",".join(map(any_case, include or INCLUDE)) + "}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(root)
     parts = F.split("path", "/")
     base = root.rstrip("/").split("/")[-1]
     kept = files.where(F.element_at(parts, -1).rlike(_like(include or INCLUDE)) & ~F.exists(parts, lambda p: p.rlike(_like(exclude or EXCLUDE))))
@@ -171,8 +172,8 @@ def panel(answers: DataFrame, text: str) -> DataFrame:
 
 def artifact(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON artifact, or no row if the file is missing."""
-    local = path.removeprefix("file://")
-    if "://" not in local and not Path(local).exists():
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
