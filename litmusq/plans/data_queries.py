@@ -22,7 +22,7 @@ def _flat(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return drift.changes(materialise(drift.opened(table(spark, folder, "summary_records")), "leaves"))
+    return drift.changes(materialise(drift.ingest(drift.opened(table(spark, folder, "summary_records"))), "ingested"))
 
 
 def p5_summaries(spark: SparkSession, folder: str) -> DataFrame:

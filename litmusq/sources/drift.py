@@ -1,25 +1,22 @@
 """Rescue-column ingestion of JSON records whose fields drift from file to file.
 
 ``ingest`` enforces a target schema: a value that has its column's name and
-JSON type becomes a typed value, everything else is kept, as JSON text by dotted
-path, in the rescue column.  ``changes`` compares each file of a stream with the
-one before it.  ``replay`` promotes the rescued fields that the changes explain
-(renamed fields by their first name, numbers, flags and texts in another shape)
-into the typed columns; what is still unknown stays in the rescue column.
+JSON type becomes a typed value, everything else, nulls too, is kept as JSON
+text by dotted path in the rescue column, so a record's fields are its typed
+values and what was rescued.  ``changes`` compares each file of a stream with
+the one before it by these two.  ``replay`` promotes the rescued fields that the
+changes explain (renamed fields by their first name, numbers, flags and texts in
+another shape) into the typed columns; what is still unknown stays in the rescue
+column.
 
 A field is the dotted path of a value that is no object; an empty object has
 none.  Files delivered twice count once (the last delivery wins).  A payload
-that is null or no JSON object has no fields and is rescued whole under ``$``.
-Rows with a null stream, file_seq or record_no are dropped.
+that is no JSON object has no fields and is rescued whole under ``$``, a null
+one has nothing.  Rows with a null stream, file_seq or record_no are dropped.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,38 +35,49 @@ RECORD = ("stream", "file_seq", "record_no")
 _LEAVES = "leaves array<struct<path:string,kind:string,value:string>>"
 
 
-def _open(value: dict, prefix: str = "") -> Iterator[tuple[str, str, str]]:
-    for key, x in value.items():
-        if isinstance(x, dict):
-            yield from _open(x, f"{prefix}{key}.")
-            continue
-        kind = "null" if x is None else "boolean" if isinstance(x, bool) else "number" if isinstance(x, (int, float)) else "string" if isinstance(x, str) else "array"
-        if isinstance(x, float) and x.is_integer() and abs(x) < 1e15:
-            x = int(x)
-        yield prefix + key, kind, json.dumps(x, ensure_ascii=False, sort_keys=True)
-
-
-def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    leaf = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.string()), ("value", pa.string())]))
-    for batch in batches:
-        opened = []
-        for text in batch.column("payload").to_pylist():
-            try:
-                record = json.loads(text) if text else None
-            except (ValueError, RecursionError):
-                record = None
-            if isinstance(record, dict):
-                opened.append([dict(zip(("path", "kind", "value"), x)) for x in _open(record)])
-            else:
-                opened.append(None if text is None else [{"path": "$", "kind": "corrupt", "value": json.dumps(text, ensure_ascii=False)}])
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in RECORD], pa.array(opened, leaf)], [*RECORD, "leaves"])
+#: Levels of objects that are opened at once; deeper ones take further rounds.
+LEVELS = 3
+
+
+def _number(value: Column) -> Column:
+    """One text for a number however it was written; whole ones without a point."""
+    whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
+    return F.when(whole, value.cast("bigint").cast("string")).otherwise(value.cast("string"))
+
+
+def _leaf(path: Column, value: Column) -> Column:
+    """(path, kind, value) of one JSON value; the value as JSON text."""
+    schema = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+    kind = F.when(schema == "VOID", "null").when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array").when(schema == "STRING", "string").when(schema == "BOOLEAN", "boolean").otherwise("number")
+    text = F.when(schema == "VOID", "null").when((kind == "number") & (schema != "BIGINT"), F.coalesce(_number(F.try_variant_get(value, "$", "double")), F.to_json(value))).otherwise(F.to_json(value))
+    return F.struct(path.alias("path"), kind.alias("kind"), text.alias("value"))
+
+
+def _opened(leaves: Column) -> Column:
+    """Leaves with every object replaced by its fields, one level."""
+
+    def of(x: Column) -> Column:
+        inside = F.map_entries(F.try_parse_json(x["value"]).cast("map<string,variant>"))
+        prefix = F.when(x["path"] == "", "").otherwise(F.concat(x["path"], F.lit(".")))
+        return F.when(x["kind"] == "object", F.transform(inside, lambda e: _leaf(F.concat(prefix, e["key"]), e["value"]))).otherwise(F.array(x))
+
+    return F.flatten(F.transform(leaves, of))
 
 
 def opened(records: DataFrame) -> DataFrame:
     """(stream, file_seq, record_no, leaves): one row per record, its fields opened."""
     whole = records.where(F.col("stream").isNotNull() & F.col("file_seq").isNotNull() & F.col("record_no").isNotNull())
     one = whole.groupBy(*RECORD).agg(F.max_by("payload", F.struct("received_at", "written_at")).alias("payload"))
-    return one.mapInArrow(_leaves, f"stream string, file_seq int, record_no int, {_LEAVES}")
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT"), F.lit(False))
+    leaf = lambda kind, path, value: F.array(F.struct(F.lit(path).alias("path"), F.lit(kind).alias("kind"), value.alias("value")))
+    quoted = F.regexp_extract(F.to_json(F.struct(F.col("payload").alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    out = one.select(*RECORD, F.when(is_object, leaf("object", "", F.col("payload"))).when(F.col("payload").isNotNull(), leaf("corrupt", "$", quoted)).alias("leaves"))
+    while True:
+        for _ in range(LEVELS):
+            out = out.withColumn("leaves", _opened(F.col("leaves")))
+        out = materialise(out, "leaves")
+        if out.where(F.exists("leaves", lambda x: x["kind"] == "object")).isEmpty():
+            return out
 
 
 def _text(value: Column) -> Column:
@@ -101,58 +109,85 @@ def ingest(leaves: DataFrame, target: dict[str, str] | None = None) -> DataFrame
     fits = []
     for kind in sorted(set(target.values())):
         names = ", ".join(f"'{p}'" for p, k in target.items() if k == kind)
-        whole = " AND (x.kind = 'null' OR try_cast(x.value AS bigint) IS NOT NULL)" if kind == "bigint" else ""
-        fits.append(f"(x.path IN ({names}) AND x.kind IN ('null', '{_JSON_KIND[kind]}'){whole})")
+        whole = " AND try_cast(x.value AS bigint) IS NOT NULL" if kind == "bigint" else ""
+        fits.append(f"(x.path IN ({names}) AND x.kind = '{_JSON_KIND[kind]}'{whole})")
     rest = F.expr(f"filter(leaves, x -> NOT ({' OR '.join(fits)}))")
     return known.select(*RECORD, *columns, F.map_from_entries(F.transform(rest, lambda x: F.struct(x["path"], x["value"]))).alias("rescued"))
 
 
-def fields(leaves: DataFrame) -> DataFrame:
-    """(stream, file_seq, field, kinds): each field a file has, with its non-null JSON types, sorted."""
-    rows = leaves.select("stream", "file_seq", F.explode("leaves").alias("x")).where(F.col("x.kind") != "corrupt")
-    kinds = F.array_sort(F.collect_set(F.when(F.col("x.kind") != "null", F.col("x.kind"))))
-    return rows.groupBy("stream", "file_seq", F.col("x.path").alias("field")).agg(kinds.alias("kinds"))
+#: Bits of the JSON types of a field's values; null has none.
+_BITS = {"string": 1, "number": 2, "boolean": 4, "array": 8}
 
 
-def changes(leaves: DataFrame) -> DataFrame:
-    """(stream, file_seq, change, field, new_field) of each file against the one before it in its stream.
+def _kind(text: Column) -> Column:
+    """The JSON type of a rescued text."""
+    first = F.substring(text, 1, 1)
+    return F.when(first == '"', "string").when(first == "[", "array").when(first.isin("t", "f"), "boolean").when(first == "n", "null").otherwise("number")
+
+
+def cells(table: DataFrame, target: dict[str, str] | None = None) -> DataFrame:
+    """(stream, file_seq, record_no, scorer, path, kind, value) of every field of an ingested table, typed or rescued; texts plain."""
+    typed = []
+    for path, kind in (target or TARGET).items():
+        c = F.col(path.replace(".", "__"))
+        value = c if kind == "string" else _number(c) if kind == "double" else c.cast("string")
+        typed.append(F.when(c.isNotNull(), F.struct(F.lit(path).alias("path"), F.lit(_JSON_KIND[kind]).alias("kind"), value.alias("value"))))
+    kept = F.transform(F.map_entries(F.map_filter("rescued", lambda k, _: k != "$")), lambda e: F.struct(e["key"].alias("path"), _kind(e["value"]).alias("kind"), F.when(_kind(e["value"]) == "string", _text(e["value"])).otherwise(e["value"]).alias("value")))
+    scorer = F.coalesce(F.col("scorer_id"), F.try_element_at("rescued", F.lit("scorer_id")))
+    return table.select(*RECORD, scorer.alias("scorer"), F.explode(F.concat(F.array_compact(F.array(*typed)), kept)).alias("x")).select(*RECORD, "scorer", "x.*")
+
+
+def _matched(pairs: Column) -> Column:
+    """Renames among the fitting (unseen, new_field, field) of one step: most scorers first, then the smallest names; each name once, until no pair is left."""
+    start = F.struct(F.array().cast("array<struct<field:string,new_field:string>>").alias("taken"), F.array().cast("array<string>").alias("old"), F.array().cast("array<string>").alias("new"))
+
+    def add(acc: Column, p: Column) -> Column:
+        used = F.array_contains(acc["old"], p["field"]) | F.array_contains(acc["new"], p["new_field"])
+        more = F.struct(F.array_append(acc["taken"], F.struct(p["field"].alias("field"), p["new_field"].alias("new_field"))).alias("taken"), F.array_append(acc["old"], p["field"]).alias("old"), F.array_append(acc["new"], p["new_field"]).alias("new"))
+        return F.when(used, acc).otherwise(more)
+
+    return F.aggregate(F.array_sort(pairs), start, add, lambda acc: acc["taken"])
+
+
+def changes(table: DataFrame, target: dict[str, str] | None = None) -> DataFrame:
+    """(stream, file_seq, change, field, new_field) of each file of an ingested table against the one before it in its stream.
 
     A field is renamed if it is gone, another has come, and every scorer with a
     value in both files has the same value under both names.  If several names
     qualify, the one with the most such scorers and then the smallest name is
-    taken, and a name is used once.
+    taken, and a name is used once; what is left over is matched on.
     """
-    has = fields(leaves)
-    files = leaves.select("stream", "file_seq").distinct()
-    order = Window.partitionBy("stream").orderBy("file_seq")
-    steps = files.withColumn("previous", F.lag("file_seq").over(order)).where(F.col("previous").isNotNull())
-    before = steps.join(has.withColumnRenamed("file_seq", "previous"), ["stream", "previous"]).select("stream", "file_seq", "field", F.col("kinds").alias("old_kinds"))
-    after = steps.join(has, ["stream", "file_seq"]).select("stream", "file_seq", "field", F.col("kinds").alias("new_kinds"))
-    both = before.join(after, ["stream", "file_seq", "field"], "full")
-    kept = both.where(F.col("old_kinds").isNotNull() & F.col("new_kinds").isNotNull() & (F.size("old_kinds") > 0) & (F.size("new_kinds") > 0) & (F.col("old_kinds") != F.col("new_kinds")))
-    type_changed = kept.select("stream", "file_seq", F.lit("type_changed").alias("change"), "field", F.lit("").alias("new_field"))
-    gone = both.where(F.col("new_kinds").isNull()).select("stream", "file_seq", "field")
-    come = both.where(F.col("old_kinds").isNull()).select("stream", "file_seq", F.col("field").alias("new_field"))
-
-    cells = leaves.select("stream", "file_seq", "record_no", F.explode("leaves").alias("x")).select("stream", "file_seq", "record_no", "x.*")
-    scorer = leaves.select("stream", "file_seq", "record_no", F.expr("get(filter(leaves, x -> x.path = 'scorer_id'), 0).value").alias("scorer")).where("scorer IS NOT NULL")
-    cells = cells.where(~F.col("kind").isin("null", "corrupt")).join(scorer, list(RECORD))
-    old = cells.join(steps.select("stream", F.col("previous").alias("file_seq"), F.col("file_seq").alias("at")), ["stream", "file_seq"])
-    old = old.join(gone.select("stream", F.col("file_seq").alias("at"), F.col("field").alias("path")), ["stream", "at", "path"])
-    old = old.select("stream", F.col("at").alias("file_seq"), "scorer", F.col("path").alias("field"), F.col("value").alias("old_value"))
-    new = cells.join(come.select("stream", "file_seq", F.col("new_field").alias("path")), ["stream", "file_seq", "path"])
-    new = new.select("stream", "file_seq", "scorer", F.col("path").alias("new_field"), F.col("value").alias("new_value"))
-    match = old.join(new, ["stream", "file_seq", "scorer"]).groupBy("stream", "file_seq", "field", "new_field").agg(F.count(F.lit(1)).alias("seen"), F.min(F.col("old_value") == F.col("new_value")).alias("same"))
-    match = match.where("same")
-    per_old = Window.partitionBy("stream", "file_seq", "field").orderBy(F.desc("seen"), "new_field")
-    per_new = Window.partitionBy("stream", "file_seq", "new_field").orderBy(F.desc("seen"), "field")
-    renamed = match.withColumn("a", F.row_number().over(per_old)).where("a = 1").withColumn("b", F.row_number().over(per_new)).where("b = 1")
-    renamed = renamed.select("stream", "file_seq", F.lit("renamed").alias("change"), "field", "new_field")
-    removed = gone.join(renamed.select("stream", "file_seq", "field"), ["stream", "file_seq", "field"], "left_anti")
-    added = come.join(renamed.select("stream", "file_seq", "new_field"), ["stream", "file_seq", "new_field"], "left_anti")
-    removed = removed.select("stream", "file_seq", F.lit("removed").alias("change"), "field", F.lit("").alias("new_field"))
-    added = added.select("stream", "file_seq", F.lit("added").alias("change"), F.col("new_field").alias("field"), F.lit("").alias("new_field"))
-    return type_changed.union(renamed).union(removed).union(added).withColumn("file_seq", F.col("file_seq").cast("bigint"))
+    rows = cells(table, target)
+    bit = F.lit(0)
+    for kind, b in _BITS.items():
+        bit = F.when(F.col("kind") == kind, b).otherwise(bit)
+    has = materialise(rows.groupBy("stream", "file_seq", "path").agg(F.bit_or(bit).alias("kinds")), "fields")
+    order = Window.partitionBy("stream").orderBy("file_seq")  # a row per file
+    files = table.select("stream", "file_seq").distinct().withColumn("next", F.lead("file_seq").over(order)).withColumn("before", F.lag("file_seq").over(order))
+    known = has.join(files, ["stream", "file_seq"])
+    side = lambda at, new: F.struct(F.col(at).alias("at"), F.lit(new).alias("new"))
+    steps = known.select("stream", "path", "kinds", F.explode(F.array_compact(F.array(F.when(F.col("before").isNotNull(), side("file_seq", True)), F.when(F.col("next").isNotNull(), side("next", False))))).alias("s"))
+    kinds = lambda new: F.max(F.when(F.col("s.new") == new, F.col("kinds")))
+    compared = steps.groupBy("stream", F.col("s.at").alias("file_seq"), "path").agg(kinds(False).alias("old"), kinds(True).alias("new"))
+    differs = materialise(compared.where(F.col("old").isNull() | F.col("new").isNull() | ((F.col("old") != F.col("new")) & (F.col("old") > 0) & (F.col("new") > 0))), "differs")
+
+    # values of the fields that are gone, from the file before, and of those that have come
+    asked = differs.where("old IS NULL OR new IS NULL").join(files.select("stream", "file_seq", "before"), ["stream", "file_seq"])
+    asked = asked.select("stream", F.col("file_seq").alias("at"), "path", F.col("new").isNotNull().alias("come"), F.when(F.col("new").isNull(), F.col("before")).otherwise(F.col("file_seq")).alias("file_seq"))
+    valued = rows.where("kind <> 'null' AND scorer IS NOT NULL").join(asked, ["stream", "file_seq", "path"])
+    cell = F.struct("path", "kind", "value")
+    per = valued.groupBy("stream", "at", "scorer").agg(*[F.collect_list(F.when(F.col("come") == c, cell)).alias(n) for c, n in ((False, "gone"), (True, "came"))])  # a scorer's own fields of two files
+    both = per.select("stream", "at", F.explode("gone").alias("g"), "came").select("stream", "at", "g", F.explode("came").alias("c"))
+    fits = both.groupBy("stream", "at", F.col("g.path").alias("field"), F.col("c.path").alias("new_field")).agg(F.count(F.lit(1)).alias("seen"), F.bool_and((F.col("g.kind") == F.col("c.kind")) & (F.col("g.value") == F.col("c.value"))).alias("same")).where("same")
+    renamed = fits.groupBy("stream", F.col("at").alias("file_seq")).agg(_matched(F.collect_list(F.struct((-F.col("seen")).alias("unseen"), "new_field", "field"))).alias("taken"))
+
+    # every step's fields meet its renames: the gone one becomes the rename, the come one goes
+    none = F.array().cast("array<struct<field:string,new_field:string>>")
+    out = differs.join(renamed, ["stream", "file_seq"], "left").withColumn("taken", F.coalesce("taken", none))
+    to = F.get(F.filter("taken", lambda r: r["field"] == F.col("path")), 0)["new_field"]
+    change = F.when(F.col("old").isNotNull() & F.col("new").isNotNull(), "type_changed").when(F.col("old").isNull(), "added").when(to.isNotNull(), "renamed").otherwise("removed")
+    out = out.where(~(F.col("old").isNull() & F.exists("taken", lambda r: r["new_field"] == F.col("path"))))
+    return out.select("stream", F.col("file_seq").cast("bigint").alias("file_seq"), change.alias("change"), F.col("path").alias("field"), F.when(change == "renamed", to).otherwise("").alias("new_field"))
 
 
 def promotions(renames: DataFrame) -> DataFrame:
@@ -161,7 +196,9 @@ def promotions(renames: DataFrame) -> DataFrame:
     Groups are the renames of one stream: as many as its files have of them.
     """
 
-    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
+    import pandas as pd
+
+    def trace(pdf):
         first: dict[str, str] = {}
         open_: dict[str, int] = {}
         rows = []
@@ -178,14 +215,12 @@ def promotions(renames: DataFrame) -> DataFrame:
     return renames.groupBy("stream").applyInPandas(trace, "stream string, field string, since bigint, until bigint, target string")
 
 
-def replay(table: DataFrame, leaves: DataFrame, found: DataFrame, target: dict[str, str] | None = None) -> DataFrame:
+def replay(table: DataFrame, found: DataFrame, target: dict[str, str] | None = None) -> DataFrame:
     """``table`` with promoted rescued values in its typed columns, and the rest still rescued."""
     target = target or TARGET
     names = promotions(found.where("change = 'renamed'")).withColumnRenamed("stream", "p_stream").withColumnRenamed("field", "p_field")
-    cells = leaves.select(*RECORD, F.explode("leaves").alias("x")).select(*RECORD, "x.*")
-    rescued = table.select(*RECORD, F.explode(F.map_keys("rescued")).alias("path"))
-    cells = cells.join(rescued, [*RECORD, "path"])
-    mapped = cells.join(names, (F.col("stream") == F.col("p_stream")) & (F.col("path") == F.col("p_field")) & F.col("file_seq").between(F.col("since"), F.col("until")), "left")
+    rescued = table.select(*RECORD, F.explode("rescued").alias("path", "value")).withColumn("kind", _kind(F.col("value")))
+    mapped = rescued.join(names, (F.col("stream") == F.col("p_stream")) & (F.col("path") == F.col("p_field")) & F.col("file_seq").between(F.col("since"), F.col("until")), "left")
     mapped = mapped.withColumn("to", F.coalesce("target", "path")).where(F.col("to").isin(*target))
     value = {p: F.max(F.when(F.col("to") == p, _typed(F.col("value"), F.col("kind"), k, False))).alias(f"_{p.replace('.', '__')}") for p, k in target.items()}
     done = F.lit(None).cast("string")
@@ -200,5 +235,5 @@ def replay(table: DataFrame, leaves: DataFrame, found: DataFrame, target: dict[s
 
 def consistent_table(records: DataFrame) -> DataFrame:
     """One row per record in the target schema, drift replayed, the rest in ``rescued``."""
-    leaves = materialise(opened(records), "leaves")
-    return replay(ingest(leaves), leaves, changes(leaves))
+    table = materialise(ingest(opened(records)), "ingested")
+    return replay(table, changes(table))

@@ -62,7 +62,7 @@ def records(spark, *rows):
 
 
 def found(spark, *rows):
-    return sorted((r.stream, r.file_seq, r.change, r.field, r.new_field) for r in drift.changes(drift.opened(records(spark, *rows))).collect())
+    return sorted((r.stream, r.file_seq, r.change, r.field, r.new_field) for r in drift.changes(drift.ingest(drift.opened(records(spark, *rows)))).collect())
 
 
 def test_changes_of_every_kind(spark):
@@ -90,6 +90,22 @@ def test_repeated_and_corrupt_records(spark):
     assert {r.record_no: dict(r.rescued) for r in table.where("file_seq = 1").collect()}[2] == {"$": '"{no json"'}
 
 
+def test_renames_are_matched_until_none_is_left(spark):
+    """Two gone fields fit the same new field first; the second takes its other candidate."""
+    got = found(spark, ("s", 1, 1, {"scorer_id": "A", "p": 1, "q": 1}), ("s", 2, 1, {"scorer_id": "A", "x": 1, "y": 1.0}))
+    assert got == [("s", 2, "renamed", "p", "x"), ("s", 2, "renamed", "q", "y")]
+    got = found(spark, ("s", 1, 1, {"scorer_id": "A", "train_accuracy": 0.50, "hypothesis": 'a "b" \u00e9'}), ("s", 2, 1, {"scorer_id": "A", "acc": 5e-1, "h": 'a "b" \u00e9'}), ("s", 3, 1, {"scorer_id": "A", "acc": "0.5", "h": None}))
+    assert got == [("s", 2, "renamed", "hypothesis", "h"), ("s", 2, "renamed", "train_accuracy", "acc"), ("s", 3, "type_changed", "acc", "")]
+
+
+def test_objects_of_any_depth_are_opened(spark):
+    deep = {"x": 1}
+    for i in range(9):
+        deep = {f"l{i}": deep, "e": {}}
+    got = found(spark, ("s", 1, 1, {"scorer_id": "A", **deep}), ("s", 2, 1, {"scorer_id": "B"}))
+    assert got == [("s", 2, "removed", ".".join(f"l{i}" for i in range(8, -1, -1)) + ".x", "")]
+
+
 def test_rescued_values_are_replayed(spark):
     df = drift.consistent_table(
         records(
@@ -109,5 +125,5 @@ def test_rescued_values_are_replayed(spark):
 
 def test_empty_stream_table(spark):
     none = records(spark, ("s", 1, 1, "{}")).limit(0)
-    assert drift.changes(drift.opened(none)).count() == 0
+    assert drift.changes(drift.ingest(drift.opened(none))).count() == 0
     assert drift.consistent_table(none).count() == 0
