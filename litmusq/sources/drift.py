@@ -47,10 +47,15 @@ def _number(value: Column) -> Column:
 
 def _leaf(path: Column, value: Column) -> Column:
     """(path, kind, value) of one JSON value; the value as JSON text."""
-    schema = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
-    kind = F.when(schema == "VOID", "null").when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array").when(schema == "STRING", "string").when(schema == "BOOLEAN", "boolean").otherwise("number")
-    text = F.when(schema == "VOID", "null").when((kind == "number") & (schema != "BIGINT"), F.coalesce(_number(F.try_variant_get(value, "$", "double")), F.to_json(value))).otherwise(F.to_json(value))
-    return F.struct(path.alias("path"), kind.alias("kind"), text.alias("value"))
+
+    def of(schema: Column) -> Column:
+        kind = F.when(schema == "STRING", "string").when(schema == "VOID", "null").when(schema == "BOOLEAN", "boolean").when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array").otherwise("number")
+        plain = (schema == "STRING") | (schema == "BIGINT") | (schema == "BOOLEAN") | schema.startswith("OBJECT") | schema.startswith("ARRAY")
+        text = F.when(schema == "VOID", "null").when(plain, F.to_json(value)).otherwise(F.coalesce(_number(F.try_variant_get(value, "$", "double")), F.to_json(value)))
+        return F.struct(path.alias("path"), kind.alias("kind"), text.alias("value"))
+
+    # a one-element transform names an intermediate value, so it is computed once
+    return F.get(F.transform(F.array(F.coalesce(F.schema_of_variant(value), F.lit("VOID"))), of), 0)
 
 
 def _opened(leaves: Column) -> Column:
@@ -132,7 +137,7 @@ def cells(table: DataFrame, target: dict[str, str] | None = None) -> DataFrame:
         c = F.col(path.replace(".", "__"))
         value = c if kind == "string" else _number(c) if kind == "double" else c.cast("string")
         typed.append(F.when(c.isNotNull(), F.struct(F.lit(path).alias("path"), F.lit(_JSON_KIND[kind]).alias("kind"), value.alias("value"))))
-    kept = F.transform(F.map_entries(F.map_filter("rescued", lambda k, _: k != "$")), lambda e: F.struct(e["key"].alias("path"), _kind(e["value"]).alias("kind"), F.when(_kind(e["value"]) == "string", _text(e["value"])).otherwise(e["value"]).alias("value")))
+    kept = F.transform(F.map_entries(F.map_filter("rescued", lambda k, _: k != "$")), lambda e: F.struct(e["key"].alias("path"), _kind(e["value"]).alias("kind"), F.when(e["value"].startswith('"'), _text(e["value"])).otherwise(e["value"]).alias("value")))
     scorer = F.coalesce(F.col("scorer_id"), F.try_element_at("rescued", F.lit("scorer_id")))
     return table.select(*RECORD, scorer.alias("scorer"), F.explode(F.concat(F.array_compact(F.array(*typed)), kept)).alias("x")).select(*RECORD, "scorer", "x.*")
 
