@@ -129,15 +129,20 @@ def coverage(obligations: DataFrame, files: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("score") >= 0.6, "covered").when(F.col("score") >= 0.3, "partial").otherwise("missing"))
 
 
+_PATTERNS = [(k, re.compile(p, re.I)) for k, ps in OBLIGATIONS.items() for p in ps]
+
+
+def obligations_in(path: str | None, text: str | None) -> Iterator[tuple[str, str, str, str | None, int]]:
+    """(obligation_id, obligation_type, source_text, path, at) of every match in one text."""
+    for kind, pattern in _PATTERNS:
+        for m in pattern.finditer(text or ""):
+            around = (text or "")[max(0, m.start() - 20) : m.end() + 40].strip()
+            yield hashlib.sha256(f"{path}|{kind}|{m.start()}".encode()).hexdigest()[:12], kind, around, path, m.start()
+
+
 def _extract_obligations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    compiled = [(k, re.compile(p, re.I)) for k, ps in OBLIGATIONS.items() for p in ps]
     for batch in batches:
-        rows = []
-        for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
-            for kind, pattern in compiled:
-                for m in pattern.finditer(text or ""):
-                    around = (text or "")[max(0, m.start() - 20) : m.end() + 40].strip()
-                    rows.append((hashlib.sha256(f"{path}|{kind}|{m.start()}".encode()).hexdigest()[:12], kind, around, path, m.start()))
+        rows = [r for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()) for r in obligations_in(path, text)]
         columns = list(zip(*rows)) if rows else [(), (), (), (), ()]
         yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in columns[:4]], pa.array(columns[4], pa.int64())], ["obligation_id", "obligation_type", "source_text", "path", "at"])
 
@@ -186,6 +191,12 @@ def _schema_tools(text: str) -> list[dict]:
     return out
 
 
+def tools_in(path: str | None, text: str | None) -> list[dict]:
+    """The tools defined in one Python source or JSON schema."""
+    name = path or ""
+    return _python_tools(text or "") if name.endswith(".py") else _schema_tools(text or "") if name.endswith(".json") else []
+
+
 _TOOL_SCHEMA = "path string, name string, description string, return_type string, parameters array<struct<name:string,type:string,required:boolean>>, preconditions array<string>"
 
 
@@ -194,8 +205,7 @@ def _extract_tools(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         rows = []
         for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
-            found = _python_tools(text or "") if (path or "").endswith(".py") else _schema_tools(text or "") if (path or "").endswith(".json") else []
-            rows += [(path, t["name"], t["description"], t["return_type"], t["params"], [m.strip() for m in PRECONDITION.findall(t["description"])]) for t in found]
+            rows += [(path, t["name"], t["description"], t["return_type"], t["params"], [m.strip() for m in PRECONDITION.findall(t["description"])]) for t in tools_in(path, text)]
         c = list(zip(*rows)) if rows else [()] * 6
         yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.string()) for x in c[:4]], pa.array(c[4], params), pa.array(c[5], pa.list_(pa.string()))], [f.split()[0] for f in _TOOL_SCHEMA.split(", ")])
 

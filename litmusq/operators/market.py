@@ -100,20 +100,45 @@ def quota(weights: DataFrame, name: str, weight: str, total: int) -> DataFrame:
     return weights.select(name, (F.floor(raw) + F.when(place <= left, 1).otherwise(0)).alias("quota"))
 
 
-def fold_states(events: DataFrame, key: str, order: str, to: str, start: str, allowed: dict[str, list[str]]) -> DataFrame:
+def running_mean(rows: DataFrame, key: str, order: str, value: str, width: int) -> DataFrame:
+    """(key, order, running): the mean of all values of a key up to each row, in order of a whole number.
+
+    Rows are sorted within ranges of ``width`` only; what came before a range is
+    a sum over ranges, so a hot key is many small sorts.  Nulls count for nothing.
+    """
+    r = rows.select(key, order, F.col(value).alias("_v"), F.floor(F.col(order) / width).alias("_range"))
+    within = Window.partitionBy(key, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    sums = r.groupBy(key, "_range").agg(F.sum("_v").alias("_s"), F.count("_v").alias("_n"))
+    sums = sums.select(key, "_range", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_before{c}") for c in ("_s", "_n")])
+    out = r.withColumn("_s", F.coalesce(F.sum("_v").over(within), F.lit(0.0))).withColumn("_n", F.count("_v").over(within)).join(sums, [key, "_range"])
+    return out.select(key, order, F.try_divide(F.col("_before_s") + F.col("_s"), F.col("_before_n") + F.col("_n")).alias("running"))
+
+
+def fold_states(events: DataFrame, key: str, order: str, to: str, start: str, allowed: dict[str, list[str]], part: Column | None = None) -> DataFrame:
     """(key, state, applied, rejected): events of a key applied in order, those not allowed from the state skipped.
 
-    The sequence of one key is folded in the JVM by an array aggregate.
+    ``part`` splits the order (a date of a time, say; it must not run against
+    it).  The events of one part are folded from every state they may find, and
+    the parts of a key are put together after, so no task holds a whole key.
     """
     table = F.create_map(*[x for k, v in allowed.items() for x in (F.lit(k), F.array(*map(F.lit, v)) if v else F.array().cast("array<string>"))])
-    moves = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, to))).alias("moves"))
-    zero = F.struct(F.lit(start).alias("state"), F.lit(0).alias("applied"), F.lit(0).alias("rejected"))
+    states = sorted({start, *allowed, *[t for v in allowed.values() for t in v]})
+    moves = events.groupBy(key, (part if part is not None else F.lit(0)).alias("_part")).agg(F.array_sort(F.collect_list(F.struct(order, to))).alias("moves"))
+    zero = lambda s: F.struct(s.alias("state"), F.lit(0).alias("applied"), F.lit(0).alias("rejected"))
 
     def step(acc: Column, m: Column) -> Column:
-        ok = F.array_contains(F.coalesce(F.try_element_at(table, acc["state"]), F.array().cast("array<string>")), m[to])
+        ok = F.coalesce(F.array_contains(F.coalesce(F.try_element_at(table, acc["state"]), F.array().cast("array<string>")), m[to]), F.lit(False))
         return F.struct(F.when(ok, m[to]).otherwise(acc["state"]).alias("state"), (acc["applied"] + ok.cast("int")).alias("applied"), (acc["rejected"] + (~ok).cast("int")).alias("rejected"))
 
-    return moves.select(key, F.aggregate("moves", zero, step).alias("f")).select(key, "f.*")
+    folded = F.map_from_arrays(F.array(*map(F.lit, states)), F.array(*[F.aggregate("moves", zero(F.lit(s)), step) for s in states]))
+    parts = moves.select(key, F.struct("_part", folded.alias("from")).alias("p")).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("p._part").alias("part"), F.map_entries("p.from").alias("from")))).alias("parts"))
+
+    def join(acc: Column, p: Column) -> Column:
+        f = F.get(F.filter(p["from"], lambda e: e["key"] == acc["state"]), 0)["value"]
+        return F.struct(f["state"].alias("state"), (acc["applied"] + f["applied"]).alias("applied"), (acc["rejected"] + f["rejected"]).alias("rejected"))
+
+    return parts.select(key, F.aggregate("parts", zero(F.lit(start)), join).alias("f")).select(key, "f.*")
 
 
 def keep_first(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:

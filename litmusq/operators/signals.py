@@ -368,13 +368,14 @@ def long(wide: DataFrame, key: str, stage: int) -> DataFrame:
 def check(signals: DataFrame, key: str, kinds: tuple[str, ...] = ("min", "max")) -> DataFrame:
     """(key, stage, kind, signal, value, threshold, computed) of gates not met, or of targets missed.
 
-    A signal that was not computed has no value and is reported as such, not as
-    missed by its value; targets of penalties are met from below.
+    An absent signal counts as 0 for a minimum or target and as 1 for a maximum,
+    and is reported as not computed; targets of penalties are met from below.
     """
     rules = signals.sparkSession.createDataFrame([(s, k, n, float(t)) for s, k, n, t in GATES if k in kinds], "stage int, kind string, signal string, threshold double")
     outputs = signals.select(key, "stage").distinct()
     wanted = outputs.join(F.broadcast(rules), "stage")  # the rules are a fixed table
-    got = wanted.join(signals, [key, "stage", "signal"], "left")
+    got = wanted.join(signals, [key, "stage", "signal"], "left").withColumn("computed", F.col("value").isNotNull())
+    got = got.withColumn("value", F.coalesce("value", F.when(F.col("kind") == "max", 1.0).otherwise(0.0)))
     above = (F.col("kind") == "max") | ((F.col("kind") == "target") & F.contains(F.col("signal"), F.lit("penalty")))
     missed = F.when(above, F.col("value") > F.col("threshold")).otherwise(F.col("value") < F.col("threshold"))
-    return got.where(F.coalesce(missed, F.lit(True))).select(key, "stage", "kind", "signal", "value", "threshold", F.col("value").isNotNull().alias("computed"))
+    return got.where(missed).select(key, "stage", "kind", "signal", "value", "threshold", "computed")

@@ -79,11 +79,11 @@ def firsts(steps: DataFrame) -> DataFrame:
         F.min(F.when(user, F.col("idx"))).alias("user"),
         F.min(F.when(call & lookup, F.col("idx"))).alias("lookup"),
         F.min(F.when(call & _any(F.col("ltool"), ["policy", "check"]), F.col("idx"))).alias("policy_check"),
-        F.array_sort(F.collect_set(F.when(said, F.col("idx")))).alias("said"),
     )
-    # the first message never confirms itself; the sets hold the confirmations of one trace
-    later = F.array_min(F.filter("said", lambda i: i > F.coalesce(F.col("user"), F.lit(-1))))
-    return first.select("trace", "user", "lookup", "policy_check", later.alias("user_confirmation"))
+    # the first message never confirms itself: only what was said after it counts
+    began = first.select("trace", F.coalesce("user", F.lit(-1)).alias("began"))
+    later = s.where(said).select("trace", "idx").join(began, "trace").where("idx > began").groupBy("trace").agg(F.min("idx").alias("user_confirmation"))
+    return first.join(later, "trace", "left")
 
 
 def _before(place: Column) -> Column:

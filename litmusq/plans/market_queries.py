@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litmusq.operators import market as M
-from litmusq.plans.eval_queries import _round, facts
+from litmusq.plans.eval_queries import RANGE, _round, facts
 from litmusq.sources.tables import table
 
 SEED, PRICES, DAYS = 42, [500, 900, 1400], 5
@@ -39,8 +39,7 @@ def session_cap(spark: SparkSession, folder: str) -> DataFrame:
 
 def running_satisfaction(spark: SparkSession, folder: str) -> DataFrame:
     """Running mean of the scores of each scorer in order of evaluation."""
-    order = Window.partitionBy("scorer_id").orderBy("eval_id").rowsBetween(Window.unboundedPreceding, 0)
-    return _round(facts(spark, folder).select("scorer_id", "eval_id", F.avg("p").over(order).alias("running")))
+    return _round(M.running_mean(facts(spark, folder), "scorer_id", "eval_id", "p", RANGE))
 
 
 def fee_split(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,7 +87,7 @@ _TO = "CASE event_type WHEN 'signup' THEN 'new' WHEN 'view' THEN 'checkout' WHEN
 
 def state_fold(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events", "event_id", "user_id", "ts", "event_type").select("user_id", F.struct("ts", "event_id").alias("at"), F.expr(_TO).alias("to"))
-    return M.fold_states(e, "user_id", "at", "to", "new", MOVES)
+    return M.fold_states(e, "user_id", "at", "to", "new", MOVES, F.to_date("at.ts"))
 
 
 def transition_audit(spark: SparkSession, folder: str) -> DataFrame:

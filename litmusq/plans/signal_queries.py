@@ -331,8 +331,9 @@ def _gate_sql(kinds: tuple[str, ...]) -> str:
     for stage, kind, signal, t in S.GATES:
         if kind in kinds:
             bad = ">" if kind == "max" or (kind == "target" and "penalty" in signal) else "<"
-            miss = f"{signal} {bad} {t}" + (" + 1e-8" if bad == ">" else "")
-            parts.append(f"SELECT {stage} AS stage, '{signal}' AS signal, count(*) FILTER ({miss}) AS missed, count(*) FILTER ({signal} IS NULL) AS not_computed FROM t{stage}")
+            slack = " + 1e-8" if bad == ">" else ""
+            default = "1.0" if kind == "max" else "0.0"
+            parts.append(f"SELECT {stage} AS stage, '{signal}' AS signal, count(*) FILTER ({signal} {bad} {t}{slack}) AS missed, count(*) FILTER ({signal} IS NULL AND {default} {bad} {t}) AS not_computed FROM t{stage}")
     return f"WITH {tables} SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE missed + not_computed > 0"
 
 

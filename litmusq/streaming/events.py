@@ -7,8 +7,6 @@ State lives in the RocksDB store where the session has it configured.
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -17,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from litmusq.plans.lineage import reserved
+
 #: How late an event may come after the latest seen.
 DELAY = "30 days"
 
@@ -76,13 +76,11 @@ def folded(events: DataFrame, key: str, order: str, to: str, start: str, allowed
 def drained(stream: DataFrame, name: str, mode: str = "append", root: str | None = None) -> DataFrame:
     """Runs a stream over all that is there and gives the result as a table.
 
-    ``root`` is the folder of the checkpoint, shared on a cluster.
+    ``root`` is the folder of the checkpoint; else it is made in the shared
+    folder of the session and goes with its tables.
     """
     spark = stream.sparkSession
-    own = root is None
-    root = root or tempfile.mkdtemp(prefix="litmusq-stream-")
+    root = root or reserved(spark, "stream")
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{root}/{name}").trigger(availableNow=True).start()
     query.awaitTermination()
-    if own:
-        shutil.rmtree(root, ignore_errors=True)
     return spark.table(name)

@@ -216,3 +216,42 @@ def test_signals_by_hand(spark):
     assert (f[1].top_scorer_coverage_rate, f[2].top_scorer_coverage_rate, f[1].failure_pattern_specificity_score, f[2].failure_pattern_specificity_score) == (0.5, 1.0, 1.0, 0.0)
     long = spark.createDataFrame([("o", 4, "num_scorers", 3.0)], "k string, stage int, signal string, value double")
     assert {(x.signal, x.computed) for x in S.check(long, "k").collect()} == {("code_exec_rate", False)}
+
+
+def test_running_means_and_folds_by_parts(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [("hot" if rng.random() < 0.7 else f"k{rng.randint(0, 3)}", i, rng.choice([None, rng.random()])) for i in range(300)]
+    got = {(r.k, r.i): r.running for r in market.running_mean(spark.createDataFrame(rows, "k string, i bigint, v double"), "k", "i", "v", 16).collect()}
+    for k in {r[0] for r in rows}:
+        seen = []
+        for _, i, v in sorted(r for r in rows if r[0] == k):
+            seen += [] if v is None else [v]
+            assert got[k, i] == (pytest.approx(sum(seen) / len(seen)) if seen else None)
+    moves = {"new": ["open"], "open": ["done", "new"], "done": []}
+    events = spark.createDataFrame([(rng.choice("ab"), i, rng.choice(["new", "open", "done", "odd", None])) for i in range(80)], "k string, at int, to string")
+    whole = sorted(map(tuple, market.fold_states(events, "k", "at", "to", "new", moves).collect()))
+    assert whole == sorted(map(tuple, market.fold_states(events, "k", "at", "to", "new", moves, F.floor(F.col("at") / 7)).collect())) and len(whole) == 2
+    assert market.fold_states(events.limit(0), "k", "at", "to", "new", moves).count() == 0
+
+
+def test_tables_of_a_scope_go_at_its_end(spark):
+    from litmusq.plans import lineage
+
+    with lineage.scope():
+        kept = lineage.materialise(spark.range(5), "kept")
+        paths = kept.inputFiles()
+        assert kept.count() == 5 and paths
+    target = spark._jvm.org.apache.hadoop.fs.Path(paths[0])
+    assert not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def test_table_functions(spark):
+    from litmusq.sources import udtf
+
+    udtf.register(spark)
+    got = spark.sql("SELECT * FROM extract_obligations('p', 'Ask the user before you go. Look up the name.')").collect()
+    assert {r.obligation_type for r in got} == {"CONFIRMATION_REQUIRED", "LOOKUP_REQUIRED"}
+    assert [r.name for r in spark.sql("SELECT * FROM extract_tools('a.py', 'def send_email(to): pass')").collect()] == ["send_email"]
+    assert spark.sql("SELECT * FROM extract_obligations('p', NULL)").count() == 0
