@@ -68,12 +68,6 @@ def capped(rows: DataFrame, order: list[str], cap: int) -> DataFrame:
     return rows.join(F.broadcast(first), order, "left").withColumn("real", F.coalesce("real", F.lit(False)))  # at most ``cap`` rows
 
 
-def fee_split(amount: Column, percent: int = 25) -> tuple[Column, Column]:
-    """Platform fee, rounded down, and the rest; they add up to the amount."""
-    fee = F.floor(amount * percent / 100).cast("bigint")
-    return fee, amount - fee
-
-
 def dashboard(sales: DataFrame, outer: str, inner: str, value: str) -> DataFrame:
     """Totals per inner, per outer and overall, in one pass."""
     return sales.rollup(outer, inner).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))

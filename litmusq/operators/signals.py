@@ -9,9 +9,15 @@ as present if it is not empty.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from litmusq.functions.bitmaps import asked, bitmap, run_hashes
+
 #: Words and patterns of the signals.
 MECHANISTIC = [
     "because", "leads to", "increases", "decreases", "mediates", "moderates", "causes", "drives", "reduces", "through", "by making", "as a result",
@@ -309,22 +315,45 @@ def failures(patterns: DataFrame, instructions: DataFrame, key: str, named: Data
     return out.join(named.select(key, share.alias("top_scorer_coverage_rate")), key, "left").na.fill(0.0, ["top_scorer_coverage_rate"])
 
 
-def leakage(packets: DataFrame, heldout: DataFrame, key: str, least: int = 10) -> DataFrame:
-    """How many held-out texts (key, text) stand literally in the packet text of their run (key, packet).
+#: Bits of the bitmap of probes; characters of a probe.
+PROBE_BITS, PROBE = 1 << 22, 10
+
+
+def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every text the run of characters with the smallest hash."""
+    for batch in batches:
+        probes = [int(run_hashes(t, PROBE).min().view(np.int64)) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(probes, pa.int64())], [*batch.schema.names, "probe"])
+
+
+def _probed(bits):
+    """The runs of every packet that some text asks for, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for packet in batch.column("packet").to_pylist():
+                runs = run_hashes(packet, PROBE)
+                found.append(np.unique(runs[asked(bits.value, runs)]).view(np.int64))
+            owner = pa.array(np.repeat(np.arange(batch.num_rows), [len(f) for f in found]))
+            yield pa.RecordBatch.from_arrays([batch.column("pid").take(owner), pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["pid", "probe"])
+
+    return run
+
+
+def leakage(packets: DataFrame, heldout: DataFrame, key: str, least: int = PROBE) -> DataFrame:
+    """How many held-out texts (key, text) of at least ``least`` characters stand literally in the packet texts of their key (key, packet).
 
-    A text is looked up by one run of three words from its inside (the one with
-    the smallest hash) among those of the packets, then compared literally;
-    texts of under five words are compared with every packet of their run.
+    A text is looked up by one run of its characters among those of the packets,
+    then compared literally; a packet gives only runs that some text asks for.
     """
-    words = lambda c: F.split(c, r"\s+")
-    grams = lambda w, first, last: F.transform(F.sequence(F.lit(first), last), lambda i: F.xxhash64(F.slice(w, i, 3)))
-    texts = heldout.where(F.length("text") >= least).withColumn("w", words(F.col("text")))
-    probed = texts.where(F.size("w") >= 5).withColumn("gram", F.array_min(grams(F.col("w"), 2, F.size("w") - 3)))
-    parts = packets.withColumn("pid", F.xxhash64("packet")).withColumn("w", words(F.col("packet")))
-    index = parts.where(F.size("w") >= 3).select(key, "pid", F.explode(F.array_distinct(grams(F.col("w"), 1, F.size("w") - 2))).alias("gram"))
-    near = probed.join(index, [key, "gram"]).select(key, "text", "pid").join(parts.select(key, "pid", "packet"), [key, "pid"])
-    short = texts.where(F.size("w") < 5).select(key, "text").join(packets, key)
-    hits = near.select(key, "text", "packet").unionByName(short.select(key, "text", "packet")).where(F.contains(F.col("packet"), F.col("text")))
+    kind = dict(heldout.dtypes)[key]
+    texts = heldout.where(F.length("text") >= max(least, PROBE)).select(key, "text").mapInArrow(_probes, f"{key} {kind}, text string, probe bigint")
+    bits = packets.sparkSession.sparkContext.broadcast(bitmap(texts, "probe", PROBE_BITS))
+    parts = packets.where("packet IS NOT NULL").withColumn("pid", F.xxhash64(key, "packet"))
+    index = parts.select("pid", "packet").mapInArrow(_probed(bits), "pid bigint, probe bigint")
+    near = index.join(parts.select("pid", key), "pid").join(texts, [key, "probe"]).select(key, "pid", "text")
+    hits = near.join(parts.select("pid", "packet"), "pid").where(F.contains(F.col("packet"), F.col("text"))).select(key, "text").distinct()
     return packets.select(key).distinct().join(hits.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, "left").select(key, F.coalesce("n", F.lit(0)).alias("heldout_raw_text_leakage_count"))
 
 

@@ -42,12 +42,6 @@ def running_satisfaction(spark: SparkSession, folder: str) -> DataFrame:
     return _round(M.running_mean(facts(spark, folder), "scorer_id", "eval_id", "p", RANGE))
 
 
-def fee_split(spark: SparkSession, folder: str) -> DataFrame:
-    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
-    fee, rest = M.fee_split(cents)
-    return table(spark, folder, "orders", "o_orderstatus", "o_totalprice").groupBy("o_orderstatus").agg(F.sum(cents).alias("amount"), F.sum(fee).alias("fee"), F.sum(rest).alias("payout"))
-
-
 def _sales(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem", "l_suppkey", "l_returnflag", "l_extendedprice").withColumn("cents", F.round(F.col("l_extendedprice") * 100).cast("bigint"))
 
@@ -114,12 +108,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "revenue_by_segment": revenue_by_segment,
     "session_cap": session_cap,
     "running_satisfaction": running_satisfaction,
-    "fee_split": fee_split,
     "creator_dashboard": lambda s, d: M.dashboard(_sales(s, d), "l_suppkey", "l_returnflag", "cents").withColumn("l_suppkey", F.coalesce(F.col("l_suppkey").cast("string"), F.lit("all"))),
     "listing_page": listing_page,
     "date_range": date_range,
     "segment_groupings": segment_groupings,
-    "dominant_share": lambda s, d: _round(M.dominant_share(table(s, d, "documents", "source", "doc_kind").where("source IS NOT NULL"), "source", "doc_kind")),
+    "dominant_share": lambda s, d: _round(M.dominant_share(table(s, d, "documents", "source", "doc_kind"), "source", "doc_kind")),
     "best_price_per_market": best_price_per_market,
     "quota_allocation": quota_allocation,
     "state_fold": state_fold,
@@ -158,12 +151,11 @@ SQL: dict[str, str] = {
     "revenue_by_segment": f"WITH {_IMP} SELECT segment, count(*) AS conversions, count(*) * 900 AS revenue_cents FROM won GROUP BY segment",
     "session_cap": f"WITH {_IMP}, r AS (SELECT day, row_number() OVER (ORDER BY day, i) <= 50 AS real FROM won) SELECT real, count(*) AS sessions, max(day)::INT AS last_day FROM r GROUP BY real",
     "running_satisfaction": f"WITH {_FACTS} SELECT scorer_id, eval_id, round(avg(p) OVER (PARTITION BY scorer_id ORDER BY eval_id ROWS UNBOUNDED PRECEDING) + 1e-9, 6) AS running FROM e",
-    "fee_split": "WITH c AS (SELECT o_orderstatus, round(o_totalprice * 100)::BIGINT AS a FROM orders) SELECT o_orderstatus, sum(a)::BIGINT AS amount, sum(floor(a * 25 / 100)::BIGINT)::BIGINT AS fee, sum(a - floor(a * 25 / 100)::BIGINT)::BIGINT AS payout FROM c GROUP BY o_orderstatus",
     "creator_dashboard": "SELECT coalesce(l_suppkey::VARCHAR, 'all') AS l_suppkey, l_returnflag, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS total, count(*) AS n, grouping(l_suppkey, l_returnflag)::BIGINT AS level FROM lineitem GROUP BY ROLLUP (l_suppkey, l_returnflag)",
     "listing_page": "WITH r AS (SELECT p_partkey, p_brand, p_retailprice FROM part WHERE p_retailprice BETWEEN 950 AND 1400) SELECT *, (SELECT count(*) FROM r) AS total, (SELECT count(*) FROM r) > 30 AS has_next FROM r ORDER BY p_partkey LIMIT 10 OFFSET 20",
     "date_range": "SELECT count(*) AS orders, min(o_orderdate) AS first_date, max(o_orderdate) AS last_date FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31'",
     "segment_groupings": "SELECT n_regionkey, c_mktsegment, coalesce(n_nationkey::VARCHAR, 'all') AS nation, count(*) AS n, round(sum(c_acctbal), 2) AS total, round(avg(c_acctbal) + 1e-9, 4) AS mean FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY GROUPING SETS ((n_regionkey), (n_regionkey, c_mktsegment), (n_regionkey, n_nationkey))",
-    "dominant_share": "WITH n AS (SELECT source, doc_kind, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY ALL), k AS (SELECT *, sum(n) OVER (PARTITION BY source) AS t FROM n QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, doc_kind) = 1) SELECT source, doc_kind AS dominant, round(n / t + 1e-9, 6) AS share, n / t >= 0.8 AS dominates FROM k",
+    "dominant_share": "WITH n AS (SELECT source, doc_kind, count(*) AS n FROM documents GROUP BY ALL), k AS (SELECT *, sum(n) OVER (PARTITION BY source) AS t FROM n QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, doc_kind) = 1) SELECT source, doc_kind AS dominant, round(n / t + 1e-9, 6) AS share, n / t >= 0.8 AS dominates FROM k",
     "best_price_per_market": "WITH p AS (SELECT l_returnflag, l_discount, round(sum(l_extendedprice * (1 - l_discount)), 2) AS take FROM lineitem GROUP BY ALL) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY take DESC, l_discount) = 1",
     "quota_allocation": "WITH n AS (SELECT c_mktsegment, count(*) * 101 / sum(count(*)) OVER () AS raw FROM customer GROUP BY c_mktsegment) SELECT c_mktsegment, (floor(raw) + CASE WHEN row_number() OVER (ORDER BY round(raw - floor(raw), 12) DESC, c_mktsegment DESC) <= 101 - sum(floor(raw)) OVER () THEN 1 ELSE 0 END)::BIGINT AS quota FROM n",
     "transition_audit": f"WITH l AS (SELECT {_TO} AS \"to\", lag({_TO}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT before, \"to\", count(*) AS n FROM l WHERE before IS NOT NULL GROUP BY ALL",

@@ -319,7 +319,7 @@ SQL: dict[str, str] = {
         {_rate("(" + " OR ".join(f"regexp_matches(coalesce(code, ''), '{p}')" for p in S.UNSAFE) + ")")} AS unsafe_code_penalty, round(count(DISTINCT coalesce(functional_form, '') || '|' || coalesce(right(scorer_id, 2), '')) / count(*) + 1e-9, 6) AS parent_distinctness_rate,
         {_rate("functional_form = 'ratio'")} AS code_feature_map_completeness_rate, {_CODE}, round(coalesce(count(*) FILTER (EXISTS (SELECT 1 FROM n WHERE n.run_id = h.run_id AND n.node_id = 'n_' || right(scorer_id, 2))) / nullif(count(scorer_id), 0), 0) + 1e-9, 6) AS causal_node_validity_rate, {_rate("coalesce(hypothesis, '') <> '' AND " + _says("hypothesis", S.ACTION_VERBS))} AS repair_strategy_specificity_score FROM h GROUP BY result_id""",
     "stage7_leakage": f"""WITH {_R}, {_PAIRS}, k AS (SELECT DISTINCT run_id, raw_response AS packet FROM r WHERE stage_num = 7 AND raw_response IS NOT NULL), x AS (SELECT DISTINCT run_id, unnest([positive, negative]) AS text FROM q WHERE sp = 'heldout')
-        SELECT k.run_id, count(x.text) AS heldout_raw_text_leakage_count FROM k LEFT JOIN x ON x.run_id = k.run_id AND length(x.text) >= 10 AND contains(k.packet, x.text) GROUP BY k.run_id""",
+        SELECT k.run_id, count(DISTINCT x.text) AS heldout_raw_text_leakage_count FROM k LEFT JOIN x ON x.run_id = k.run_id AND length(x.text) >= 10 AND contains(k.packet, x.text) GROUP BY k.run_id""",
 }
 
 

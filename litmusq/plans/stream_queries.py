@@ -29,8 +29,8 @@ def event_routing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def early_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Events whose user is a customer, and those that came before theirs is known."""
-    c = table(spark, folder, "customer", "c_custkey").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"), F.lit(True).alias("known"))
+    """Events of users who have ordered, and those of users not known by an order."""
+    c = table(spark, folder, "orders", "o_custkey").select(F.col("o_custkey").alias("user_id")).distinct().withColumn("known", F.lit(True))
     return _events(spark, folder).join(c, "user_id", "left").groupBy(F.coalesce("known", F.lit(False)).alias("known")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -60,7 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "event_dedup": "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY event_type",
     "event_routing": "SELECT CASE WHEN event_type IN ('purchase', 'signup') THEN 'payments' WHEN event_type = 'error' THEN 'alerts' ELSE 'dead_letter' END AS route, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
-    "early_events": "SELECT user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) AS known, count(*) AS n FROM events GROUP BY ALL",
+    "early_events": "SELECT user_id IN (SELECT o_custkey FROM orders) AS known, count(*) AS n FROM events GROUP BY ALL",
     "tumbling_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS starts, event_type, count(*) AS n FROM events GROUP BY ALL",
     "sliding_counts": "WITH h AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS h FROM events), w AS (SELECT h AS starts FROM h UNION ALL SELECT h - INTERVAL 1 HOUR FROM h) SELECT starts, count(*) AS n FROM w GROUP BY starts",
     "session_counts": """WITH g AS (SELECT user_id, ts, event_id, coalesce(ts > lag(ts) OVER w + INTERVAL 6 HOUR, true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
