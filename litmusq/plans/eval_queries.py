@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from litmusq.functions import policy
 from litmusq.operators import evaluation as E
 from litmusq.operators.skyline import skyline
+from litmusq.plans.lineage import materialise
 from litmusq.plans.probe_queries import HARD_SQL, TEXTS_SQL, pairs
 from litmusq.sources.tables import table
 
@@ -63,23 +64,24 @@ def supplier_skyline(spark: SparkSession, folder: str) -> DataFrame:
     return skyline(m, ["quantity", "revenue", "discount"])
 
 
-def _ensemble(spark: SparkSession, folder: str) -> DataFrame:
+def _ensemble(spark: SparkSession, folder: str, packet: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The positives a run evaluated, judged by the ensemble members of its frontier; allowed without unsupported claims."""
-    e = facts(spark, folder)
-    members = E.ensemble_members(_frontier(e)).select("run_id", "scorer_id")
+    e, front = packet or _packet(spark, folder)
+    members = E.ensemble_members(front).select("run_id", "scorer_id")
     scored = E.ensemble(e.join(members, ["run_id", "scorer_id"]), "pair_id", "scorer_id", "p", "run_id")
     ok = pairs(spark, folder).select("pair_id", (~policy.hard(F.col("positive"), F.col("anchor"))).alias("policy_ok"))
     return scored.join(ok, "pair_id")
 
 
 def _packet(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    e = facts(spark, folder)
-    return e, _frontier(e)
+    """The evaluation rows and the frontier of each run, each made once."""
+    e = materialise(facts(spark, folder), "facts")
+    return e, materialise(_frontier(e), "frontier")
 
 
-def mutation_instructions(spark: SparkSession, folder: str) -> DataFrame:
+def mutation_instructions(spark: SparkSession, folder: str, packet: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """What each run calls for; what the run before it (by run_id) called for has been applied."""
-    e, front = _packet(spark, folder)
+    e, front = packet or _packet(spark, folder)
     counts = E.failure_counts(e, front, "run_id")
     none = spark.createDataFrame([], "run_id string, instruction string")
     called = E.mutation_instructions(counts, front, none, "run_id")
@@ -124,7 +126,7 @@ def _context(spark: SparkSession, folder: str) -> DataFrame:
         F.count_distinct(F.get("research_basis", 0)).cast("double").alias("taste_research_present"), F.count_distinct(F.get("taste_map_basis", 0)).cast("double").alias("taste_map_rewards_present"), F.count_distinct("expected_failure_mode").cast("double").alias("taste_map_punishes_present"),
         F.count_if(F.col("generation_round") == 0).cast("double").alias("scorer_hypotheses_r0"), F.count_if(F.col("generation_round") == 1).cast("double").alias("repair_hypotheses_generated"),
     )
-    e, front = _packet(spark, folder)
+    e, front = packet = _packet(spark, folder)
     valid = E.validation(e.where("split = 'train'")).agg(F.count_if("valid").cast("double").alias("scorer_code_valid_r0"))
     first = lambda c: F.count_if(F.col("split").eqNullSafe("test") & c)
     p = pairs(spark, folder).join(table(spark, folder, "adversarial_pairs", "pair_id", "generation_round").groupBy("pair_id").agg(F.max("generation_round").alias("round")), "pair_id")
@@ -134,9 +136,9 @@ def _context(spark: SparkSession, folder: str) -> DataFrame:
     )
     told = front.agg((F.count(F.lit(1)) > 0).alias("pareto_r0_nonempty"), (F.count(F.lit(1)) > 0).alias("failure_packet_has_instructions"), (F.count_if(F.col("scorer_id").startswith("S_r1")) > 0).alias("pareto_r1_nonempty"))
     members = E.ensemble_members(front).agg((F.count(F.lit(1)) > 0).alias("eligible_ensemble_exists"))
-    items = _ensemble(spark, folder)
+    items = _ensemble(spark, folder, packet)
     chosen = items.agg(F.coalesce(F.bool_or("policy_ok"), F.lit(False)).alias("candidate_selected"), (F.min("ensemble_score") < 0.05).alias("hype_baseline_zeroed"), (F.max("ensemble_score") > 0.05).alias("c002_not_zeroed"))
-    repeated = mutation_instructions(spark, folder).agg(F.coalesce(F.bool_or(~F.col("applied")), F.lit(False)).alias("mutation_instructions_not_all_repeated"))
+    repeated = mutation_instructions(spark, folder, packet).agg(F.coalesce(F.bool_or(~F.col("applied")), F.lit(False)).alias("mutation_instructions_not_all_repeated"))
     out = known
     for part in (valid, suite, told, members, chosen, repeated):
         out = out.crossJoin(F.broadcast(part))  # one row each

@@ -166,7 +166,7 @@ def _all(spark: SparkSession, folder: str) -> DataFrame:
     out = parts[0].withColumn("result_id", F.col("result_id").cast("string"))
     for part in parts[1:]:
         out = out.unionByName(part.withColumn("result_id", F.col("result_id").cast("string")))
-    return out.where("value IS NOT NULL")
+    return materialise(out.where("value IS NOT NULL"), "signals")
 
 
 def _missed(spark: SparkSession, folder: str, kinds: tuple[str, ...]) -> DataFrame:
