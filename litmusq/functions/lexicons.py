@@ -49,22 +49,22 @@ CLAUSE_CONSEQUENCES = "save reduce increase improve eliminate avoid prevent unbl
 CLAUSE_OPERATIONS = "time cost revenue churn conversion retention approval deployment session meeting review sprint week day hour minute production evidence decision conversation account team work reply response".split()
 CLAUSE_JARGON = "advanced seamless intelligent robust scalable innovative optimised optimized synergistic synergistically platform solution engine experience world-class next-generation transformative revolutionary leveraging".split()
 
-NUMBER = r"\b[0-9]+(?:\.[0-9]+)?%?\b"
+NUMBER = r"\b\d+(?:\.\d+)?%?\b"
 CAPITALISED = r"\b[A-Z][a-z]{2,}\b"
 NUMERIC_WORDS = ["thousands", "millions", "billions", "triple", "quadruple", "dozens", "hundreds", "double", "twice", "tenfold", "hundredfold"]
 TIME_QUANTITY = [
-    r"\b[0-9]+x\s+faster\b",
-    r"\b[0-9]+x\s+more\b",
-    r"\b[0-9]+x\s+better\b",
-    r"\b[0-9]+\s*%\s*(?:faster|better|more|less|improvement|reduction|increase)\b",
-    r"\b[0-9]+\s*(?:seconds|minutes|hours|days|weeks|months)\s+(?:faster|sooner|quicker)\b",
+    r"\b\d+x\s+faster\b",
+    r"\b\d+x\s+more\b",
+    r"\b\d+x\s+better\b",
+    r"\b\d+\s*%\s*(?:faster|better|more|less|improvement|reduction|increase)\b",
+    r"\b\d+\s*(?:seconds|minutes|hours|days|weeks|months)\s+(?:faster|sooner|quicker)\b",
 ]
 GUARANTEES = ["guaranteed", "100%", "always", "never fails", "zero errors", "perfectly", "zero downtime", "100 percent", "flawless", "infallible"]
 AWARDS = ["award-winning", "award winning", "certified", "certification", "soc2", "soc 2", "iso", "hipaa", "gdpr compliant", "pci", "compliant", "compliance", "accredited", "accreditation", "patent", "patented"]
 CUSTOMER_CLAIMS = [
-    r"\bfortune\s+[0-9]+\b",
+    r"\bfortune\s+\d+\b",
     r"\benterprise\s+clients?\b",
-    r"\b[0-9]+\+?\s+(?:companies|customers|clients|organizations|teams)\b",
-    r"\b(?:trusted\s+by|used\s+by|chosen\s+by)\s+[0-9]+",
+    r"\b\d+\+?\s+(?:companies|customers|clients|organizations|teams)\b",
+    r"\b(?:trusted\s+by|used\s+by|chosen\s+by)\s+\d+",
 ]
 COMPANY_NAME = r"\b[A-Z][a-z]+\s+(?:Corp|Inc|LLC|Ltd|Co|Group|Holdings)\b"
