@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litmusq.operators import flatten
-from litmusq.plans.lineage import materialise
 from litmusq.sources import drift
 from litmusq.sources.tables import table
 
@@ -22,7 +21,7 @@ def _flat(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return drift.changes(materialise(drift.ingest(drift.opened(table(spark, folder, "summary_records"))), "ingested"))
+    return drift.changes(drift.ingested(table(spark, folder, "summary_records")))
 
 
 def p5_summaries(spark: SparkSession, folder: str) -> DataFrame:

@@ -35,7 +35,7 @@ RECORD = ("stream", "file_seq", "record_no")
 _LEAVES = "leaves array<struct<path:string,kind:string,value:string>>"
 
 
-#: Levels of objects that are opened at once; deeper ones take further rounds.
+#: Levels of objects that are opened at first; deeper ones take as many again.
 LEVELS = 3
 
 
@@ -69,20 +69,27 @@ def _opened(leaves: Column) -> Column:
     return F.flatten(F.transform(leaves, of))
 
 
-def opened(records: DataFrame) -> DataFrame:
-    """(stream, file_seq, record_no, leaves): one row per record, its fields opened."""
+def opened(records: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """(stream, file_seq, record_no, leaves): one row per record, its fields opened ``levels`` deep; deeper objects stay, of kind 'object'."""
     whole = records.where(F.col("stream").isNotNull() & F.col("file_seq").isNotNull() & F.col("record_no").isNotNull())
     one = whole.groupBy(*RECORD).agg(F.max_by("payload", F.struct("received_at", "written_at")).alias("payload"))
     is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT"), F.lit(False))
     leaf = lambda kind, path, value: F.array(F.struct(F.lit(path).alias("path"), F.lit(kind).alias("kind"), value.alias("value")))
     quoted = F.regexp_extract(F.to_json(F.struct(F.col("payload").alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
     out = one.select(*RECORD, F.when(is_object, leaf("object", "", F.col("payload"))).when(F.col("payload").isNotNull(), leaf("corrupt", "$", quoted)).alias("leaves"))
+    for _ in range(levels):
+        out = out.withColumn("leaves", _opened(F.col("leaves")))
+    return out
+
+
+def ingested(records: DataFrame, target: dict[str, str] | None = None) -> DataFrame:
+    """The written table of ``ingest``, every object opened: read once more, deeper, where an object was rescued."""
+    levels = LEVELS
     while True:
-        for _ in range(LEVELS):
-            out = out.withColumn("leaves", _opened(F.col("leaves")))
-        out = materialise(out, "leaves")
-        if out.where(F.exists("leaves", lambda x: x["kind"] == "object")).isEmpty():
-            return out
+        table = materialise(ingest(opened(records, levels), target), "ingested")
+        if table.where(F.exists(F.map_values("rescued"), lambda v: v.startswith("{"))).isEmpty():
+            return table
+        levels += LEVELS
 
 
 def _text(value: Column) -> Column:
@@ -240,5 +247,5 @@ def replay(table: DataFrame, found: DataFrame, target: dict[str, str] | None = N
 
 def consistent_table(records: DataFrame) -> DataFrame:
     """One row per record in the target schema, drift replayed, the rest in ``rescued``."""
-    table = materialise(ingest(opened(records)), "ingested")
+    table = ingested(records)
     return replay(table, changes(table))

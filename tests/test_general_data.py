@@ -62,7 +62,7 @@ def records(spark, *rows):
 
 
 def found(spark, *rows):
-    return sorted((r.stream, r.file_seq, r.change, r.field, r.new_field) for r in drift.changes(drift.ingest(drift.opened(records(spark, *rows)))).collect())
+    return sorted((r.stream, r.file_seq, r.change, r.field, r.new_field) for r in drift.changes(drift.ingested(records(spark, *rows))).collect())
 
 
 def test_changes_of_every_kind(spark):
@@ -125,5 +125,5 @@ def test_rescued_values_are_replayed(spark):
 
 def test_empty_stream_table(spark):
     none = records(spark, ("s", 1, 1, "{}")).limit(0)
-    assert drift.changes(drift.ingest(drift.opened(none))).count() == 0
+    assert drift.changes(drift.ingested(none)).count() == 0
     assert drift.consistent_table(none).count() == 0
