@@ -9,6 +9,7 @@ import pytest
 
 from litmusq.llm import chunking, cross_split, endings, minwise, near_duplicates, pair_defects, truncation
 from litmusq.llm.languages import differs, language
+from litmusq.plans import lineage
 
 T = datetime.datetime(2025, 1, 1)
 SCHEMA = "pair_id string, anchor string, positive string, negative string, split string, source string, ord bigint, ingested_at timestamp, rid string, chunk string"
@@ -132,6 +133,36 @@ def test_large_family_at_the_threshold(spark):
     assert len(want) > 5000 and got <= want and len(got) >= 0.998 * len(want)
 
 
+def written(spark, rows, query, folder, monkeypatch):
+    """(bytes shuffled and written to tables, bytes of text) of a query over rows."""
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(folder / "rows"))
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    kept = lambda: sum(f.stat().st_size for f in (folder / "tables").rglob("*") if f.is_file())
+    before = shuffled()
+    monkeypatch.setattr(lineage, "shared_dir", lambda spark: f"file://{folder}/tables")
+    query(spark.read.parquet(str(folder / "rows"))).count()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return shuffled() - before + kept(), sum(len(t) for r in rows for t in r[1:4])
+
+
+def test_near_duplicates_write_little(spark, tmp_path, monkeypatch):
+    """Every record and tree once wrote several rows; the disk of a large run was 20 times its input."""
+    rng = random.Random(5)
+    rows = [(f"A{i:04}", text(rng, 12), text(rng, 60), text(rng, 60), "train", "s", i, T, "", "") for i in range(3000)]
+    done, size = written(spark, rows, near_duplicates.near_duplicates, tmp_path, monkeypatch)
+    assert done < 5 * size, (done, size)
+
+
+def test_many_records_under_one_key_are_compared_in_squares(spark):
+    """All records meet in most bands, more than are compared place by place."""
+    rng = random.Random(6)
+    p, n = text(rng, 60), text(rng, 60)
+    rows = [(f"A{i:03}", "a", edited(rng, p, 0.01), edited(rng, n, 0.01), "train", "s", i, T, "", "") for i in range(200)]
+    want = {(a[0], b[0]) for i, b in enumerate(rows) for a in rows[:i] if likeness(a[2], b[2]) >= 0.7 and likeness(a[3], b[3]) >= 0.7}
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(want) > 10_000 and {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_links_have_a_row_per_record(pairs):
     rows = near_duplicates.near_duplicate_links(pairs).collect()
     assert len({r.pair_id for r in rows}) == len(rows)
