@@ -153,6 +153,34 @@ def test_near_duplicates_write_little(spark, tmp_path, monkeypatch):
     assert done < 5 * size, (done, size)
 
 
+def test_overlaps_write_little(spark, tmp_path, monkeypatch):
+    """Keys of two words once made fifty rows of a record, each joined with thousands of others."""
+    rng = random.Random(8)
+    rows = [(f"A{i:04}", text(rng, 12), text(rng, 60), text(rng, 60), rng.choice(["train", "test"]), "s", i, T, "", "") for i in range(3000)]
+    done, size = written(spark, rows, cross_split.cross_split_overlaps, tmp_path, monkeypatch)
+    assert done < 3 * size, (done, size)
+
+
+def test_anchors_under_one_word_and_records_of_one_anchor(monkeypatch):
+    """Every two entries under a word that may be alike, many anchors or one, whatever is compared at once."""
+    rng = np.random.default_rng(4)
+    for anchors, at_once in ((400, 1 << 20), (400, 50), (1, 64), (30, 7)):
+        monkeypatch.setattr(cross_split, "AT_ONCE", at_once)
+        e = np.zeros(500, cross_split.ENTRY)
+        e["rid"], e["aid"], e["side"] = np.arange(500), rng.integers(0, anchors, 500), rng.integers(1, 4, 500)
+        base = rng.integers(0, 1 << 63, 5).astype(np.uint64)
+        for c in ("anchor_0", "positive_0", "positive_1", "negative_0", "negative_1"):
+            e[c] = base[0] ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64))
+        for f in ("positive", "negative"):
+            e[f"{f}_n"] = rng.integers(18, 26, 500)
+        e["anchor_0"], e["anchor_n"] = e["anchor_0"][e["aid"]], 8 + e["aid"] % 9
+        apart = lambda f, i, j: sum(int(x).bit_count() for x in (e[f"{f}_{k}"][i] ^ e[f"{f}_{k}"][j] for k in ((0,) if f == "anchor" else (0, 1))))
+        may = lambda i, j: all(apart(f, i, j) * 17 <= (n := int(e[f"{f}_n"][i])) * 3 + (m := int(e[f"{f}_n"][j])) * 3 and min(n, m) * 10 >= max(n, m) * 7 for f in cross_split.FIELDS)
+        want = {(i, j) for i in np.flatnonzero(e["side"] & 1).tolist() for j in np.flatnonzero(e["side"] & 2).tolist() if i != j and may(i, j)}
+        a, b = cross_split._meet(0.7)(rng.permutation(np.concatenate((e, e[:50]))))
+        assert want and set(zip(a.tolist(), b.tolist())) == want
+
+
 def test_many_records_under_one_key_are_compared_in_squares(spark):
     """All records meet in most bands, more than are compared place by place."""
     rng = random.Random(6)
